@@ -166,18 +166,29 @@ def distinct_pairs(d: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Lookup:
-    """Membership and position in a sorted array of hashes, behind a bitmap that turns most misses away."""
+    """Membership and place in a sorted array of hashes, found by their leading bits."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, bits: int = 20):
         self.keys = np.unique(keys.astype(U))
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.keys >> U(44)).astype(np.int64)] = True
+        self.shift = U(64 - bits)
+        slots = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.concatenate([[0], np.cumsum(slots)]).astype(np.int32)
+        self.most = int(slots.max(initial=0))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(indices into h that are present, their places among the keys)."""
-        at = np.flatnonzero(self.bits[(h >> U(44)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        ok = self.keys[place] == h[at]
-        return at[ok], place[ok]
+        """(indices into h that are present, in order, and their places among the keys)."""
+        slot = (h >> self.shift).astype(np.int64)
+        first, end = self.first[slot], self.first[slot + 1]
+        at = np.flatnonzero(end > first)
+        first, end, want = first[at], end[at], h[at]
+        found = np.full(len(at), -1, np.int64)
+        live = np.arange(len(at))
+        for k in range(self.most):
+            place = first[live] + k
+            same = self.keys[place] == want[live]
+            found[live[same]] = place[same]
+            live = live[~same & (place + 1 < end[live])]
+            if not len(live):
+                break
+        ok = found >= 0
+        return at[ok], found[ok]
