@@ -5,9 +5,9 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, lm, neardup, pieces, quality, tokens, topk
+from . import decontam, lines, lm, neardup, pieces, pii, quality, tokens, topk, warc
 from .runtime import table
 
 
@@ -44,6 +44,45 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), digests_only=True)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="duofix").select("doc_id", "n_entities", "text")
+
+
+def crawl(pages: DataFrame) -> DataFrame:
+    """A crawl log of pages: each is fetched once in full and asked for again later, with validators of which some are stale or missing."""
+    page, kind = F.col("page_id"), F.col("page_id") % 4
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    full = pages.select(
+        (page * 2).alias("record_id"),
+        "url",
+        (page * 10).alias("ts"),
+        F.lit("response").alias("kind"),
+        tag.alias("etag"),
+        page.cast("string").alias("last_modified"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Date"), page.cast("string"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Server"), F.lit("a")).alias("headers"),
+    )
+    again = pages.select(
+        (page * 2 + 1).alias("record_id"),
+        "url",
+        (page * 10 + 5 + page % 97 * 10).alias("ts"),
+        F.lit("revisit").alias("kind"),
+        F.when(kind == 0, F.concat(F.lit('"'), F.md5("url"), F.lit('"'))).when(kind == 3, F.concat(F.lit("W/"), tag)).alias("etag"),
+        F.when(kind != 2, page.cast("string")).alias("last_modified"),
+        F.create_map(F.lit("date"), (page + 1000).cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("server"), F.lit("b")).alias("headers"),
+    )
+    return full.unionAll(again)
+
+
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = lambda k: F.col("headers")[k].alias(f"h_{k.replace('-', '_')}")
+    return warc.resolve_revisits(crawl(table(spark, sf_dir, "pages"))).select("record_id", "url", "target_id", "status", *[h(k) for k in ("date", "etag", "content-type", "content-length", "server")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -52,6 +91,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_token_counts": op6_token_counts,
     "op7_pieces": op7_pieces,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_surrogates": op9_surrogates,
+    "op10_revisits": op10_revisits,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": """
+with parts as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
+ln as (select doc_id, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from parts),
+bad as (select trim(line, ' ') as t, min(doc_id) as first from ln where trim(line, ' ') <> '' group by 1 having count(distinct source) >= 8),
+m as (select ln.*, bad.t is not null and ln.doc_id <> bad.first as gone from ln left join bad on trim(ln.line, ' ') = bad.t)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as text_sha256
+from m group by doc_id""",
+    "op10_revisits": """
+with u as (select *, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/@?#]*@)?', '') as rest from pages),
+v as (select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)?$', ''), '^www[0-9]?[.]', '') as host,
+  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+    lambda p: p <> '' and not regexp_matches(lower(split_part(p, '=', 1)), '^(utm_[a-z]+|ref|gclid|fbclid|sessionid|phpsessid)$'))), '&') as q from u),
+c as (select page_id, html, host || (case when path = '' then '/' else path end) || (case when q <> '' then '?' || q else '' end) as canon, url from v),
+r as (select page_id as p, canon, page_id * 10 as ts, '"' || md5(html) || '"' as tag from c),
+a as (select page_id, canon, page_id * 10 + 5 + page_id % 97 * 10 as ts, case page_id % 4 when 0 then '"' || md5(url) || '"' when 3 then '"' || md5(html) || '"' end as tag,
+  case when page_id % 4 <> 2 then page_id::varchar end as lm from c),
+j as (select a.*, r.p, r.tag as rtag from a asof left join r on a.canon = r.canon and a.ts >= r.ts),
+s as (select *, case when p is null then 'no_earlier' when tag is not null then (case when tag = rtag then 'resolved' else 'mismatch' end)
+  when lm is not null then (case when lm = p::varchar then 'resolved' else 'mismatch' end) else 'no_validator' end as status from j)
+select page_id * 2 + 1 as record_id, canon as url, case when status = 'resolved' then p * 2 end as target_id, status, (page_id + 1000)::varchar as h_date,
+  case when status = 'resolved' then rtag end as h_etag, case when status = 'resolved' then 'text/html' end as h_content_type,
+  case when status <> 'resolved' then '0' end as h_content_length, case when status = 'resolved' then 'a' else 'b' end as h_server from s""",
+}

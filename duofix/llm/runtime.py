@@ -57,3 +57,9 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that extra ones, whatever their names, can't clash."""
     need(df, *names)
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """df without the rows whose id is among ids (one column), which are broadcast if there are at most `most`."""
+    few = ids.count() <= most
+    return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
