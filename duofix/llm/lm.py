@@ -9,8 +9,7 @@ a word's class needs no table. P(w | class) = (c + 0.5) / (N_class + 0.5 (V_clas
 share being that of unknown words, so that the probabilities of each class sum to 1 at most.
 
 P(class | history) is a softmax over sums of weight rows, found by hashing: bias, previous word,
-previous two words, the word before the previous one (skip), and the last very frequent word
-(skip over any gap). Each task runs gradient steps over all training texts of its partition and
+previous two words, and the last very frequent word (skip over any gap). Each task runs gradient steps over all training texts of its partition and
 the weight rows of all tasks are averaged, weighted by how often each task updated the row.
 
 Counts cover all training texts. Words that aren't broadcast get their counts by a join.
@@ -127,7 +126,7 @@ class Vocabulary:
 
 
 def features(place: np.ndarray, cls: np.ndarray, bounds: np.ndarray, anchor: np.ndarray, rows: int) -> np.ndarray:
-    """(tokens, 5) weight rows; row 0 is the bias."""
+    """(tokens, 4) weight rows; row 0 is the bias."""
     n = len(place)
     start = np.repeat(bounds[:-1], np.diff(bounds))
     i = np.arange(n)
@@ -139,10 +138,10 @@ def features(place: np.ndarray, cls: np.ndarray, bounds: np.ndarray, anchor: np.
     last = np.maximum.accumulate(np.where(mark >= 0, i, -1)) if n else i
     last = np.concatenate([[-1], last[:-1]]) if n else last
     far = np.where(last >= start, mark[np.maximum(last, 0)], ANCHORS).astype(U)
-    out = np.zeros((n, 5), np.int64)
+    out = np.zeros((n, 4), np.int64)
     with np.errstate(over="ignore"):
-        for k, x in enumerate((one, one * U(0x9E3779B97F4A7C15) + two, two, far)):
-            out[:, k + 1] = 1 + (mix(x * U(8) + U(k + 1)) % U(rows - 1)).astype(np.int64)
+        for k, x in enumerate((one, one * U(0x9E3779B97F4A7C15) + two, far)):
+            out[:, k + 1] = 1 + ((mix(x * U(8) + U(k + 1)) >> U(32)) * U(rows - 1) >> U(32)).astype(np.int64)
     return out
 
 
@@ -171,9 +170,9 @@ def _train(batches, text_col: str, vocab: Vocabulary, rows: int, rate: float, st
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(y)), y] -= 1
                 flat = x[:, 1:].reshape(-1)
-                order = np.argsort(flat, kind="stable")
+                order = np.argsort(flat.astype(np.uint16) if rows <= 1 << 16 else flat, kind="stable")  # radix sort
                 cut_ = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-                g = np.add.reduceat(p[order // 4], cut_, axis=0)
+                g = np.add.reduceat(p[order // (x.shape[1] - 1)], cut_, axis=0)
                 who = np.concatenate([flat[order][cut_], [0]])
                 g = np.concatenate([g, p.sum(axis=0, keepdims=True)])
                 n = np.concatenate([np.diff(np.concatenate([cut_, [len(flat)]])), [len(y)]])
@@ -189,7 +188,7 @@ def _train(batches, text_col: str, vocab: Vocabulary, rows: int, rate: float, st
             )
 
 
-def _average(batches):
+def _added(batches):
     """Sums the chunks as they come, so that memory doesn't grow with the number of tasks."""
     w, n = {}, {}
     for b in batches:
@@ -198,6 +197,17 @@ def _average(batches):
             y = np.frombuffer(y.as_buffer(), np.int64)
             w[k] = w[k] + x if k in w else x
             n[k] = n[k] + y if k in n else y
+    return w, n
+
+
+def _sums(batches):
+    w, n = _added(batches)
+    for k in w:
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w[k].astype(np.float32).tobytes()], pa.binary()), pa.array([n[k].tobytes()], pa.binary())], ["chunk", "w", "seen"])
+
+
+def _average(batches):
+    w, n = _added(batches)
     for k in w:
         mean = w[k] / np.maximum(n[k], 1)[:, None]
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["chunk", "w"])
@@ -209,9 +219,9 @@ def _score(batch: pa.RecordBatch, id_col: str, text_col: str, vocab: Vocabulary,
         place, cls = vocab.read(h, s)
         f = features(place, cls, bounds, vocab.anchor, len(w))
         lp = np.empty(len(h))
-        for a in range(0, len(h), 16384):
-            z = logits(w, f[a : a + 16384])
-            lp[a : a + 16384] = z[np.arange(len(z)), cls[a : a + 16384]] - np.log(np.exp(z).sum(axis=1))
+        for a in range(0, len(h), 4096):
+            z = logits(w, f[a : a + 4096])
+            lp[a : a + 4096] = z[np.arange(len(z)), cls[a : a + 4096]] - np.log(np.exp(z).sum(axis=1))
         lp = lp / np.log(10) - vocab.log_size[cls]
         end = s < 0
         known = np.where(end, np.log10(vocab.end_count + 0.5), 0.0)
@@ -274,7 +284,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     words = spark.sparkContext.broadcast(vocab)
 
     parts = train.mapInArrow(lambda it: _train(it, text_col, words.value, rows, rate), "chunk int, w binary, seen binary")
-    mean = parts.repartition("chunk").mapInArrow(_average, "chunk int, w binary").toArrow()  # rows * 128 bytes at most
+    some = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("chunk", "salt").mapInArrow(_sums, parts.schema)
+    mean = some.repartition("chunk").mapInArrow(_average, "chunk int, w binary").toArrow()  # rows * 128 bytes at most
     w = np.zeros((rows, CLASSES), np.float32)
     w[0] = np.log((vocab.tokens + 0.5) / (vocab.tokens + 0.5).sum())
     for k, x in zip(mean["chunk"].to_pylist(), mean["w"].to_pylist(), strict=True):
