@@ -1,2 +1,276 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries on the driver's tables, and SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .. import functions as fn, sources
+from ..estimator import TwoWay
+from ..operators import collapse, cut, exact, graph, projection
+from ..spec import PanelSpec
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("w"), F.col("event_type").alias("f"), "value")
+    return e.withColumn("fw", F.col("event_id") % 3 + 1).withColumn("tw", F.col("event_id") % 5 + 0.5).withColumn("c1", (F.col("event_id") % 7).cast("double"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.col("o_custkey").alias("w"), F.col("o_orderpriority").alias("f"), F.log1p(F.col("o_totalprice")).alias("value"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").where("l_quantity <= 1").select(F.col("l_partkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by suppliers: the large panel of the bench."""
+    li, o = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
+
+
+EVENTS = PanelSpec("value", "w", "f")
+r6 = lambda c: F.round(c, 6)
+
+
+def _estimate(panel: Query, **options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = TwoWay(PanelSpec("value", "w", "f", **options)).fit(panel(spark, sf_dir))
+        row = [round(float(x), 6) + 0.0 for x in (*r.plugin, *r.bias, r.max_leverage)]
+        names = [f"{a}_{b}" for a in ("plugin", "bias") for b in ("worker", "firm", "cov", "total")] + ["max_leverage"]
+        return spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+
+    return query
+
+
+def _frozen(panel: Query, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: sources.freeze(panel(s, d), PanelSpec("value", "w", "f", **options))
+
+
+def cell_collapse(spark, sf_dir):
+    return collapse.cells(_frozen(events, frequency="fw", target="tw")(spark, sf_dir)).select("w", "f", "rows", F.col("n").cast("long").alias("n"), r6("sy").alias("sy"), r6("syy").alias("syy"), r6("t").alias("t"))
+
+
+def unit_collapse(spark, sf_dir):
+    rows = sources.freeze(events(spark, sf_dir).withColumn("u", F.concat_ws("-", "w", "f", F.col("event_id") % 2)), PanelSpec("value", "w", "f", unit="u"))
+    return collapse.units(rows).select("unit", "w", "f", F.col("n").cast("long").alias("n"), r6("y_unit").alias("y_unit"))
+
+
+def target_strata(spark, sf_dir):
+    return collapse.strata(_frozen(events, frequency="fw", target="tw")(spark, sf_dir)).select("w", "f", r6("copy_mass").alias("copy_mass"), F.col("n").cast("long").alias("n"), r6("t").alias("t"))
+
+
+def mover_stayer(spark, sf_dir):
+    return collapse.classify(_frozen(parts)(spark, sf_dir)).select("w", "units", "firms", F.col("physical").cast("long").alias("physical"), "mover")
+
+
+def sample_complete(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 10 > 0, F.col("value")))
+    return sources.freeze(e, PanelSpec("value", "w", "f", deletion="observation")).groupBy("f").agg(F.count("*").alias("rows"), r6(F.sum("y")).alias("total"))
+
+
+def components(spark, sf_dir):
+    found = graph.components(parts(spark, sf_dir).select("w", "f").distinct())
+    return found.groupBy("root").agg(F.min("w").alias("least_worker"), F.countDistinct("w").alias("workers"), F.countDistinct("f").alias("firms"), F.count("*").alias("cells")).drop("root")
+
+
+def sample_accounting(spark, sf_dir):
+    _, facts = graph.select(_frozen(orders, stayers="both")(spark, sf_dir), PanelSpec("value", "w", "f", stayers="both"))
+    keep = ("rows_in", "units_in", "stayers_in", "stayers_added", "rows_out", "units_out", "workers_out", "firms_out")
+    return spark.createDataFrame([(k, int(facts[k])) for k in keep], "step string, count long")
+
+
+def _cells(spark, sf_dir):
+    c = cut(collapse.cells(_frozen(events)(spark, sf_dir)))
+    names, firms = exact.index_firms(c, 2000)
+    return names, exact.by_worker(c, firms)
+
+
+def firm_laplacian(spark, sf_dir):
+    _, c = _cells(spark, sf_dir)
+    return exact.laplacian_parts(c).select("i", "j", r6("nn").alias("shared"), F.round("g", 9).alias("g"), F.round("h", 9).alias("h"))
+
+
+def _fit(spark, sf_dir, **options):
+    return TwoWay(PanelSpec("value", "w", "f", **options)).fit(events(spark, sf_dir))
+
+
+def firm_effects(spark, sf_dir):
+    return _fit(spark, sf_dir).effects("firm").select("f", (r6("psi") + 0.0).alias("psi"))
+
+
+def worker_effects(spark, sf_dir):
+    e = _fit(spark, sf_dir).effects("worker").withColumnRenamed("w", "hw")
+    names = events(spark, sf_dir).select(F.col("w")).distinct().withColumn("hw", F.xxhash64("w"))
+    return names.join(e, "hw").select("w", r6("alpha").alias("alpha"))
+
+
+def leverage_match(spark, sf_dir):
+    r = _fit(spark, sf_dir)
+    return r.kernels.join(r.firms, "j").groupBy("f").agg(r6(F.max(F.col("n") * F.col("leverage"))).alias("max_leverage"), r6(F.sum(F.col("n") * F.col("leverage"))).alias("sum_leverage"))
+
+
+def decomposition(spark, sf_dir):
+    d = _fit(spark, sf_dir).decomposition()
+    return d.select("component", *[r6(c).alias(c) for c in d.columns if c != "component"])
+
+
+def outcome_moments(spark, sf_dir):
+    m = collapse.outcome_moments(_frozen(events, frequency="fw", target="tw")(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+def midranks(spark, sf_dir):
+    d = fn.with_midrank(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity")), "l_quantity")
+    return d.select("l_orderkey", "l_linenumber", F.round("midrank", 9).alias("midrank"))
+
+
+def projection_coef(spark, sf_dir):
+    p = projection.coefficients(_table(spark, sf_dir, "lineitem").withColumn("v", F.log1p("l_extendedprice")), "v", ["l_discount", "l_tax"], "l_quantity")
+    return p.select("term", r6("coefficient").alias("coefficient"))
+
+
+def true_moments(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    m = sources.true_moments(li, "l_discount", "l_tax", "l_quantity")
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
+
+
+QUERIES: dict[str, Query] = {
+    "sample_complete": sample_complete,
+    "cell_collapse": cell_collapse,
+    "unit_collapse": unit_collapse,
+    "target_strata": target_strata,
+    "mover_stayer": mover_stayer,
+    "components": components,
+    "sample_accounting": sample_accounting,
+    "firm_laplacian": firm_laplacian,
+    "firm_effects": firm_effects,
+    "worker_effects": worker_effects,
+    "leverage_match": leverage_match,
+    "kss_match_none": _estimate(events),
+    "kss_match_mean": _estimate(events, centering="mean"),
+    "kss_obs": _estimate(events, deletion="observation"),
+    "kss_obs_mean": _estimate(events, deletion="observation", centering="mean"),
+    "kss_freq_target": _estimate(events, frequency="fw", target="tw"),
+    "kss_hybrid": _estimate(orders, stayers="both", centering="mean"),
+    "kss_fixed_offset": _estimate(events, controls=("c1",), nuisance="fixed_offset"),
+    "decomposition": decomposition,
+    "outcome_moments": outcome_moments,
+    "midranks": midranks,
+    "projection_coef": projection_coef,
+    "true_moments": true_moments,
+    **{f"simulate_{x}": (lambda s, d, x=x: sources.simulate(s, x)) for x in ("ex1", "ex2", "ex3", "ex4", "ex5")},
+}
+
+_EVENTS = "select user_id as w, event_type as f, value as y, {n} as n, {t} as t from events"
+_ORDERS = """select o_custkey as w, o_orderpriority as f, ln(1 + o_totalprice) as y, 1 as n, 1 as t from orders where o_custkey in
+ (select o_custkey from orders group by 1 having count(distinct o_orderpriority) > 1 or count(*) > 1)"""
+
+_FIT = """with recursive
+obs as ({obs}),
+fid as (select f, row_number() over (order by f) as j, count(*) over () as nf from (select distinct f from obs)),
+o as (select w, j, y, n, t from obs join fid using (f)),
+K as (select max(nf) - 1 as k from fid),
+cell as (select w, j, sum(n)::double as n, sum(n * y) as sy, sum(n * y * y) as syy, sum(t)::double as t from o group by w, j),
+wt as (select w, sum(n) as nw, sum(sy) as syw, sum(t) as tw, count(*) as deg from cell group by w),
+tot as (select sum(n) as nn, sum(t) as tt, sum(sy) / sum(n) as ybar from cell),
+sh as (select cell.w, j, n / nw as p, t / tt as s, nw, tw / tt as sw, n, sy, syy, syw, deg, ybar from cell join wt using (w), tot),
+fm as (select j, sum(n) as nf, sum(sy) as syf, sum(s) as sf from sh group by j),
+g as (select j, sf from fm where j <= (select k from K)),
+ij as (select a.j as i, b.j as j from g a, g b),
+pr as (select a.j as i, b.j as j, sum(a.n * b.n / a.nw) as nn, sum(a.sw * a.p * b.p) as gg, sum(a.p * b.s) as hh from sh a join sh b using (w) group by 1, 2),
+S as (select ij.i, ij.j, (case when ij.i = ij.j then fm.nf else 0 end) - coalesce(pr.nn, 0) as v, coalesce(gg, 0) as gg, coalesce(hh, 0) as hh
+  from ij join fm on fm.j = ij.i left join pr on pr.i = ij.i and pr.j = ij.j),
+gj as (
+  select 0::bigint as step, i, list(v order by j) || list_transform(range(1, (select k from K) + 1), lambda c: case when c = i then 1.0 else 0.0 end) as r from S group by i
+  union all
+  select a.step + 1, a.i, case when a.i = a.step + 1 then list_transform(b.r, lambda x: x / b.r[a.step + 1])
+    else list_transform(range(1, len(a.r) + 1), lambda c: a.r[c] - a.r[a.step + 1] * b.r[c] / b.r[a.step + 1]) end
+  from gj a join gj b on b.i = a.step + 1 and b.step = a.step where a.step < (select k from K)),
+inv as (select i, j, r[(select k from K) + j] as v from gj, (select j from g) where step = (select k from K)),
+mv as (select j, sum(sw * p) as m from sh where j <= (select k from K) group by j),
+rhs as (select fm.j, fm.syf - sum(a.n * a.syw / a.nw) as b from fm join sh a using (j) where fm.j <= (select k from K) group by fm.j, fm.syf),
+psi as (select i as j, sum(v * b) as psi from inv join rhs on rhs.j = inv.j group by i),
+alpha as (select w, max(syw / nw) - sum(p * coalesce(psi, 0)) as al from sh left join psi using (j) group by w),
+fit as (select sh.*, al, coalesce(psi, 0) as psi from sh join alpha using (w) left join psi using (j)),
+plug as (select sum(s * al * al) - sum(s * al) ^ 2 as pw, sum(s * psi * psi) - sum(s * psi) ^ 2 as pf, sum(s * al * psi) - sum(s * al) * sum(s * psi) as pc from fit),
+r as (select a.w, a.j as cell, g.j, (case when a.j = g.j then 1.0 else 0.0 end) - coalesce(b.p, 0) as r, coalesce(b.s, 0) as s, coalesce(b.p, 0) as p
+  from sh a cross join g left join sh b on b.w = a.w and b.j = g.j),
+u as (select x.w, x.cell, inv.i as j, sum(inv.v * x.r) as u from r x join inv on inv.j = x.j group by 1, 2, 3),
+ur as (select u.w, u.cell, sum(u.u * r.r) as ru, sum(u.u * r.p) as pu, sum(u.u * r.s) as su1, sum(u.u * m) as mu, sum(u.u * sf) as sfu, sum(u.u * u.u * sf) as sfu2
+  from u join r on r.w = u.w and r.cell = u.cell and r.j = u.j join mv on mv.j = u.j join g on g.j = u.j group by 1, 2),
+q as (select a.w, a.cell, sum(a.u * S.gg * b.u) as ugu, sum(a.u * S.hh * b.u) as uhu from u a join u b on b.w = a.w and b.cell = a.cell join S on S.i = a.j and S.j = b.j group by 1, 2),
+kern as (select f.w, f.j, f.n, f.sy, f.syy, al + psi as hat, deg, ybar, 1 / f.nw + ru as h1,
+  f.sw / f.nw ^ 2 - 2 * f.sw * pu / f.nw + ugu - (f.sw / f.nw - mu) ^ 2 as qa, sfu2 - sfu ^ 2 as qf, su1 / f.nw - uhu - (f.sw / f.nw - mu) * sfu as qc
+  from fit f join ur on ur.w = f.w and ur.cell = f.j join q on q.w = f.w and q.cell = f.j)"""
+
+_BIAS = """,
+part as (select *, case when {whole} then n * h1 else h1 end as h,
+  case when {whole} then (sy - n * {shift}) * (sy - n * hat) else syy - sy * hat - {shift} * (sy - n * hat) end as e from kern),
+cor as (select sum(e * qa / (1 - h)) as cw, sum(e * qf / (1 - h)) as cf, sum(e * qc / (1 - h)) as cc, max(h) as maxlev from part)
+"""
+
+
+def _kss(obs: str, whole: str = "true", shift: str = "0") -> str:
+    return _FIT.format(obs=obs) + _BIAS.format(whole=whole, shift=shift) + (
+        "select round(pw, 6) as plugin_worker, round(pf, 6) as plugin_firm, round(pc, 6) as plugin_cov, round(pw + pf + 2 * pc, 6) as plugin_total, "
+        "round(cw, 6) as bias_worker, round(cf, 6) as bias_firm, round(cc, 6) as bias_cov, round(cw + cf + 2 * cc, 6) as bias_total, round(maxlev, 6) as max_leverage from plug, cor"
+    )
+
+
+_PLAIN = _EVENTS.format(n=1, t=1)
+_WEIGHTED = _EVENTS.format(n="event_id % 3 + 1", t="(event_id % 5 + 0.5)::double")
+ORACLES: dict[str, str] = {
+    "sample_complete": "select event_type as f, count(*) as rows, round(sum(value), 6) as total from events where event_id % 10 > 0 group by 1",
+    "cell_collapse": f"select w, f, count(*) as rows, sum(n)::bigint as n, round(sum(n * y), 6) as sy, round(sum(n * y * y), 6) as syy, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f",
+    "unit_collapse": "select concat_ws('-', user_id, event_type, event_id % 2) as unit, user_id as w, event_type as f, count(*) as n, round(sum(value) / sqrt(count(*)), 6) as y_unit from events group by 1, 2, 3",
+    "target_strata": f"select w, f, round(t / n, 6) as copy_mass, sum(n)::bigint as n, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f, t / n",
+    "mover_stayer": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem where l_quantity <= 1 group by 1",
+    "components": """with recursive e as (select distinct l_partkey as w, l_suppkey as f from lineitem where l_quantity <= 1),
+hop as (select distinct a.w as x, b.w as y from e a join e b using (f)),
+reach as (select w as x, w as y from (select distinct w from e) union select r.x, h.y from reach r join hop h on h.x = r.y where h.y < r.x or true),
+root as (select x as w, min(y) as least_worker from reach group by x)
+select least_worker, count(distinct w) as workers, count(distinct f) as firms, count(*) as cells from e join root using (w) group by 1""",
+    "sample_accounting": """with c as (select o_custkey as w, o_orderpriority as f, count(*) as n from orders group by 1, 2), w as (select w, count(*) as k, sum(n) as n from c group by 1),
+m as (select * from c where w in (select w from w where k > 1)), s as (select * from c where w in (select w from w where k = 1 and n > 1) and f in (select f from m)), o as (select * from m union all select * from s)
+select 'rows_in' as step, sum(n)::bigint as count from c union all select 'units_in', count(*) from c union all select 'stayers_in', count(*) from w where k = 1 union all select 'stayers_added', count(*) from s
+union all select 'rows_out', sum(n)::bigint from o union all select 'units_out', count(*) from o union all select 'workers_out', count(distinct w) from o union all select 'firms_out', count(distinct f) from o""",
+    "firm_laplacian": _FIT.format(obs=_PLAIN) + " select (i - 1)::int as i, (j - 1)::int as j, round(nn, 6) as shared, round(gg, 9) as g, round(hh, 9) as h from pr",
+    "firm_effects": _FIT.format(obs=_PLAIN) + " select distinct f, round(psi, 6) as psi from fit join fid using (j)",
+    "worker_effects": _FIT.format(obs=_PLAIN) + " select w, round(al, 6) as alpha from alpha",
+    "leverage_match": _FIT.format(obs=_PLAIN) + " select f, round(max(n * h1), 6) as max_leverage, round(sum(n * h1), 6) as sum_leverage from kern join fid using (j) group by f",
+    "kss_match_none": _kss(_PLAIN),
+    "kss_match_mean": _kss(_PLAIN, shift="ybar"),
+    "kss_obs": _kss(_PLAIN, whole="false"),
+    "kss_obs_mean": _kss(_PLAIN, whole="false", shift="ybar"),
+    "kss_freq_target": _kss(_WEIGHTED),
+    "kss_hybrid": _kss(_ORDERS, whole="deg > 1", shift="ybar"),
+    "decomposition": _FIT.format(obs=_PLAIN) + _BIAS.format(whole="true", shift="0") + """,
+v as (select avg(y * y) - avg(y) ^ 2 as var from obs),
+x as (select 'worker' as component, pw as a, cw as b from plug, cor union all select 'firm', pf, cf from plug, cor union all select 'sorting', 2 * pc, 2 * cc from plug, cor union all select 'total', pw + pf + 2 * pc, cw + cf + 2 * cc from plug, cor),
+z as (select a, b from x where component = 'total')
+select component, round(x.a, 6) as plugin, round(x.a / z.a, 6) as plugin_share, round(x.a / var, 6) as plugin_outcome_share, round(x.b, 6) as bias, round(x.a - x.b, 6) as corrected,
+  round((x.a - x.b) / (z.a - z.b), 6) as corrected_share, round((x.a - x.b) / var, 6) as corrected_outcome_share from x, z, v""",
+    "outcome_moments": f"""with o as ({_WEIGHTED}), u as (select sum(n)::double as n from o group by w, f)
+select round(sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ^ 2, 6) as frequency_variance, round(sum(t * y * y) / sum(t) - (sum(t * y) / sum(t)) ^ 2, 6) as target_variance,
+  (select round(sum(n) ^ 2 / sum(n * n), 6) from u) as effective_units, (select round(max(n) / sum(n), 6) from u) as largest_share from o""",
+    "midranks": """select l_orderkey, l_linenumber, round((2 * rank() over (order by l_quantity) + count(*) over (partition by l_quantity) - 2) / (count(*) over ())::double - 1, 9) as midrank from lineitem""",
+    "projection_coef": """with s as (select ln(1 + l_extendedprice) as y, l_discount::double as a, l_tax::double as b, l_quantity::double as w from lineitem),
+m as (select sum(w * y) / sum(w) as y, sum(w * a) / sum(w) as a, sum(w * b) / sum(w) as b from s),
+c as (select sum(w * (s.a - m.a) ^ 2) as aa, sum(w * (s.b - m.b) ^ 2) as bb, sum(w * (s.a - m.a) * (s.b - m.b)) as ab, sum(w * (s.a - m.a) * (s.y - m.y)) as ay, sum(w * (s.b - m.b) * (s.y - m.y)) as bys from s, m),
+k as (select (bb * ay - ab * bys) / (aa * bb - ab * ab) as ca, (aa * bys - ab * ay) / (aa * bb - ab * ab) as cb from c)
+select 'constant' as term, round(y - ca * a - cb * b, 6) as coefficient from m, k union all select 'l_discount', round(ca, 6) from k union all select 'l_tax', round(cb, 6) from k""",
+    "true_moments": """with s as (select l_discount::double as a, l_tax::double as p, l_quantity::double as m from lineitem),
+v as (select sum(m * a * a) / sum(m) - (sum(m * a) / sum(m)) ^ 2 as w, sum(m * p * p) / sum(m) - (sum(m * p) / sum(m)) ^ 2 as f, sum(m * a * p) / sum(m) - sum(m * a) * sum(m * p) / sum(m) ^ 2 as c from s)
+select round(w, 9) as worker_variance, round(f, 9) as firm_variance, round(c, 9) as worker_firm_covariance, round(w + f + 2 * c, 9) as total_variance from v""",
+}
