@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .runtime import cut, fresh, need
+from .runtime import cut, fresh, need, small
 
 LG_K = 12
 
@@ -33,7 +33,7 @@ def spread(lines: DataFrame, min_sites: int, band: float) -> DataFrame:
     est = F.hll_sketch_estimate("sites")
     by = cut(by.select("h", "first", est.alias("est")).where(est >= min_sites * (1 - band)))
     near = by.where(F.col("est") <= min_sites * (1 + band)).select("h", "first")
-    exact = lines.join(near, "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites)
+    exact = lines.join(small(near), "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites)
     return by.where(F.col("est") > min_sites * (1 + band)).select("h", "first").unionByName(near.join(exact.select("h"), "h"))
 
 
@@ -49,7 +49,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bad = cut(spread(lines, min_sites, band))
 
     held = keyed.select(F.col(key), doc.alias("doc"), F.explode(F.array_distinct(F.transform(F.filter(_parts(text), lambda x: F.trim(x) != ""), _hash))).alias("h"))
-    goes = held.join(bad, "h").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy(key).agg(F.collect_set("h").alias("gone"))
+    goes = held.join(small(bad), "h").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy(key).agg(F.collect_set("h").alias("gone"))
 
     out = keyed.join(goes, key, "left")
     gone = F.coalesce("gone", F.array().cast("array<long>"))

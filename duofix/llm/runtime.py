@@ -59,7 +59,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows; meant for narrow rows of numbers that have been cut."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
     """df without the rows whose id is among ids (one column), which are broadcast if there are at most `most`."""
-    few = ids.count() <= most
-    return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
+    return df.join(small(ids, most), id_col, "left_anti")
