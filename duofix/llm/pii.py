@@ -61,6 +61,11 @@ def _stream(seed: Column, size: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda k: F.sha2(F.concat_ws("|", seed, k.cast("string")), 256)), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _nth(stream: Column, i: Column, n: int) -> Column:
     """0 <= number < n from four hex digits."""
     return (F.conv(F.substring(stream, (i - 1) * 4 + 1, F.lit(4)), 16, 10).cast("int") % n).cast("int")
@@ -72,15 +77,14 @@ def _pick(words: str, number: Column) -> Column:
 
 def _shaped(value: Column, seed: Column, hexadecimal: Column) -> Column:
     """Digits for digits, letters for letters of the same case (a to f in hexadecimal values)."""
-    stream = _stream(seed, F.length(value) * 4)
 
-    def one(i: Column) -> Column:
+    def one(stream: Column, i: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         n26, n6, n10 = _nth(stream, i, 26), _nth(stream, i, 6), _nth(stream, i, 10)
         letter = F.when(hexadecimal, F.substring(F.lit("abcdef"), n6 + 1, F.lit(1))).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n26 + 1, F.lit(1)))
         return F.when(c.rlike("[0-9]"), n10.cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    return _let(_stream(seed, F.length(value) * 4), lambda stream: F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: one(stream, i)), ""))
 
 
 def _surrogate(key: str) -> Column:
@@ -88,8 +92,9 @@ def _surrogate(key: str) -> Column:
     canon = F.col("canon")
     seed = F.concat_ws("|", F.lit(key), F.col("kind"), canon, F.col("attempt").cast("string"))
     stream = _stream(seed, F.lit(64))
-    digits = F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(F.length(canon) - 1, F.lit(2))), lambda i: _nth(_stream(seed, F.length(canon) * 4), i, 10).cast("string")), ""))
-    card = F.concat(digits, ((10 - luhn_sum(F.concat(digits, F.lit("0"))) % 10) % 10).cast("string"))
+    middle = F.sequence(F.lit(2), F.greatest(F.length(canon) - 1, F.lit(2)))
+    digits = _let(_stream(seed, F.length(canon) * 4), lambda s: F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(middle, lambda i: _nth(s, i, 10).cast("string")), "")))
+    card = _let(digits, lambda d: F.concat(d, ((10 - luhn_sum(F.concat(d, F.lit("0"))) % 10) % 10).cast("string")))
     ip = F.concat_ws(".", *[(_nth(stream, F.lit(i), 253) + 1).cast("string") for i in range(1, 5)])
     email = F.concat(_shaped(F.regexp_extract(canon, r"^(.*)\.[^.]+$", 1), seed, F.lit(False)), F.lit("."), F.regexp_extract(canon, r"\.([^.]+)$", 1))
     # phones keep their country code, which canon has before a colon
