@@ -122,7 +122,8 @@ def mentions(found: DataFrame) -> DataFrame:
     for k in reversed(KINDS):
         kind = F.when(e.rlike(f"^(?:{KINDS[k]})$"), F.lit(k)).otherwise(kind)
     kind = F.when((kind == "card") & (luhn_sum(digits) % 10 != 0), None).otherwise(kind)
-    d = found.select("entity").distinct().withColumn("kind", kind).where("kind is not null")
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much to compute: not to be merged into one task
+    d = found.select("entity").distinct().repartition(tasks).withColumn("kind", kind).where("kind is not null")
     prefix = F.when(F.col("kind") == "secret", F.regexp_extract("entity", r"^(.*?[=:]\s{0,3}[\"']?)", 1)).when(F.col("kind") == "name", F.regexp_extract("entity", r"^(\S+ )", 1)).otherwise(F.lit(""))
     d = d.withColumn("prefix", prefix).withColumn("value", F.expr("substring(entity, length(prefix) + 1)"))
     value = F.col("value")
@@ -144,7 +145,8 @@ def mentions(found: DataFrame) -> DataFrame:
 
 def surrogates(known: DataFrame, key: str, most_tries: int = 64) -> DataFrame:
     """(kind, canon, put) for distinct (kind, canon), without collisions within a kind or with an original."""
-    t = cut(known.withColumn("attempt", F.lit(0)).withColumn("put", _surrogate(key)))
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = cut(known.repartition(tasks).withColumn("attempt", F.lit(0)).withColumn("put", _surrogate(key)))
     original = t.select("kind", F.when(F.col("kind").isin("given", "surname"), F.substring_index("canon", ":", -1)).otherwise(F.col("canon")).alias("same"))
     for _ in range(most_tries):
         low = F.lower("put")
