@@ -181,7 +181,7 @@ def near_duplicates(
     base = cut(map_arrow(text, lambda b: _describe(b, id_col, text_col, words, least, bands, rows), f"doc {kind}, n_shingles long, n_bytes long, s1 long, s2 long, bands array<long>"))
 
     key = ["s1", "s2", "n_shingles"]
-    classes = base.where("doc is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc").alias("rep"))
+    classes = cut(base.where("doc is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc").alias("rep")))  # cut, so that the join below can split a large class
     named = cut(base.join(classes, key, "left").select("doc", "n_shingles", "n_bytes", F.when(F.col("doc").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
 
     member = named.where("size(bands) > 0").select(F.col("doc").alias("node"), "n_bytes", F.posexplode("bands").alias("k", "h"))
