@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import collapse, controls, cut, exact, graph
+from .operators import collapse, controls, cut, exact, firmwise, graph
+from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
 
@@ -22,14 +24,15 @@ class FitResult:
     bias: tuple
     max_leverage: float
     by_source: DataFrame
+    mcse: tuple
 
     @property
     def spark(self):
         return self.rows.sparkSession
 
     def results(self) -> DataFrame:
-        """Rows plugin, bias_correction, corrected; the four targets as columns."""
-        rows = [("plugin", *self.plugin), ("bias_correction", *self.bias), ("corrected", *(a - b for a, b in zip(self.plugin, self.bias, strict=True)))]
+        """Rows plugin, bias_correction, corrected, mcse; the four targets as columns. mcse: of the target draws given the leverages; 0 for exact."""
+        rows = [("plugin", *self.plugin), ("bias_correction", *self.bias), ("corrected", *(a - b for a, b in zip(self.plugin, self.bias, strict=True))), ("mcse", *self.mcse)]
         return self.spark.createDataFrame([(a, *map(float, b)) for a, *b in rows], "row string, " + ", ".join(f"{t} double" for t in exact.TARGETS))
 
     def decomposition(self) -> DataFrame:
@@ -62,16 +65,39 @@ class TwoWay:
 
     def fit(self, df: DataFrame) -> FitResult:
         spec = self.spec
-        if (spec.controls or spec.factors) and spec.nuisance == "joint":
-            raise Withheld("INVALID_OPTION", "joint controls aren't available yet; use nuisance='fixed_offset'")
         rows = cut(freeze(df, spec))
         rows, facts = graph.select(rows, spec)
-        if spec.controls or spec.factors:
-            rows = cut(controls.offset(rows, controls.coefficients(rows, spec)))
-        _, _, firms, fit, k = exact.fit(rows, spec)
-        units = collapse.units(rows).join(rows.select("unit", "mover").distinct(), "unit") if spec.deletion == "match" else collapse.units(rows).withColumn("mover", F.lit(True))
-        by = cut(exact.correction(units, k, firms, spec, fit.mean))
+        jla = spec.algorithm == "jla"
+        if spec.algorithm == "auto":
+            firms, columns = rows.select("f").distinct().count(), sum(c[0] == "z" and c[1:].isdigit() for c in rows.columns)
+            jla = firms + columns > spec.exact_limit
+        names, b, gram = controls.coefficients(rows, spec, spec.firm_cells if jla else spec.exact_limit)
+        joint = bool(names) and spec.nuisance == "joint"
+        if joint and jla:
+            raise Withheld("INVALID_OPTION", "joint controls need algorithm='exact' (at most exact_limit firms and controls); else use nuisance='fixed_offset'")
+        rows = rows.withColumn("yo", controls.offset(b))
+        if names and not joint:
+            rows = rows.withColumn("y", F.col("yo"))
+        rows = cut(rows)
+        if jla:
+            return self._random(rows, facts)
+        _, _, firms, fit, k = exact.fit(rows.withColumn("y", F.col("yo")), spec)
+        if joint:
+            cells, big_m = joint_controls.geometry(rows, firms, names, firmwise.Solver(None, len(fit.inverse), spec, fit.inverse))
+            by = cut(joint_controls.correction(rows, k, firms, cells, gram, big_m, names, spec))
+        else:
+            units = collapse.units(rows).join(rows.select("unit", "mover").distinct(), "unit") if spec.deletion == "match" else collapse.units(rows).withColumn("mover", F.lit(True))
+            by = cut(exact.correction(units, k, firms, spec, fit.mean))
         got = by.agg(F.max("max_leverage").alias("h"), *[F.sum(t).alias(t) for t in exact.TARGETS]).first()
         if got["h"] >= 1 - 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"largest leverage {got['h']}")
-        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(got)[1:], got["h"], by)
+        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(got)[1:], got["h"], by, (0.0,) * 4)
+
+    def _random(self, rows: DataFrame, facts: dict) -> FitResult:
+        firms, k, draws, by, _ = random_probes.fit(rows, self.spec)
+        draws = np.vstack([draws, draws[0] + draws[1] + 2 * draws[2]])
+        got = by.agg(F.max("max_leverage").alias("h"), F.min("least_left").alias("left")).first()
+        if got["left"] <= 1e-10:
+            raise Withheld("NONESTIMABLE_UNIT", f"least share left {got['left']}")
+        error = tuple(draws.std(axis=1, ddof=1) / np.sqrt(draws.shape[1]))
+        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(draws.mean(axis=1)), got["h"], by, error)

@@ -64,8 +64,8 @@ class Block:
         return np.add.reduceat(x, self.first)[self.who]
 
 
-def blocks(batches, most: int = 200_000):
-    """Whole workers from a stream sorted by worker, some at a time."""
+def tables(batches, most: int = 200_000):
+    """Tables of whole workers from a stream sorted by worker, some at a time."""
     held: list[pa.Table] = []
     rows = 0
     for batch in batches:
@@ -77,12 +77,14 @@ def blocks(batches, most: int = 200_000):
             w = t.column("w").to_numpy()
             end = int(np.flatnonzero(w == w[-1])[0])
             if end:
-                yield Block(t.slice(0, end))
-                held, rows = [t.slice(end)], t.num_rows - end
-            else:
-                held = [t]
+                yield t.slice(0, end)
+            held, rows = [t.slice(end)], t.num_rows - end
     if held:
-        yield Block(pa.concat_tables(held).combine_chunks())
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def blocks(batches, most: int = 200_000):
+    return (Block(t) for t in tables(batches, most))
 
 
 def laplacian_parts(cells: DataFrame) -> DataFrame:

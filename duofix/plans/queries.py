@@ -164,6 +164,10 @@ QUERIES: dict[str, Query] = {
     "kss_freq_target": _estimate(events, frequency="fw", target="tw"),
     "kss_hybrid": _estimate(orders, stayers="both", centering="mean"),
     "kss_fixed_offset": _estimate(events, controls=("c1",), nuisance="fixed_offset"),
+    "kss_joint": _estimate(events, controls=("c1",), centering="mean"),
+    "kss_joint_obs": _estimate(events, controls=("c1",), deletion="observation"),
+    "jla_point": _estimate(events, algorithm="jla", probes=64),
+    "jla_hybrid": _estimate(orders, algorithm="jla", probes=64, stayers="both", centering="mean"),
     "decomposition": decomposition,
     "outcome_moments": outcome_moments,
     "midranks": midranks,

@@ -18,6 +18,8 @@ HINTS = {
     "NONESTIMABLE_UNIT": "a deletion unit has leverage 1",
     "RANK_DEFICIENT_CONTROLS": "controls are collinear with the effects or one another",
     "INFERENCE_MODEL_REMOVED": "this variance model is no longer offered",
+    "FIRM_VECTORS": "lower the number of probes or of controls; the driver holds one number a firm for each",
+    "NOT_CONVERGED": "raise maxiter, or drop weakly connected firms",
     "INVALID_OPTION": "see the list of options",
 }
 
@@ -32,7 +34,10 @@ class Withheld(Exception):
 
 @dataclass(frozen=True)
 class PanelSpec:
-    """Roles of columns and options. unit: deletion id (default: the worker-firm cell)."""
+    """Roles of columns and options. unit: deletion id (default: the worker-firm cell).
+
+    algorithm auto is exact up to exact_limit firms and controls, else jla (random probes, conjugate gradients).
+    """
 
     y: str
     worker: str
@@ -46,15 +51,23 @@ class PanelSpec:
     stayers: str = "movers"
     centering: str = "none"
     nuisance: str = "joint"
+    algorithm: str = "auto"
     exact_limit: int = 2000
+    probes: int = 200
+    seed: int = 1
+    tolerance: float = 1e-10
+    maxiter: int = 10_000
+    firm_cells: int = 100_000_000
     inference_model: str = "repeat"
 
     def validate(self) -> PanelSpec:
-        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean")), ("nuisance", ("joint", "fixed_offset"))):
+        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla"))):
             if getattr(self, name) not in allowed:
                 raise Withheld("INVALID_OPTION", f"{name}={getattr(self, name)!r}: one of {', '.join(allowed)}")
         if self.inference_model in ("target_lowess", "structured_common", "structured_leverage"):
             raise Withheld("INFERENCE_MODEL_REMOVED", self.inference_model)
         if len(self.controls) > 32:
             raise Withheld("INVALID_OPTION", "at most 32 controls")
+        if self.probes < 2:
+            raise Withheld("INVALID_OPTION", "at least two probes")
         return self

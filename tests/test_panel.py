@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duofix import functions as fn, sources
 from duofix.estimator import TwoWay
-from duofix.operators import graph
+from duofix.operators import graph, jla
 from duofix.plans.queries import QUERIES
 from duofix.spec import PanelSpec, Withheld
 
@@ -16,6 +17,7 @@ FIRM = [0, 0, 1, 1, 0, 2, 2, 1, 1, 2, 3, 3, 2, 3, 0, 0, 3, 1, 1, 2, 3, 3, 2, 0]
 MATCH = [10, 10, 11, 11, 20, 21, 21, 22, 30, 31, 32, 32, 40, 41, 42, 42, 50, 51, 51, 52, 60, 60, 61, 62]
 NOISE = [0.2, -0.1, 0.1, -0.2, -0.2, 0.3, -0.1, 0.1, 0.1, -0.2, 0.2, -0.1, -0.1, 0.2, -0.2, 0.1, 0.3, -0.2, 0.1, -0.2, -0.2, 0.1, 0.2, -0.1]
 PLUGIN = (0.23886949630417731, 0.029429019126843384, -0.026942626261056212, 0.21441326290890825)
+JOINT = (-0.01925012, -0.00784379, -0.00434937, -0.03579264)
 OFFSET = (-0.00467505214166742, 0.00105611329461117, -0.0074400408799687, -0.01849902060699364)
 
 
@@ -46,6 +48,49 @@ def test_weights_equal_the_dense_estimator(spark, deletion, centering):
     assert r.plugin == pytest.approx(want[0], abs=1e-10) and r.bias == pytest.approx(want[1], abs=1e-10)
 
 
+def test_known_values_with_joint_controls(spark):
+    r = TwoWay(PanelSpec("y", "worker", "firm", unit="m", controls=("c1", "c2"))).fit(panel(spark)[1])
+    assert r.plugin == pytest.approx(PLUGIN, abs=1e-10) and r.bias == pytest.approx(JOINT, abs=1e-8)
+
+
+@pytest.mark.parametrize("deletion", ["match", "observation"])
+def test_joint_controls_equal_the_dense_estimator(spark, deletion):
+    rows, df = panel(spark)
+    spec = PanelSpec("y", "worker", "firm", unit="m", frequency="fw", target="tw", deletion=deletion, centering="mean", controls=("c1", "c2"))
+    r = TwoWay(spec).fit(df)
+    want = dense([x[5] for x in rows], [x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], [x[6] for x in rows], [x[7] for x in rows], deletion, "mean", [x[3:5] for x in rows], joint=True)
+    assert r.plugin == pytest.approx(want[0], abs=1e-10) and r.bias == pytest.approx(want[1], abs=1e-10)
+
+
+@pytest.mark.parametrize("options", [{}, {"deletion": "observation"}, {"stayers": "both", "centering": "mean", "frequency": "frequency", "target": "target_mass"}])
+def test_random_probes_come_near_the_exact_correction(spark, options):
+    df = sources.simulate(spark, "ex3")
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", **options)
+    want = TwoWay(spec).fit(df)
+    got = TwoWay(replace(spec, algorithm="jla", probes=600)).fit(df)
+    assert got.plugin == pytest.approx(want.plugin, abs=1e-9)
+    for a, b, e in zip(got.bias, want.bias, got.mcse, strict=True):
+        assert e > 0 and abs(a - b) < 5 * e + 0.02 * abs(b)
+
+
+def test_conjugate_gradients_equal_the_dense_solver_and_partitions_do_not_matter(spark):
+    df = sources.simulate(spark, "ex3").withColumn("spell2", (F.col("spell") * F.col("worker_id") % 5).cast("double"))
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", algorithm="jla", probes=8, controls=("spell2",), nuisance="fixed_offset")
+    a = TwoWay(spec).fit(df)
+    b = TwoWay(replace(spec, exact_limit=1)).fit(df.repartition(7))
+    c = TwoWay(replace(spec, firm_cells=60)).fit(df)
+    for x in (b, c):
+        assert x.plugin == pytest.approx(a.plugin, rel=1e-7) and x.bias == pytest.approx(a.bias, rel=1e-6)
+
+
+def test_signs_have_the_moments_of_sums_of_signs():
+    s = jla.signs(np.arange(300), np.tile([1, 5, 200], 100), np.arange(100), 3, 1)
+    assert set(np.unique(s[::3])) == {-1.0, 1.0} and (np.abs(s[1::3]) <= 5).all()
+    for k, n in enumerate((1, 5, 200)):
+        assert abs(s[k::3].mean()) < 4 * (n / 10_000) ** 0.5 and abs((s[k::3] ** 2).mean() / n - 1) < 0.06
+    assert np.abs(np.corrcoef(s[:, :20].T) - np.eye(20)).max() < 0.3
+
+
 def test_frequency_equals_literal_copies(spark):
     _, df = panel(spark)
     a = TwoWay(PanelSpec("y", "worker", "firm", unit="m", frequency="fw")).fit(df)
@@ -114,7 +159,7 @@ def test_typed_refusals(spark):
         (df.withColumn("tw", F.lit(-1.0)), {"target": "tw"}, "INVALID_TARGET"),
         (df.withColumn("fw", F.lit(2**52)), {"frequency": "fw"}, "PHYSICAL_TOTAL_LIMIT"),
         (df.withColumn("m", F.lit(1)), {}, "CROSS_COORDINATE_MATCH"),
-        (df, {"exact_limit": 2}, "EXACT_LIMIT"),
+        (df, {"exact_limit": 2, "algorithm": "exact"}, "EXACT_LIMIT"),
         (df, {"deletion": "none"}, "INVALID_OPTION"),
         (df, {"inference_model": "target_lowess"}, "INFERENCE_MODEL_REMOVED"),
         (df.withColumn("c2", F.col("c1") * 2), {"controls": ("c1", "c2"), "nuisance": "fixed_offset"}, "RANK_DEFICIENT_CONTROLS"),
