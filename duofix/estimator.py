@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import collapse, controls, cut, exact, firmwise, graph
+from .operators import collapse, controls, cut, exact, firmwise, graph, inference, projection
 from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
@@ -25,6 +26,8 @@ class FitResult:
     max_leverage: float
     by_source: DataFrame
     mcse: tuple
+    solver: firmwise.Solver | None = None
+    exact: bool = True
 
     @property
     def spark(self):
@@ -45,6 +48,38 @@ class FitResult:
             out.append((name, p, p / self.plugin[3], p / var, p - q, q, q / corrected[3], q / var))
         return self.spark.createDataFrame([(a, *map(float, b)) for a, *b in out], "component string, plugin double, plugin_share double, plugin_outcome_share double, bias double, corrected double, corrected_share double, corrected_outcome_share double")
 
+    @property
+    def corrected(self) -> tuple:
+        return tuple(a - b for a, b in zip(self.plugin, self.bias, strict=True))
+
+    @cached_property
+    def covariance(self) -> np.ndarray:
+        """4 x 4 sampling covariance of the corrected targets (exact algorithm without controls)."""
+        if not self.exact or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
+            raise Withheld("INVALID_OPTION", "standard errors need the exact algorithm and no controls")
+        return inference.estimate(self.rows, self.kernels, self.firms, self.spec, self.solver, self.corrected, self._mean())
+
+    def _mean(self) -> float:
+        return self.rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if self.spec.centering == "mean" else 0.0
+
+    def projection(self) -> DataFrame:
+        """Regression of the effect named by the options on a constant and covariates: coefficient, leave-out and naive standard errors."""
+        if not self.exact or not self.spec.project or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
+            raise Withheld("INVALID_OPTION", "a projection needs project=..., the exact algorithm and no controls")
+        units = inference.units(self.rows, self.kernels, self.firms, self.spec, self._mean())
+        b, robust, naive = projection.regress(self.rows, self.kernels, self.firms, units, self.spec, self.solver)
+        rows = zip(("constant", *self.spec.project), b, np.sqrt(np.diag(robust)), np.sqrt(np.diag(naive)), strict=True)
+        return self.spark.createDataFrame([(t, *map(float, x)) for t, *x in rows], "term string, coefficient double, se double, naive_se double")
+
+    def inference(self) -> DataFrame:
+        """Standard errors and normal intervals of the four corrected targets; null where the estimated variance isn't positive."""
+        return self.spark.createDataFrame(inference.intervals(self.corrected, self.covariance, self.spec.level), "component string, estimate double, se double, lower double, upper double")
+
+    def lincom(self, weights: tuple) -> tuple[float, float]:
+        """(value, standard error) of a linear combination of the four corrected targets."""
+        a = np.asarray(weights, float)
+        return float(a @ self.corrected), float(np.sqrt(a @ self.covariance @ a))
+
     def sample(self) -> DataFrame:
         """Counts of the selection, step by step."""
         return self.spark.createDataFrame([(k, int(v)) for k, v in self.facts.items()], "step string, count long")
@@ -82,8 +117,9 @@ class TwoWay:
         if jla:
             return self._random(rows, facts)
         _, _, firms, fit, k = exact.fit(rows.withColumn("y", F.col("yo")), spec)
+        solver = firmwise.Solver(None, len(fit.inverse), spec, fit.inverse)
         if joint:
-            cells, big_m = joint_controls.geometry(rows, firms, names, firmwise.Solver(None, len(fit.inverse), spec, fit.inverse))
+            cells, big_m = joint_controls.geometry(rows, firms, names, solver)
             by = cut(joint_controls.correction(rows, k, firms, cells, gram, big_m, names, spec))
         else:
             units = collapse.units(rows).join(rows.select("unit", "mover").distinct(), "unit") if spec.deletion == "match" else collapse.units(rows).withColumn("mover", F.lit(True))
@@ -91,7 +127,7 @@ class TwoWay:
         got = by.agg(F.max("max_leverage").alias("h"), *[F.sum(t).alias(t) for t in exact.TARGETS]).first()
         if got["h"] >= 1 - 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"largest leverage {got['h']}")
-        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(got)[1:], got["h"], by, (0.0,) * 4)
+        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(got)[1:], got["h"], by, (0.0,) * 4, solver)
 
     def _random(self, rows: DataFrame, facts: dict) -> FitResult:
         firms, k, draws, by, _ = random_probes.fit(rows, self.spec)
@@ -100,4 +136,4 @@ class TwoWay:
         if got["left"] <= 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"least share left {got['left']}")
         error = tuple(draws.std(axis=1, ddof=1) / np.sqrt(draws.shape[1]))
-        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(draws.mean(axis=1)), got["h"], by, error)
+        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(draws.mean(axis=1)), got["h"], by, error, exact=False)

@@ -139,6 +139,17 @@ def projection_coef(spark, sf_dir):
     return p.select("term", r6("coefficient").alias("coefficient"))
 
 
+def component_se(spark, sf_dir):
+    t = _fit(spark, sf_dir, centering="mean").inference()
+    return t.select("component", *[r6(c).alias(c) for c in t.columns if c != "component"])
+
+
+def projection_cov(spark, sf_dir):
+    panel = events(spark, sf_dir).withColumn("x", F.length("f").cast("double"))
+    t = TwoWay(PanelSpec("value", "w", "f", project=("x",), centering="mean")).fit(panel).projection()
+    return t.select("term", *[r6(c).alias(c) for c in t.columns if c != "term"])
+
+
 def true_moments(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem")
     m = sources.true_moments(li, "l_discount", "l_tax", "l_quantity")
@@ -172,6 +183,8 @@ QUERIES: dict[str, Query] = {
     "outcome_moments": outcome_moments,
     "midranks": midranks,
     "projection_coef": projection_coef,
+    "component_se": component_se,
+    "projection_cov": projection_cov,
     "true_moments": true_moments,
     **{f"simulate_{x}": (lambda s, d, x=x: sources.simulate(s, x)) for x in ("ex1", "ex2", "ex3", "ex4", "ex5")},
 }
@@ -183,7 +196,7 @@ _ORDERS = """select o_custkey as w, o_orderpriority as f, ln(1 + o_totalprice) a
 _FIT = """with recursive
 obs as ({obs}),
 fid as (select f, row_number() over (order by f) as j, count(*) over () as nf from (select distinct f from obs)),
-o as (select w, j, y, n, t from obs join fid using (f)),
+o as (select * from obs join fid using (f)),
 K as (select max(nf) - 1 as k from fid),
 cell as (select w, j, sum(n)::double as n, sum(n * y) as sy, sum(n * y * y) as syy, sum(t)::double as t from o group by w, j),
 wt as (select w, sum(n) as nw, sum(sy) as syw, sum(t) as tw, count(*) as deg from cell group by w),
@@ -225,13 +238,49 @@ cor as (select sum(e * qa / (1 - h)) as cw, sum(e * qf / (1 - h)) as cf, sum(e *
 """
 
 
-def _kss(obs: str, whole: str = "true", shift: str = "0") -> str:
-    return _FIT.format(obs=obs) + _BIAS.format(whole=whole, shift=shift) + (
+def _kss(obs: str, whole: str = "true", shift: str = "0", bias: str = "") -> str:
+    return _FIT.format(obs=obs) + (bias or _BIAS.format(whole=whole, shift=shift)) + (
         "select round(pw, 6) as plugin_worker, round(pf, 6) as plugin_firm, round(pc, 6) as plugin_cov, round(pw + pf + 2 * pc, 6) as plugin_total, "
         "round(cw, 6) as bias_worker, round(cf, 6) as bias_firm, round(cc, 6) as bias_cov, round(cw + cf + 2 * cc, 6) as bias_total, round(maxlev, 6) as max_leverage from plug, cor"
     )
 
 
+_CONTROL = """,
+zcell as (select w, j, sum(n * z) as sz, sum(n * z * z) as szz, sum(n * z * y) as szy from o group by w, j),
+zw as (select w, sum(sz) as szw from zcell group by w),
+zrhs as (select j, sum(sz) - sum(p * szw) as b from zcell join sh using (w, j) join zw using (w) group by j),
+zpsi as (select i as j, sum(v * b) as zp from inv join zrhs on zrhs.j = inv.j group by i),
+zal as (select w, max(szw / nw) - sum(p * coalesce(zp, 0)) as za from sh join zw using (w) left join zpsi using (j) group by w),
+zfit as (select sh.w, sh.j, sh.p, sh.s, sh.sw, sh.nw, za, coalesce(zp, 0) as zp, za + coalesce(zp, 0) as zhat from sh join zal using (w) left join zpsi using (j)),
+gz as (select sum(szz - 2 * zhat * sz + n * zhat * zhat) as g, sum(szy - zhat * sy - hat * (sz - n * zhat)) / sum(szz - 2 * zhat * sz + n * zhat * zhat) as b from zcell join zfit using (w, j) join kern using (w, j)),
+plug2 as (select sum(f.s * (al - b * za) ^ 2) - sum(f.s * (al - b * za)) ^ 2 as pw, sum(f.s * (psi - b * z.zp) ^ 2) - sum(f.s * (psi - b * z.zp)) ^ 2 as pf,
+  sum(f.s * (al - b * za) * (psi - b * z.zp)) - sum(f.s * (al - b * za)) * sum(f.s * (psi - b * z.zp)) as pc from fit f join zfit z using (w, j), gz),
+zm as (select sum(s * za) as am, sum(s * zp) as pm, sum(s * za * za) - sum(s * za) ^ 2 as m1, sum(s * zp * zp) - sum(s * zp) ^ 2 as m2, sum(s * za * zp) - sum(s * za) * sum(s * zp) as m3 from zfit),
+aw as (select w, max(sw * (za - am)) as a1, (sum(s * zp) - max(sw * pm)) / 2 as a3 from zfit, zm group by w),
+vr as (select j, -sum(p * a1) as r1, sum(s * (zp - pm)) as r2, (sum(s * za) - sum(s * am)) / 2 - sum(p * a3) as r3 from zfit join aw using (w), zm group by j),
+vp as (select i as j, sum(v * r1) as x1, sum(v * r2) as x2, sum(v * r3) as x3 from inv join vr on vr.j = inv.j group by i),
+va as (select w, max(a1 / nw) - sum(p * coalesce(x1, 0)) as y1, -sum(p * coalesce(x2, 0)) as y2, max(a3 / nw) - sum(p * coalesce(x3, 0)) as y3 from zfit join aw using (w) left join vp using (j) group by w),
+cell2 as (select k.*, sz, szz, szy, zhat, g, b, m1, m2, m3, hat - b * zhat as hato, y1 + coalesce(x1, 0) as v1, y2 + coalesce(x2, 0) as v2, y3 + coalesce(x3, 0) as v3, {shift} as c
+  from kern k join zcell using (w, j) join zfit using (w, j) join va using (w) left join vp using (j), gz, zm)"""
+_OFFSET_BIAS = """,
+part as (select *, n * h1 as h, (sy - b * sz) * (sy - b * sz - n * hato) / (1 - n * h1) as e from cell2),
+cor as (select sum(e * qa) as cw, sum(e * qf) as cf, sum(e * qc) as cc, max(h) as maxlev from part) """
+_JOINT_BIAS = """,
+sums as (select *, sz - n * zhat as zt, (szz - 2 * zhat * sz + n * zhat * zhat) / g as tt, sy - n * c as uy, szy - zhat * sy - c * (sz - n * zhat) as zy, sy - b * sz - n * hato as ue,
+  szy - b * szz - hato * sz - zhat * (sy - b * sz - n * hato) as ze from cell2),
+sol as (select *, ((1 - tt) * ue + zt / g * ze) / ((1 - n * h1) * (1 - tt) - zt * zt * h1 / g) as x0, (zt * h1 * ue + (1 - n * h1) * ze) / ((1 - n * h1) * (1 - tt) - zt * zt * h1 / g) as x1 from sums),
+cor as (select sum(uy * (qa * x0 - v1 / g * x1) + zy * (m1 / g / g * x1 - v1 / g * x0)) as cw, sum(uy * (qf * x0 - v2 / g * x1) + zy * (m2 / g / g * x1 - v2 / g * x0)) as cf,
+  sum(uy * (qc * x0 - v3 / g * x1) + zy * (m3 / g / g * x1 - v3 / g * x0)) as cc, max((n * h1 + tt + sqrt((n * h1 - tt) ^ 2 + 4 * zt * zt * h1 / g)) / 2) as maxlev from sol) """
+_JOINT_OBS_BIAS = """,
+part as (select cell2.*, o.n as k, (o.z - zhat) / g as d, h1 + (o.z - zhat) ^ 2 / g as h, o.n * (o.y - c) * (o.y - b * o.z - hato) / (1 - h1 - (o.z - zhat) ^ 2 / g) as e from o join cell2 using (w, j)),
+cor as (select sum(e * (qa - 2 * v1 * d + m1 * d * d)) as cw, sum(e * (qf - 2 * v2 * d + m2 * d * d)) as cf, sum(e * (qc - 2 * v3 * d + m3 * d * d)) as cc, max(h) as maxlev from part) """
+
+
+def _controlled(bias: str, shift: str = "0") -> str:
+    obs = _PLAIN.replace(" from events", ", (event_id % 7)::double as z from events")
+    return _kss(obs, bias=_CONTROL.format(shift=shift) + bias).replace("from plug, cor", "from plug2, cor")
+
+
 _PLAIN = _EVENTS.format(n=1, t=1)
 _WEIGHTED = _EVENTS.format(n="event_id % 3 + 1", t="(event_id % 5 + 0.5)::double")
 ORACLES: dict[str, str] = {
@@ -258,6 +307,9 @@ union all select 'rows_out', sum(n)::bigint from o union all select 'units_out',
     "kss_obs": _kss(_PLAIN, whole="false"),
     "kss_obs_mean": _kss(_PLAIN, whole="false", shift="ybar"),
     "kss_freq_target": _kss(_WEIGHTED),
+    "kss_fixed_offset": _controlled(_OFFSET_BIAS),
+    "kss_joint": _controlled(_JOINT_BIAS, "ybar"),
+    "kss_joint_obs": _controlled(_JOINT_OBS_BIAS),
     "kss_hybrid": _kss(_ORDERS, whole="deg > 1", shift="ybar"),
     "decomposition": _FIT.format(obs=_PLAIN) + _BIAS.format(whole="true", shift="0") + """,
 v as (select avg(y * y) - avg(y) ^ 2 as var from obs),

@@ -13,7 +13,7 @@ def read(spark: SparkSession, path: str, form: str = "parquet", **options) -> Da
 
 
 def freeze(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Role columns only: w, f, unit, y, n (frequency), t (target mass), z1.. (controls), after the missing-value rule and all checks.
+    """Role columns only: w, f, unit, y, n (frequency), t (target mass), z1.. (controls), x1.. (covariates of the projection), after the missing-value rule and all checks.
 
     One aggregation checks all rows. Match deletion fails on a missing value, observation deletion drops such rows.
     """
@@ -23,6 +23,8 @@ def freeze(df: DataFrame, spec: PanelSpec) -> DataFrame:
     cols["t"] = F.col(spec.target).cast("double") if spec.target else cols["n"]
     for k, c in enumerate(spec.controls, 1):
         cols[f"z{k}"] = F.col(c).cast("double")
+    for k, c in enumerate(spec.project, 1):
+        cols[f"x{k}"] = F.col(c).cast("double")
     k = len(spec.controls)
     for c in spec.factors:
         levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(34).collect()]

@@ -18,6 +18,10 @@ HINTS = {
     "NONESTIMABLE_UNIT": "a deletion unit has leverage 1",
     "RANK_DEFICIENT_CONTROLS": "controls are collinear with the effects or one another",
     "INFERENCE_MODEL_REMOVED": "this variance model is no longer offered",
+    "RANK_DEFICIENT_PROJECTION": "the covariates of the projection are collinear with one another or the constant",
+    "PROJECTION_COVARIANCE": "the estimated covariance of the projection isn't positive; use fewer covariates or more units",
+    "INFERENCE_VARIANCE_INVALID": "the unit variances can't be estimated on this sample",
+    "TARGET_IDENTITY_FAILED": "the kernels don't reproduce the estimates; check the conditioning of the panel",
     "FIRM_VECTORS": "lower the number of probes or of controls; the driver holds one number a firm for each",
     "NOT_CONVERGED": "raise maxiter, or drop weakly connected firms",
     "INVALID_OPTION": "see the list of options",
@@ -59,15 +63,23 @@ class PanelSpec:
     maxiter: int = 10_000
     firm_cells: int = 100_000_000
     inference_model: str = "repeat"
+    inference_draws: int = 8
+    inference_seed: int = 1
+    level: float = 95.0
+    project: tuple[str, ...] = ()
+    project_effect: str = "firm"
+    project_weight: str = "frequency"
 
     def validate(self) -> PanelSpec:
-        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla"))):
+        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla")), ("project_effect", ("worker", "firm")), ("project_weight", ("frequency", "target"))):
             if getattr(self, name) not in allowed:
                 raise Withheld("INVALID_OPTION", f"{name}={getattr(self, name)!r}: one of {', '.join(allowed)}")
         if self.inference_model in ("target_lowess", "structured_common", "structured_leverage"):
             raise Withheld("INFERENCE_MODEL_REMOVED", self.inference_model)
         if len(self.controls) > 32:
             raise Withheld("INVALID_OPTION", "at most 32 controls")
+        if self.inference_draws < 1 or not 0 < self.level < 100:
+            raise Withheld("INVALID_OPTION", "inference_draws from 1, level between 0 and 100")
         if self.probes < 2:
             raise Withheld("INVALID_OPTION", "at least two probes")
         return self

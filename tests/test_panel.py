@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duofix import functions as fn, sources
 from duofix.estimator import TwoWay
-from duofix.operators import graph, jla
+from duofix.operators import graph, inference, jla
 from duofix.plans.queries import QUERIES
 from duofix.spec import PanelSpec, Withheld
 
@@ -83,6 +83,78 @@ def test_conjugate_gradients_equal_the_dense_solver_and_partitions_do_not_matter
         assert x.plugin == pytest.approx(a.plugin, rel=1e-7) and x.bias == pytest.approx(a.bias, rel=1e-6)
 
 
+def dense_covariance(u, centre, r):
+    """The covariance of operators/inference.py from dense matrices, with the exact trace."""
+    w, j = (np.unique(u[c], return_inverse=True)[1] for c in ("w", "j"))
+    n, root = u["n"].to_numpy(), np.sqrt(u["n"].to_numpy())
+    x = np.hstack([np.eye(w.max() + 1)[w], np.eye(j.max() + 1)[j][:, :-1]])
+    a = np.linalg.inv(x.T @ (n[:, None] * x))
+    s = u["s"].to_numpy()
+    c = np.diag(s) - np.outer(s, s)
+    d, f = x.copy(), x.copy()
+    d[:, w.max() + 1 :], f[:, : w.max() + 1] = 0, 0
+    xs = root[:, None] * x
+    m = np.eye(len(n)) - xs @ a @ xs.T
+    centring = np.eye(len(n)) - (np.outer(root, root) / n.sum() if centre else 0)
+    ks = []
+    for q in (d.T @ c @ d, f.T @ c @ f, (d.T @ c @ f + f.T @ c @ d) / 2):
+        b = xs @ a @ q @ a @ xs.T
+        ratio = np.diag(b) / np.diag(m)
+        ks.append(centring @ (b - (ratio[:, None] * m + m * ratio[None, :]) / 2) @ centring)
+    y, v = u["y"].to_numpy(), u["v"].to_numpy()
+    g = [k @ y for k in ks]
+    trace = [[np.trace(p @ np.diag(v) @ q @ np.diag(v)) for q in ks] for p in ks]
+    return [y @ k @ y for k in ks], np.array([[4 * np.sum(v * p * q) for q in g] for p in g]), np.array(trace)
+
+
+@pytest.mark.parametrize("options", [{"centering": "mean"}, {"deletion": "observation"}, {"stayers": "both", "frequency": "frequency", "target": "target_mass", "centering": "mean"}])
+def test_standard_errors_equal_dense_kernels(spark, options):
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", inference_draws=60, **options)
+    df = sources.simulate(spark, "ex3")
+    if options.get("stayers"):
+        more = df.where("spell = 1").withColumn("worker_id", F.col("worker_id") + 1000).withColumn("frequency", F.lit(2))
+        df = df.unionByName(more).unionByName(more.withColumn("log_wage", F.col("log_wage") + 0.1 * (F.col("worker_id") % 4)))
+    if options.get("deletion"):
+        df = df.unionByName(df.where("worker_id % 2 = 0").withColumn("log_wage", F.col("log_wage") + 0.1 * (F.col("worker_id") % 3)))
+    r = TwoWay(spec).fit(df)
+    mean = r.rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if "centering" in options else 0.0
+    u, pair = inference.variances(inference.units(r.rows, r.kernels, r.firms, spec, mean))
+    u = u.toPandas().sort_values("key")
+    assert (u["v"] > 0).all() and (pair[0, 0] > 0) == ("stayers" in options)
+    point, linear, trace = dense_covariance(u, "centering" in options, r)
+    assert point == pytest.approx(r.corrected[:3], abs=1e-9)
+    want, got = linear - 2 * trace + pair, r.covariance
+    assert np.allclose(got[:3, :3], want, atol=0.5 * np.abs(trace).max())
+    size = np.sqrt(np.outer(np.diag(trace), np.diag(trace)))
+    assert (np.abs(got[:3, :3] - want) < 1.0 * size).all()
+    t = r.inference().collect()
+    assert [x.component for x in t][3] == "total_variance" and all(x.se is None or x.lower < x.estimate < x.upper for x in t)
+    assert r.lincom((1, 1, 2, -1))[0] == pytest.approx(0, abs=1e-12)
+
+
+@pytest.mark.parametrize("effect", ["worker", "firm"])
+def test_projection_equals_the_dense_regression(spark, effect):
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", frequency="frequency", target="target_mass", project=("size",), project_effect=effect, project_weight="target", centering="mean")
+    r = TwoWay(spec).fit(sources.simulate(spark, "ex3").withColumn("size", F.col("firm_id") * F.col("frequency") * 1.0))
+    rows = r.rows.toPandas()
+    w, f = (np.unique(rows[c], return_inverse=True)[1] for c in ("w", "f"))
+    d, ff = np.eye(w.max() + 1)[w], np.eye(f.max() + 1)[f][:, :-1]
+    x, n, y = np.hstack([d, ff]), rows["n"].to_numpy(), rows["y"].to_numpy()
+    a = np.linalg.inv(x.T @ (n[:, None] * x))
+    e, v, h = y - x @ a @ x.T @ (n * y), y - n @ y / n.sum(), n * np.einsum("ij,jk,ik->i", x, a, x)
+    part = np.hstack([d, 0 * ff]) if effect == "worker" else np.hstack([0 * d, ff])
+    z, t = np.column_stack([np.ones(len(y)), rows["x1"]]), rows["t"].to_numpy()
+    load = np.linalg.solve(z.T @ (t[:, None] * z), z.T @ (t[:, None] * part))
+    got = r.projection()
+    c = np.sqrt(n)[:, None] * (x @ a @ load.T)
+    assert not rows.duplicated(["w", "f"]).any()
+    robust, naive = (c.T @ (q[:, None] * c) for q in (n * v * e / (1 - h), n * e * e))
+    want = load @ (a @ x.T @ (n * y))
+    assert [x.coefficient for x in got.collect()][1] == pytest.approx(want[1], abs=1e-9)
+    assert [x.se for x in got.collect()][1] == pytest.approx(max(robust[1, 1], 0) ** 0.5, abs=1e-9)
+    assert [x.naive_se for x in got.collect()][1] == pytest.approx(naive[1, 1] ** 0.5, abs=1e-9)
+
+
 def test_signs_have_the_moments_of_sums_of_signs():
     s = jla.signs(np.arange(300), np.tile([1, 5, 200], 100), np.arange(100), 3, 1)
     assert set(np.unique(s[::3])) == {-1.0, 1.0} and (np.abs(s[1::3]) <= 5).all()
