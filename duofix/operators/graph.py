@@ -6,18 +6,18 @@ Edges are deletion units between workers and firms. Node and unit keys are hashe
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..spec import PanelSpec, Withheld
 from . import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (w, f, ...) with root: the smallest node hash of the component; workers and firms are different nodes."""
-    nodes = edges.select(F.xxhash64(F.lit("w"), "w").alias("a"), F.xxhash64(F.lit("f"), "f").alias("b")).distinct()
-    e, before = cut(nodes.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
+def stars(pairs: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of pairs (u, v) of longs: the smallest of the component, by large-star and small-star steps."""
+    e, before = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,7 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    root = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (w, f, ...) with root: the smallest node hash of the component; workers and firms are different nodes."""
+    root = stars(edges.select(F.xxhash64(F.lit("w"), "w").alias("u"), F.xxhash64(F.lit("f"), "f").alias("v")))
     return edges.withColumn("node", F.xxhash64(F.lit("w"), "w")).join(root, "node").drop("node")
 
 
@@ -92,16 +97,81 @@ def _weak(t: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(["bridge"] * len(bridges) + ["cut"] * len(cuts), pa.string()), "key": pa.array([u[k] for k in sorted(bridges)] + sorted(cuts), pa.int64())})
 
 
-def weak(units: DataFrame) -> DataFrame:
+def spread_weak(cells: DataFrame) -> DataFrame:
+    """weak for cells (a, b, units: how many, u: one of them) with no task that sees all: the auxiliary graph of a breadth-first tree.
+
+    A node stands for the edge to its parent. In a bipartite graph an edge outside the tree joins nodes that are neither above
+    the other, so their edges share a block; a child's edge shares its parent's block if an edge outside the tree leaves the parent's
+    subtree from the child's. Blocks are the components of these links. One round for each level of the tree, three times.
+    """
+    edges = cut(cells.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(cells.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    start = stars(cells.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("root").alias("x")).distinct()
+    levels = [cut(start.withColumn("parent", F.lit(None).cast("long")))]
+    while True:
+        found = levels[-1].select("x").join(edges, "x").groupBy(F.col("y").alias("x")).agg(F.min("x").alias("parent"))
+        if len(levels) > 1:
+            found = found.join(levels[-2].select("x"), "x", "left_anti")
+        found = cut(found)
+        if found.isEmpty():
+            break
+        levels.append(found)
+    below, sized = None, []
+    for level in reversed(levels):
+        level = level.withColumn("size", F.lit(1)) if below is None else level.join(below.groupBy("parent").agg(F.sum("size").alias("s")).withColumnRenamed("parent", "x"), "x", "left").select("x", "parent", (1 + F.coalesce("s", F.lit(0))).alias("size"))
+        below = cut(level)
+        sized.append(below)
+    numbered, above = [], None
+    for level in reversed(sized):
+        if above is None:
+            above = cut(level.withColumn("pre", F.lit(0).cast("long")))
+        else:  # siblings in 64 groups, so that a large parent's children aren't numbered in one task
+            level = level.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(64)))
+            groups = level.groupBy("parent", "salt").agg(F.sum("size").alias("s"))
+            ahead = groups.withColumn("ahead", F.coalesce(F.sum("s").over(Window.partitionBy("parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+            inside = F.sum("size").over(Window.partitionBy("parent", "salt").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+            level = level.withColumn("inside", inside).join(ahead, ["parent", "salt"]).join(above.select(F.col("x").alias("parent"), F.col("pre").alias("p")), "parent")
+            above = cut(level.select("x", "parent", "size", (F.col("p") + 1 + F.col("inside") + F.col("ahead")).alias("pre")))
+        numbered.append(above)
+    nodes = reduce(DataFrame.unionByName, numbered)
+    one, two = nodes.select("x", F.col("parent").alias("px"), F.col("pre").alias("prex")), nodes.select(F.col("x").alias("y"), F.col("parent").alias("py"), F.col("pre").alias("prey"))
+    outside = cut(edges.join(one, "x").join(two, "y").where("not (px <=> y) and not (py <=> x)").select("x", "y", "prey"))
+    own = cut(outside.groupBy("x").agg(F.min("prey").alias("low"), F.max("prey").alias("high")))
+    below, reach = None, []
+    for level in reversed(numbered):
+        level = level.join(own, "x", "left")
+        if below is not None:
+            up = below.groupBy("parent").agg(F.min("low").alias("l"), F.max("high").alias("h")).withColumnRenamed("parent", "x")
+            level = level.join(up, "x", "left").select("x", "parent", "size", "pre", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
+        below = cut(level)
+        reach.append(below)
+    nodes = cut(reduce(DataFrame.unionByName, reach))
+    parents = nodes.where("parent is not null").select(F.col("x").alias("parent"), F.col("pre").alias("ppre"), F.col("size").alias("psize"))
+    leaving = nodes.join(parents, "parent").where("low < ppre or high >= ppre + psize").select(F.col("x").alias("u"), F.col("parent").alias("v"))
+    linked = outside.where("x < y").select(F.col("x").alias("u"), F.col("y").alias("v")).unionAll(leaving)
+    block = stars(linked).withColumnRenamed("node", "x")
+    nodes = cut(nodes.select("x", "parent").join(block, "x", "left").withColumn("block", F.coalesce("root", "x")))
+    under = nodes.where("parent is not null").groupBy(F.col("parent").alias("x")).agg(F.min("block").alias("least"), F.max("block").alias("most"))
+    cuts = nodes.join(under, "x").where("least <> most or (parent is not null and least <> block)").join(cells.select(F.col("a").alias("x")).distinct(), "x", "left_semi")
+    alone = nodes.where("root is null and parent is not null").select(F.greatest("x", "parent").alias("g"), F.least("x", "parent").alias("l"))
+    bridges = cells.where("units = 1").withColumn("g", F.greatest("a", "b")).withColumn("l", F.least("a", "b")).join(alone, ["g", "l"])
+    return bridges.select(F.lit("bridge").alias("kind"), F.col("u").alias("key")).unionAll(cuts.select(F.lit("cut").alias("kind"), F.col("x").alias("key")))
+
+
+def weak(units: DataFrame, local_cells: int = 5_000_000) -> DataFrame:
     """(kind, key): bridging units (hash of unit) and workers that are cut vertices (hash of worker).
 
     Workers with one unit can't be cut vertices and their unit is a bridge by definition, so they are told without the search,
-    and parallel units beyond two of a cell are left out of it: neither changes another answer. What is left of a component goes to one task.
+    and parallel units beyond two of a cell are left out of it: neither changes another answer. Up to local_cells cells that are left
+    are searched in one task, more by spread_weak.
     """
     h = units.select(F.xxhash64("unit").alias("u"), F.xxhash64(F.lit("w"), "w").alias("a"), F.xxhash64(F.lit("f"), "f").alias("b"))
     single = h.groupBy("a").agg(F.count("*").alias("k"), F.min("u").alias("u")).where("k = 1")
-    core = h.join(single.select("a"), "a", "left_anti").groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_set("u")), 1, 2).alias("us")).select("a", "b", F.explode("us").alias("u"))
-    found = core.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: _weak(t.select(["a", "b", "u"])), "kind string, key long")
+    core = cut(h.join(single.select("a"), "a", "left_anti").groupBy("a", "b").agg(F.count_distinct("u").alias("units"), F.min("u").alias("u"), F.max("u").alias("u2")))
+    if core.count() > local_cells:
+        found = spread_weak(core)
+    else:
+        both = core.select("a", "b", F.explode(F.array_distinct(F.array("u", "u2"))).alias("u"))
+        found = both.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: _weak(t.select(["a", "b", "u"])), "kind string, key long")
     return found.unionByName(single.select(F.lit("bridge").alias("kind"), F.col("u").alias("key")))
 
 

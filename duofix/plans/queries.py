@@ -310,6 +310,17 @@ union all select 'rows_out', sum(n)::bigint from o union all select 'units_out',
     "kss_fixed_offset": _controlled(_OFFSET_BIAS),
     "kss_joint": _controlled(_JOINT_BIAS, "ybar"),
     "kss_joint_obs": _controlled(_JOINT_OBS_BIAS),
+    "projection_cov": _FIT.format(obs=_PLAIN) + """,
+xs as (select j, nf, length(f)::double as x from fm join fid using (j)),
+g2 as (select sum(fm.nf) as a, sum(fm.nf * x) as b, sum(fm.nf * x * x) as c from fm join (select j, x from xs) using (j)),
+ld as (select fm.j, fm.nf * (c - b * x) / (a * c - b * b) as l0, fm.nf * (a * x - b) / (a * c - b * b) as l1 from fm join (select j, x from xs) using (j), g2),
+lp as (select i as j, sum(v * l0) as q0, sum(v * l1) as q1 from inv join ld on ld.j = inv.j group by i),
+la as (select w, sum(p * coalesce(q0, 0)) as w0, sum(p * coalesce(q1, 0)) as w1 from sh left join lp using (j) group by w),
+cc as (select n, coalesce(q0, 0) - w0 as c0, coalesce(q1, 0) - w1 as c1, (sy - n * ybar) * (sy - n * hat) / (1 - n * h1) as pr, (sy - n * hat) ^ 2 as e2 from kern join la using (w) left join lp using (j)),
+co as (select sum(l0 * coalesce(psi, 0)) as b0, sum(l1 * coalesce(psi, 0)) as b1 from ld left join psi using (j)),
+va as (select sum(c0 * c0 * pr) as r0, sum(c1 * c1 * pr) as r1, sum(c0 * c0 * e2) as n0, sum(c1 * c1 * e2) as n1 from cc)
+select 'constant' as term, round(b0, 6) as coefficient, round(sqrt(r0), 6) as se, round(sqrt(n0), 6) as naive_se from co, va
+union all select 'x', round(b1, 6), round(sqrt(r1), 6), round(sqrt(n1), 6) from co, va""",
     "kss_hybrid": _kss(_ORDERS, whole="deg > 1", shift="ybar"),
     "decomposition": _FIT.format(obs=_PLAIN) + _BIAS.format(whole="true", shift="0") + """,
 v as (select avg(y * y) - avg(y) ^ 2 as var from obs),

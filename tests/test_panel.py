@@ -223,6 +223,20 @@ def test_bridges_and_cut_vertices_equal_brute_force():
         assert graph.weak_points(edges) == brute_weak(edges)
 
 
+def test_the_spread_search_equals_brute_force(spark):
+    r, rows, bridges, cuts = random.Random(5), [], set(), set()
+    for g in range(150):
+        edges = [(100 * g + k, 100 * g + r.randint(0, 4), 100 * g + 50 + r.randint(0, 4)) for k in range(r.randint(1, 11))]
+        found = brute_weak(edges)
+        bridges, cuts = bridges | found[0], cuts | {x for x in found[1] if x % 100 < 50}
+        rows += edges
+    ring = [(10**6 + 2 * i + k, 10**6 + i, 10**6 + 50 + (i + k) % 12) for i in range(12) for k in (0, 1)]  # no weak point
+    cells = spark.createDataFrame(rows + ring, "u long, a long, b long").groupBy("a", "b").agg(F.count("*").alias("units"), F.min("u").alias("u"))
+    got = graph.spread_weak(cells).collect()
+    assert {x.key for x in got if x.kind == "bridge"} == bridges and {x.key for x in got if x.kind == "cut"} == cuts
+    assert len(got) == len(bridges) + len(cuts)
+
+
 def test_typed_refusals(spark):
     df = panel(spark)[1]
     cases = [
