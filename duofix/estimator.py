@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import collapse, controls, cut, exact, firmwise, graph, inference, projection
+from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, projection
 from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
@@ -55,8 +55,8 @@ class FitResult:
     @cached_property
     def covariance(self) -> np.ndarray:
         """4 x 4 sampling covariance of the corrected targets (exact algorithm without controls)."""
-        if not self.exact or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
-            raise Withheld("INVALID_OPTION", "standard errors need the exact algorithm and no controls")
+        if not self.exact or self.spec.centering == "corrected" or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
+            raise Withheld("INVALID_OPTION", "standard errors need the exact algorithm, no controls, and centering none or mean")
         return inference.estimate(self.rows, self.kernels, self.firms, self.spec, self.solver, self.corrected, self._mean())
 
     def _mean(self) -> float:
@@ -64,8 +64,8 @@ class FitResult:
 
     def projection(self) -> DataFrame:
         """Regression of the effect named by the options on a constant and covariates: coefficient, leave-out and naive standard errors."""
-        if not self.exact or not self.spec.project or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
-            raise Withheld("INVALID_OPTION", "a projection needs project=..., the exact algorithm and no controls")
+        if not self.exact or not self.spec.project or self.spec.centering == "corrected" or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
+            raise Withheld("INVALID_OPTION", "a projection needs project=..., the exact algorithm, no controls, and centering none or mean")
         units = inference.units(self.rows, self.kernels, self.firms, self.spec, self._mean())
         b, robust, naive = projection.regress(self.rows, self.kernels, self.firms, units, self.spec, self.solver)
         rows = zip(("constant", *self.spec.project), b, np.sqrt(np.diag(robust)), np.sqrt(np.diag(naive)), strict=True)
@@ -110,6 +110,9 @@ class TwoWay:
         joint = bool(names) and spec.nuisance == "joint"
         if joint and jla:
             raise Withheld("INVALID_OPTION", "joint controls need algorithm='exact' (at most exact_limit firms and controls); else use nuisance='fixed_offset'")
+        if spec.centering == "corrected":
+            if jla or joint:
+                raise Withheld("INVALID_OPTION", "corrected centering needs the exact algorithm, and no joint controls")
         rows = rows.withColumn("yo", controls.offset(b))
         if names and not joint:
             rows = rows.withColumn("y", F.col("yo"))
@@ -123,11 +126,15 @@ class TwoWay:
             by = cut(joint_controls.correction(rows, k, firms, cells, gram, big_m, names, spec))
         else:
             units = collapse.units(rows).join(rows.select("unit", "mover").distinct(), "unit") if spec.deletion == "match" else collapse.units(rows).withColumn("mover", F.lit(True))
-            by = cut(exact.correction(units, k, firms, spec, fit.mean))
+            by = cut(exact.correction(units, k, firms, replace(spec, centering="mean") if spec.centering == "corrected" else spec, fit.mean))
         got = by.agg(F.max("max_leverage").alias("h"), *[F.sum(t).alias(t) for t in exact.TARGETS]).first()
         if got["h"] >= 1 - 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"largest leverage {got['h']}")
-        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(got)[1:], got["h"], by, (0.0,) * 4, solver)
+        bias = tuple(got)[1:]
+        if spec.centering == "corrected":
+            a, b, c = centering.increment(inference.units(rows, k, firms, spec, fit.mean), spec, solver.k)
+            bias = tuple(x - y for x, y in zip(bias, (a, b, c, a + b + 2 * c), strict=True))
+        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), bias, got["h"], by, (0.0,) * 4, solver)
 
     def _random(self, rows: DataFrame, facts: dict) -> FitResult:
         firms, k, draws, by, _ = random_probes.fit(rows, self.spec)
@@ -135,5 +142,5 @@ class TwoWay:
         got = by.agg(F.max("max_leverage").alias("h"), F.min("least_left").alias("left")).first()
         if got["left"] <= 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"least share left {got['left']}")
-        error = tuple(draws.std(axis=1, ddof=1) / np.sqrt(draws.shape[1]))
-        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(draws.mean(axis=1)), got["h"], by, error, exact=False)
+        error = tuple(map(float, draws.std(axis=1, ddof=1) / np.sqrt(draws.shape[1])))
+        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(map(float, draws.mean(axis=1))), got["h"], by, error, exact=False)

@@ -177,6 +177,7 @@ QUERIES: dict[str, Query] = {
     "kss_fixed_offset": _estimate(events, controls=("c1",), nuisance="fixed_offset"),
     "kss_joint": _estimate(events, controls=("c1",), centering="mean"),
     "kss_joint_obs": _estimate(events, controls=("c1",), deletion="observation"),
+    "kss_centering_corrected": _estimate(events, centering="corrected"),
     "jla_point": _estimate(events, algorithm="jla", probes=64),
     "jla_hybrid": _estimate(orders, algorithm="jla", probes=64, stayers="both", centering="mean"),
     "decomposition": decomposition,
@@ -311,9 +312,9 @@ union all select 'rows_out', sum(n)::bigint from o union all select 'units_out',
     "kss_joint": _controlled(_JOINT_BIAS, "ybar"),
     "kss_joint_obs": _controlled(_JOINT_OBS_BIAS),
     "projection_cov": _FIT.format(obs=_PLAIN) + """,
-xs as (select j, nf, length(f)::double as x from fm join fid using (j)),
-g2 as (select sum(fm.nf) as a, sum(fm.nf * x) as b, sum(fm.nf * x * x) as c from fm join (select j, x from xs) using (j)),
-ld as (select fm.j, fm.nf * (c - b * x) / (a * c - b * b) as l0, fm.nf * (a * x - b) / (a * c - b * b) as l1 from fm join (select j, x from xs) using (j), g2),
+xs as (select fm.j, fm.nf, length(f)::double as x from fm join fid using (j)),
+g2 as (select sum(nf) as a, sum(nf * x) as b, sum(nf * x * x) as c from xs),
+ld as (select j, nf * (c - b * x) / (a * c - b * b) as l0, nf * (a * x - b) / (a * c - b * b) as l1 from xs, g2),
 lp as (select i as j, sum(v * l0) as q0, sum(v * l1) as q1 from inv join ld on ld.j = inv.j group by i),
 la as (select w, sum(p * coalesce(q0, 0)) as w0, sum(p * coalesce(q1, 0)) as w1 from sh left join lp using (j) group by w),
 cc as (select n, coalesce(q0, 0) - w0 as c0, coalesce(q1, 0) - w1 as c1, (sy - n * ybar) * (sy - n * hat) / (1 - n * h1) as pr, (sy - n * hat) ^ 2 as e2 from kern join la using (w) left join lp using (j)),

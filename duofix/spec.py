@@ -18,6 +18,7 @@ HINTS = {
     "NONESTIMABLE_UNIT": "a deletion unit has leverage 1",
     "RANK_DEFICIENT_CONTROLS": "controls are collinear with the effects or one another",
     "INFERENCE_MODEL_REMOVED": "this variance model is no longer offered",
+    "CENTERING_UNIT": "use centering='mean', or drop the unit",
     "RANK_DEFICIENT_PROJECTION": "the covariates of the projection are collinear with one another or the constant",
     "PROJECTION_COVARIANCE": "the estimated covariance of the projection isn't positive; use fewer covariates or more units",
     "INFERENCE_VARIANCE_INVALID": "the unit variances can't be estimated on this sample",
@@ -71,7 +72,7 @@ class PanelSpec:
     project_weight: str = "frequency"
 
     def validate(self) -> PanelSpec:
-        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla")), ("project_effect", ("worker", "firm")), ("project_weight", ("frequency", "target"))):
+        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean", "corrected")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla")), ("project_effect", ("worker", "firm")), ("project_weight", ("frequency", "target"))):
             if getattr(self, name) not in allowed:
                 raise Withheld("INVALID_OPTION", f"{name}={getattr(self, name)!r}: one of {', '.join(allowed)}")
         if self.inference_model in ("target_lowess", "structured_common", "structured_leverage"):

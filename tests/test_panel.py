@@ -155,6 +155,45 @@ def test_projection_equals_the_dense_regression(spark, effect):
     assert [x.naive_se for x in got.collect()][1] == pytest.approx(naive[1, 1] ** 0.5, abs=1e-9)
 
 
+@pytest.mark.parametrize("deletion", ["match", "observation"])
+def test_corrected_centering_equals_the_expanded_system(spark, deletion):
+    df = sources.simulate(spark, "ex3")
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", frequency="frequency", target="target_mass", deletion=deletion)
+    mean, got = (TwoWay(replace(spec, centering=c)).fit(df) for c in ("mean", "corrected"))
+    rows = got.rows.toPandas()
+    s = rows["t"].to_numpy() / rows["t"].sum()
+    w, f = (np.unique(rows[c], return_inverse=True)[1] for c in ("w", "f"))
+    x = np.hstack([np.eye(w.max() + 1)[w], np.eye(f.max() + 1)[f][:, :-1]])
+    c, nw = np.diag(s) - np.outer(s, s), w.max() + 1
+    d, ff = x.copy(), x.copy()
+    d[:, nw:], ff[:, :nw] = 0, 0
+    times = rows["n"].astype(int).to_numpy()
+    at = np.repeat(np.arange(len(rows)), times)
+    xe, ye = x[at], rows["y"].to_numpy()[at]
+    a = np.linalg.inv(xe.T @ xe)
+    m = np.eye(len(at)) - xe @ a @ xe.T
+    n, e, z = len(at), m @ ye, ye - ye.mean()
+    group = at if deletion == "match" else np.arange(n)
+    member = np.eye(group.max() + 1)[group]
+    assert not rows.duplicated(["w", "f"]).any()
+    t, xi, share = np.zeros(n), np.zeros(n), np.zeros(member.shape[1])
+    for g in range(member.shape[1]):
+        i = np.flatnonzero(group == g)
+        r = np.linalg.solve(m[np.ix_(i, i)], e[i])
+        t[i], xi[i] = z[i] * r.sum(), (z[i] * r.sum() - r * z[i].sum()) / len(i)
+        share[g] = m[np.ix_(i, i)].sum() / len(i)
+    b = member.T @ (m @ t)
+    for g in range(len(b)):
+        i = np.flatnonzero(group == g)
+        b[g] -= n * (m[np.ix_(i, i)] @ xi[i]).sum()
+    kappa = np.linalg.solve(n * np.diag(share) - member.T @ m @ member, b)
+    chat = xi + (kappa / member.sum(0))[group]
+    same = group[:, None] == group[None, :]
+    for k, q in enumerate((d.T @ c @ d, ff.T @ c @ ff, (d.T @ c @ ff + ff.T @ c @ d) / 2)):
+        want = -((xe @ a @ q @ a @ xe.T) * same).sum(0) @ chat
+        assert got.corrected[k] - mean.corrected[k] == pytest.approx(want, abs=1e-11) and abs(want) > 1e-9
+
+
 def test_signs_have_the_moments_of_sums_of_signs():
     s = jla.signs(np.arange(300), np.tile([1, 5, 200], 100), np.arange(100), 3, 1)
     assert set(np.unique(s[::3])) == {-1.0, 1.0} and (np.abs(s[1::3]) <= 5).all()
