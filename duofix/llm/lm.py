@@ -9,7 +9,8 @@ a word's class needs no table. P(w | class) = (c + 0.5) / (N_class + 0.5 (V_clas
 share being that of unknown words, so that the probabilities of each class sum to 1 at most.
 
 P(class | history) is a softmax over sums of weight rows, found by hashing: bias, previous word,
-previous two words, and the last very frequent word (skip over any gap). Each task runs gradient steps over all training texts of its partition and
+previous two words, the word before the previous one (skip), and the last very frequent word
+(skip over any gap). Each task runs gradient steps over all training texts of its partition and
 the weight rows of all tasks are averaged, weighted by how often each task updated the row.
 
 Counts cover all training texts. Words that aren't broadcast get their counts by a join.
@@ -126,7 +127,7 @@ class Vocabulary:
 
 
 def features(place: np.ndarray, cls: np.ndarray, bounds: np.ndarray, anchor: np.ndarray, rows: int) -> np.ndarray:
-    """(tokens, 4) weight rows; row 0 is the bias."""
+    """(tokens, 5) weight rows; row 0 is the bias."""
     n = len(place)
     start = np.repeat(bounds[:-1], np.diff(bounds))
     i = np.arange(n)
@@ -138,9 +139,9 @@ def features(place: np.ndarray, cls: np.ndarray, bounds: np.ndarray, anchor: np.
     last = np.maximum.accumulate(np.where(mark >= 0, i, -1)) if n else i
     last = np.concatenate([[-1], last[:-1]]) if n else last
     far = np.where(last >= start, mark[np.maximum(last, 0)], ANCHORS).astype(U)
-    out = np.zeros((n, 4), np.int64)
+    out = np.zeros((n, 5), np.int64)
     with np.errstate(over="ignore"):
-        for k, x in enumerate((one, one * U(0x9E3779B97F4A7C15) + two, far)):
+        for k, x in enumerate((one, one * U(0x9E3779B97F4A7C15) + two, two, far)):
             out[:, k + 1] = 1 + ((mix(x * U(8) + U(k + 1)) >> U(32)) * U(rows - 1) >> U(32)).astype(np.int64)
     return out
 
@@ -177,8 +178,9 @@ def _train(batches, text_col: str, vocab: Vocabulary, rows: int, rate: float, st
                 g = np.concatenate([g, p.sum(axis=0, keepdims=True)])
                 n = np.concatenate([np.diff(np.concatenate([cut_, [len(flat)]])), [len(y)]])
                 g /= np.sqrt(n)[:, None]
-                square[who] += g * g
-                w[who] -= rate * g / np.sqrt(square[who])
+                sq = square[who] + g * g
+                square[who] = sq
+                w[who] -= rate * g / np.sqrt(sq)
                 seen[who] += n
     for a in range(0, rows, CHUNK):
         if seen[a : a + CHUNK].any():

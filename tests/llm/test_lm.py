@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from duofix.llm import lm
@@ -61,3 +62,11 @@ def test_empty_and_odd_tables(spark):
     assert lm.score(none, rows=64).count() == 0
     rows = lm.score(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), rows=64).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(True, 3, 0, 0)] * 2
+
+
+def test_the_word_before_the_previous_one_is_a_feature_of_its_own():
+    """Two histories that share only that word share a weight row besides the bias."""
+    place = np.array([1, 2, 5, 1, 3, 5])
+    f = lm.features(place, np.ones(6, np.int64), np.array([0, 3, 6]), np.full(8, -1), 1 << 16)
+    x, y = f[2, 1:], f[5, 1:]
+    assert [a == b for a, b in zip(x, y, strict=True)] == [False, False, True, True]  # no frequent word in either text
