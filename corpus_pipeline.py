@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand on many sites; n_chars follows the text. Copies, of which little is left, go."""
+    """Documents without lines that stand on many sites; n_chars follows the text. Documents without any text left go."""
     return lines.strip(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 

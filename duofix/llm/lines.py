@@ -62,9 +62,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(*rest)
 
 
-def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_kept: float = 0.3, **options) -> DataFrame:
-    """line_dedup without statistics, without the documents of which less than least_kept of the bytes is left (copies of others, line by line)."""
-    size = fresh(docs, "size")
-    out = line_dedup(docs.withColumn(size, F.octet_length(F.col(f"`{text_col}`"))), id_col=id_col, text_col=text_col, site_col=site_col, stats=False, **options)
-    left = F.octet_length(F.col(f"`{text_col}`"))
-    return out.where(F.coalesce((left >= F.col(size) * least_kept), F.lit(True))).drop(size)
+def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **options) -> DataFrame:
+    """line_dedup without statistics, without the documents that lost lines and have no text but blank lines left."""
+    said = fresh(docs, "said")
+    some = F.col(f"`{text_col}`").rlike("[^ \n]")
+    out = line_dedup(docs.withColumn(said, some), id_col=id_col, text_col=text_col, site_col=site_col, stats=False, **options)
+    return out.where(F.coalesce(~F.col(said) | some, F.lit(True))).drop(said)

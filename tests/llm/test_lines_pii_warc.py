@@ -161,3 +161,10 @@ def test_revisits_equal_brute_force(spark, per_cut):
     got = warc.resolve_revisits(df, rows_per_cut=per_cut).collect()
     assert {x.record_id: (x.target_id, x.status, x.headers) for x in got} == want and len(got) == len(want)
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_strip_keeps_what_is_left_of_a_document_however_little(spark):
+    line = "a passage that stands on many sites " * 5
+    docs = [(i, line, f"s{i}") for i in range(10)] + [(10, f"{line}\nown", "s1"), (11, f"{line}\n \n", "s2"), (12, " \n", "s3"), (13, "", "s4"), (14, None, "s5")]
+    got = {r.doc_id: r.text for r in lines.strip(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {0: line, 10: "own", 12: " \n", 13: "", 14: None}
