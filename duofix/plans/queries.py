@@ -28,8 +28,16 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.col("o_custkey").alias("w"), F.col("o_orderpriority").alias("f"), F.log1p(F.col("o_totalprice")).alias("value"))
 
 
+def _parts(li: DataFrame) -> DataFrame:
+    return li.select(F.col("l_partkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").where("l_quantity <= 1").select(F.col("l_partkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
+    return _parts(_table(spark, sf_dir, "lineitem").where("l_quantity <= 1"))
+
+
+def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(_table(spark, sf_dir, "lineitem"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +77,16 @@ def target_strata(spark, sf_dir):
     return collapse.strata(_frozen(events, frequency="fw", target="tw")(spark, sf_dir)).select("w", "f", r6("copy_mass").alias("copy_mass"), F.col("n").cast("long").alias("n"), r6("t").alias("t"))
 
 
+def _classified(panel: Query, spark, sf_dir):
+    return collapse.classify(_frozen(panel)(spark, sf_dir)).select("w", "units", "firms", F.col("physical").cast("long").alias("physical"), "mover")
+
+
 def mover_stayer(spark, sf_dir):
-    return collapse.classify(_frozen(parts)(spark, sf_dir)).select("w", "units", "firms", F.col("physical").cast("long").alias("physical"), "mover")
+    return _classified(parts, spark, sf_dir)
+
+
+def mover_stayer_whole(spark, sf_dir):
+    return _classified(all_parts, spark, sf_dir)
 
 
 def sample_complete(spark, sf_dir):
@@ -78,11 +94,19 @@ def sample_complete(spark, sf_dir):
     return sources.freeze(e, PanelSpec("value", "w", "f", deletion="observation")).groupBy("f").agg(F.count("*").alias("rows"), r6(F.sum("y")).alias("total"))
 
 
-def components(spark, sf_dir):
-    found = graph.components(parts(spark, sf_dir).select("w", "f").distinct())
+def _components(panel: Query, spark, sf_dir):
+    found = graph.components(panel(spark, sf_dir).select("w", "f").distinct())
     return found.groupBy("root").agg(F.min("w").alias("least_worker"), F.countDistinct("w").alias("workers"), F.countDistinct("f").alias("firms"), F.count("*").alias("cells")).drop("root")
 
 
+def components(spark, sf_dir):
+    return _components(parts, spark, sf_dir)
+
+
+def components_whole(spark, sf_dir):
+    return _components(all_parts, spark, sf_dir)
+
+
 def sample_accounting(spark, sf_dir):
     _, facts = graph.select(_frozen(orders, stayers="both")(spark, sf_dir), PanelSpec("value", "w", "f", stayers="both"))
     keep = ("rows_in", "units_in", "stayers_in", "stayers_added", "rows_out", "units_out", "workers_out", "firms_out")
@@ -162,7 +186,9 @@ QUERIES: dict[str, Query] = {
     "unit_collapse": unit_collapse,
     "target_strata": target_strata,
     "mover_stayer": mover_stayer,
+    "mover_stayer_whole": mover_stayer_whole,
     "components": components,
+    "components_whole": components_whole,
     "sample_accounting": sample_accounting,
     "firm_laplacian": firm_laplacian,
     "firm_effects": firm_effects,
@@ -290,6 +316,7 @@ ORACLES: dict[str, str] = {
     "unit_collapse": "select concat_ws('-', user_id, event_type, event_id % 2) as unit, user_id as w, event_type as f, count(*) as n, round(sum(value) / sqrt(count(*)), 6) as y_unit from events group by 1, 2, 3",
     "target_strata": f"select w, f, round(t / n, 6) as copy_mass, sum(n)::bigint as n, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f, t / n",
     "mover_stayer": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem where l_quantity <= 1 group by 1",
+    "mover_stayer_whole": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem group by 1",
     "components": """with recursive e as (select distinct l_partkey as w, l_suppkey as f from lineitem where l_quantity <= 1),
 hop as (select distinct a.w as x, b.w as y from e a join e b using (f)),
 reach as (select w as x, w as y from (select distinct w from e) union select r.x, h.y from reach r join hop h on h.x = r.y where h.y < r.x or true),

@@ -321,3 +321,23 @@ def test_registry_and_entry():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_components_and_movers_of_the_whole_table_equal_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    li = [(w, 1000 * (w % 4) + r.randint(1, 3), float(r.randint(1, 50)), 10.0) for w in range(1, 41) for _ in range(r.randint(1, 4))]
+    spark.createDataFrame(li, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = {(w, f) for w, f, _, _ in li}
+    left, want = set(cells), []
+    while left:
+        group = {left.pop()}
+        while more := {c for c in left if any(c[0] == g[0] or c[1] == g[1] for g in group)}:
+            group |= more
+            left -= more
+        want.append((min(w for w, _ in group), len({w for w, _ in group}), len({f for _, f in group}), len(group)))
+    got = [(x.least_worker, x.workers, x.firms, x.cells) for x in QUERIES["components_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) >= 4
+    firms = {w: len({f for v, f in cells if v == w}) for w, _ in cells}
+    rows = {w: sum(x[0] == w for x in li) for w in firms}
+    got = {x.w: (x.units, x.firms, x.physical, x.mover) for x in QUERIES["mover_stayer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {w: (firms[w], firms[w], rows[w], firms[w] > 1) for w in firms}
