@@ -102,7 +102,7 @@ def _forest(nodes: np.ndarray, d: np.ndarray, g: np.ndarray, size: np.ndarray, p
     inter = np.zeros((n, n), np.float32 if size.max(initial=0) < 1 << 24 else np.float64)
     if len(col):
         _, col = np.unique(col, return_inverse=True)
-        cuts = np.searchsorted(col, np.arange(0, col[-1] + 8192, 8192))
+        cuts = np.searchsorted(col, np.arange(0, col[-1] + 8193, 8192))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x = np.zeros((n, 8192 if len(cuts) > 2 else int(col[-1]) + 1), inter.dtype)
             x[ds[a:b], col[a:b] % 8192] = 1

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from duofix.llm import neardup
 from duofix.llm.components import components
 from duofix.llm.neardup import near_duplicates, shape, sketches
 from duofix.llm.text import U, mix
@@ -91,3 +92,10 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 8191, 8192, 8193, 16385])
+def test_every_shared_shingle_counts(n):
+    d, g = np.repeat([0, 1], n), np.tile(np.arange(n, dtype=np.uint64), 2)
+    u, v = neardup._forest(np.array([5, 9]), d, g, np.array([n, n]), 100)
+    assert (u.tolist(), v.tolist()) == ([9], [5])
