@@ -35,7 +35,7 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bo da de do fa fe fo ga go ka ke ko la le lo ma me mo na ne no pa ra re ro sa se so ta te", "cyrillic": "ба бо ва во га го да до ка ко ла ло ма мо на но па по ра ро са со та то"}
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/]{0,256}[0-9])[A-Za-z0-9_\-+/]{16,256}"
+SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/]*+[0-9])[A-Za-z0-9_\-+/]{16,}+"
 NAME = rf"\b(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<![\d])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"

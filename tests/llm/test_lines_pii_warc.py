@@ -168,3 +168,13 @@ def test_strip_keeps_what_is_left_of_a_document_however_little(spark):
     docs = [(i, line, f"s{i}") for i in range(10)] + [(10, f"{line}\nown", "s1"), (11, f"{line}\n \n", "s2"), (12, " \n", "s3"), (13, "", "s4"), (14, None, "s5")]
     got = {r.doc_id: r.text for r in lines.strip(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert got == {0: line, 10: "own", 12: " \n", 13: "", 14: None}
+
+
+def test_a_secret_is_replaced_to_its_end(spark):
+    long, late = "aB3_" * 100, "q" * 300 + "7" + "z" * 50
+    df = spark.createDataFrame([(1, f"token={long} end"), (2, f"token={late} end")], "doc_id long, text string")
+    for r in pii.pseudonymise(df, key="k").collect():
+        old = long if r.doc_id == 1 else late
+        new = r.text.removeprefix("token=").removesuffix(" end")
+        assert r.n_entities == 1 and len(new) == len(old)
+        assert all(old[k : k + 16] != new[k : k + 16] for k in range(0, len(old) - 16, 16))
