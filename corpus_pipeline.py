@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duofix.llm import decontam, lines, neardup, pieces, quality
-from duofix.llm.runtime import cut, drop_ids, table
+from duofix.llm.runtime import cut, drop_ids, small, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,11 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id."""
+    """Of each group of near copies, the document of the smallest id; of repeated rows (same id and text), one."""
     found = neardup.near_duplicates(docs, percent=80)
-    return drop_ids(docs, cut(found.where("not kept").select("doc_id")))
+    rest = drop_ids(docs, cut(found.where("not kept").select("doc_id")))
+    twice = cut(rest.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    return drop_ids(rest, twice).unionByName(rest.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

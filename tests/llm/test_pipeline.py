@@ -39,3 +39,10 @@ def test_stages_catch_what_is_planted_and_keep_the_rest(spark, tmp_path):
     assert set(seen["pieces"]) == set(seen["benchmark"]) and set(clean) <= set(seen["pieces"])
     again = {tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert again == {tuple(x) for x in seen["pieces"].values()}
+
+
+def test_of_repeated_rows_one_stays(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, "other text " * 9), (3, "third text " * 9), (None, "no id"), (None, "nor here")]
+    got = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([rows[0], *rows[3:]], "doc_id long, text string").collect()))
