@@ -9,7 +9,9 @@ the response, replaced by the permitted ones of the revisit.
 Time is cut at quantiles, so that a URL with very many captures is dealt over tasks; the latest response of
 earlier cuts is carried over. Ties in time go by record id: the smaller one is earlier. Records with a null URL,
 time or id are never targets, and such revisits stay unresolved; so do those without an earlier
-response or with no validator in common. Repeated records share their result, but each has its row.
+response or with no validator in common. Repeated records share their result, but each has its row. Header names
+are compared in lower case; fields of one name are joined by ", " in the order of their original names. Columns
+beyond those named are left out, whatever their names. Long values are kept whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,20 @@ def _tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
+def _low(headers: Column) -> Column:
+    """Header fields by lower-case name; null is none, and fields that differ by case alone are joined."""
+    own = F.coalesce(headers, F.create_map().cast("map<string,string>"))
+    lowered = F.transform(F.map_keys(own), F.lower)
+    fields = F.array_sort(F.map_entries(own))
+    names = F.array_distinct(lowered)
+
+    def joined(name: Column) -> Column:
+        values = F.transform(F.filter(fields, lambda x: (F.lower(x["key"]) == name) & x["value"].isNotNull()), lambda x: x["value"])
+        return F.when(F.size(values) > 0, F.array_join(values, ", "))
+
+    return F.when(F.size(names) == F.size(lowered), F.map_from_arrays(lowered, F.map_values(own))).otherwise(F.map_from_arrays(names, F.transform(names, joined)))
+
+
 def resolve_revisits(records: DataFrame, *, rows_per_cut: int = 50_000) -> DataFrame:
     """For each revisit: record_id, url (canonical), target_id, status and headers (merged; its own if unresolved).
 
@@ -71,11 +87,10 @@ def resolve_revisits(records: DataFrame, *, rows_per_cut: int = 50_000) -> DataF
         .when(times, F.when(F.trim("last_modified") == F.trim("t.last_modified"), "resolved").otherwise("mismatch"))
         .otherwise("no_validator")
     )
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    fresh_ = F.map_filter(low(F.col("headers")), lambda k, v: k.isin(PERMITTED))
-    old = F.map_filter(low(F.col("t.headers")), lambda k, v: ~F.map_contains_key(fresh_, k))
-    out = joined.withColumn("status", status).select(
-        "record_id", "url", F.when(F.col("status") == "resolved", F.col("target_id")).alias("target_id"), "status", F.when(F.col("status") == "resolved", F.map_concat(old, fresh_)).otherwise(low(F.col("headers"))).alias("headers")
-    )
-    odd = r.where(~fine & (F.col("kind") == "revisit")).select("record_id", "url", F.lit(None).cast("long").alias("target_id"), F.lit("incomplete").alias("status"), low(F.col("headers")).alias("headers"))
+    joined = joined.withColumn("status", status).withColumn("own", _low(F.col("headers"))).withColumn("theirs", _low(F.col("t.headers")))
+    joined = joined.withColumn("update", F.map_filter("own", lambda k, v: k.isin(PERMITTED)))
+    kept = F.map_filter("theirs", lambda k, v: ~F.map_contains_key(F.col("update"), k))
+    done = F.col("status") == "resolved"
+    out = joined.select("record_id", "url", F.when(done, F.col("target_id")).alias("target_id"), "status", F.when(done, F.map_concat(kept, "update")).otherwise(F.col("own")).alias("headers"))
+    odd = r.where(~fine & (F.col("kind") == "revisit")).select("record_id", "url", F.lit(None).cast("long").alias("target_id"), F.lit("incomplete").alias("status"), _low(F.col("headers")).alias("headers"))
     return out.unionByName(odd)
