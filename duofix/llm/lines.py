@@ -6,7 +6,8 @@ the threshold, the sites are counted exactly. A line of at least `min_sites` sit
 it stays where it stands in the document of the smallest id and goes everywhere else.
 
 Blank lines never go, and a null site counts as no site. Null text stays null; an empty text has one
-blank line. Repeated rows are treated alike. A null id is never the first holder of a line. Only
+blank line. Repeated rows are treated alike. A null id is never the first holder of a line. Texts of any length are
+taken whole, an empty table gives an empty result, and extra columns stay as they are, whatever their names. Only
 lines' hashes and the ids of holders are shuffled to decide; texts are shuffled once, to rewrite.
 """
 
@@ -38,13 +39,12 @@ def spread(lines: DataFrame, min_sites: int, band: float) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, band: float = 0.3, stats: bool = True) -> DataFrame:
-    """docs, all columns, with the text rewritten; with stats also n_lines and n_removed (docs must have no such columns)."""
+    """docs, all columns, with the text rewritten; with stats also n_lines and n_removed (n_lines_0 and so on where docs has such columns)."""
     need(docs, id_col, text_col, site_col)
-    if stats and {"n_lines", "n_removed"} & {c.lower() for c in docs.columns}:
-        raise ValueError("docs already has n_lines or n_removed: use stats=False")
+    total, lost = (c if c not in {x.lower() for x in docs.columns} else fresh(docs, c) for c in ("n_lines", "n_removed"))
     doc, text, site = (F.col(f"`{c}`") for c in (id_col, text_col, site_col))
     key = fresh(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64(doc, text))
+    keyed = docs.withColumn(key, F.struct(F.xxhash64(doc, text).alias("a"), F.xxhash64(F.lit(1), text, doc).alias("b")))  # 128 bits, as one key for two texts would mix them up
     lines = docs.select(doc.alias("doc"), site.cast("string").alias("site"), F.explode(_parts(text)).alias("line")).where(F.trim("line") != "").select("doc", "site", _hash(F.col("line")).alias("h"))
     bad = cut(spread(lines, min_sites, band))
 
@@ -58,7 +58,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rest = [F.col(f"`{c}`") if c != text_col else F.array_join(kept, "\n").alias(text_col) for c in docs.columns]
     if stats:
         n = F.coalesce(F.size(parts), F.lit(0))
-        rest += [F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(text.isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias("n_removed")]
+        rest += [F.when(text.isNull(), 0).otherwise(n).cast("long").alias(total), F.when(text.isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(lost)]
     return out.select(*rest)
 
 
