@@ -1,18 +1,21 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities: e-mail addresses, phone numbers, IPv4 addresses, payment-card numbers (valid check
-digit), secrets that follow a word like token or password, and names after a form of address.
+Entities: e-mail addresses; phone numbers (international, and national ones with separators); IPv4 and IPv6 addresses;
+payment-card numbers (valid check digit); IBANs (valid check number); social-security numbers; passwords, and long values with
+a digit, that follow a word like password or token; JSON web tokens and keys of well-known forms; names after a form of
+address, and the same names without one elsewhere in the same text. Names in other scripts than Latin and Cyrillic aren't found.
 Each gets a keyed replacement of its kind: digits for digits, letters of the same case for
-letters, a valid check digit, the same separators, valid octets, given names of the gender that the form of
+letters, valid check digits, the same separators, valid octets, given names of the gender that the form of
 address tells, in the script of the original.
 
-An entity's canonical form (digits only, lower case) decides, so all its mentions get the same
+An entity's canonical form (digits only, lower case; secrets as they are) decides, so all its mentions get the same
 replacement, in their own format; a surname alone gets that of the full name. Replacements of one
-kind are checked against each other and against all originals; what collides is drawn again, so
-distinct entities stay distinct.
+kind are checked against each other and against all originals; what collides is drawn again, from the sixth
+draw on with one more character each time, so distinct entities stay distinct however few forms their kind has.
 
-Null text stays null, text without entities stays as it is, and repeated rows are treated alike.
-Rows with a null id are rewritten like others. Fails if a kind's replacements still collide after `most_tries` draws.
+Null text stays null, text without entities stays as it is, and repeated rows are treated alike. Texts and entities of any
+length are taken whole. Rows with a null id are rewritten like others, an empty table gives an empty result, and extra
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +37,26 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe fo ga go ka ke ko la le lo ma me mo na ne no pa ra re ro sa se so ta te", "cyrillic": "ба бо ва во га го да до ка ко ла ло ма мо на но па по ра ро са со та то"}
 
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/]*+[0-9])[A-Za-z0-9_\-+/]{16,}+"
-NAME = rf"\b(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+TITLES = rf"{FEMALE}|{MALE}|Dr|Prof|Professor|Doctor"
+WORD = r"\p{Lu}\p{L}+(?:[\-'’]\p{Lu}\p{L}+)*+"
+
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
+SECRET = (
+    r"(?i:\b(?:token|secret|api[_\-]?key|access[_\-]?key|secret[_\-]?key|private[_\-]?key|bearer)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/.~]*+[0-9])[A-Za-z0-9_\-+/.~]{16,}+=*+"
+    r"|(?i:\b(?:password|passwd|passphrase|pwd)\b)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,}+"
+    r"|\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*+|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+"
+)
+NAME = rf"\b(?:{TITLES})\.? (?:(?:Dr|Prof)\.? )?{WORD}(?: {WORD})?"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
-CARD = r"(?<![\d])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{1,4}(?:[ .\-]\d{2,4}){2,4})(?!\d)|(?<![\d(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-KINDS = {"secret": SECRET, "email": EMAIL, "phone": PHONE, "card": CARD, "ip": IP, "name": NAME}
+IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[A-Fa-f:]*[0-9])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"
+CARD = r"(?<![\d])(?:\d{4}(?<four>[ \-])\d{4}\k<four>\d{4}\k<four>\d{4}|\d{4}(?<six>[ \-])\d{6}\k<six>\d{5}|\d{13,19})(?!\d)"
+IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+PHONE = (
+    r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{1,4}(?:[ .\-]\d{2,4}){2,4})(?!\d)|(?<![\d(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
+    r"|(?<![\d+.\-])\d{3}(?<part>[.\-])\d{3}\k<part>\d{4}(?![\d\-]|\.\d)|(?<![\w+/.,:\-])0\d{1,4}[/ \-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}(?![\d/:\-]|[.,]\d)"
+)
+KINDS = {"secret": SECRET, "email": EMAIL, "ip6": IP6, "phone": PHONE, "ssn": SSN, "iban": IBAN, "card": CARD, "ip": IP, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -55,6 +71,21 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda a, i: a + term(i))
 
 
+def mod97(text: Column) -> Column:
+    """Of a string of digits and capital letters (A is 10), read as a number."""
+
+    def step(a: Column, i: Column) -> Column:
+        c = F.substring(text, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), lambda a, i: step(a, i).cast("int"))
+
+
+def _turned(iban: Column) -> Column:
+    """With the first four characters at the end, as the check number asks."""
+    return F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+
 def _stream(seed: Column, size: Column) -> Column:
     """At least `size` pseudo-random hex digits."""
     blocks = F.sequence(F.lit(0), F.floor(size / 64).cast("int"))
@@ -89,29 +120,42 @@ def _shaped(value: Column, seed: Column, hexadecimal: Column) -> Column:
 
 def _surrogate(key: str) -> Column:
     """The canonical replacement for kind, canon, attempt."""
-    canon = F.col("canon")
-    seed = F.concat_ws("|", F.lit(key), F.col("kind"), canon, F.col("attempt").cast("string"))
+    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     stream = _stream(seed, F.lit(64))
+    more = F.greatest(attempt - 5, F.lit(0))  # characters beyond those of the original, where its form has too few others
+    spare = lambda n, digit: F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: digit(_nth(_stream(F.concat(seed, F.lit("+")), more * 4), i, n))), "")).otherwise(F.lit(""))
+    digits_more = spare(10, lambda x: x.cast("string"))
+    letters_more = spare(26, lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), x + 1, F.lit(1)))
     middle = F.sequence(F.lit(2), F.greatest(F.length(canon) - 1, F.lit(2)))
     digits = _let(_stream(seed, F.length(canon) * 4), lambda s: F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(middle, lambda i: _nth(s, i, 10).cast("string")), "")))
     card = _let(digits, lambda d: F.concat(d, ((10 - luhn_sum(F.concat(d, F.lit("0"))) % 10) % 10).cast("string")))
     ip = F.concat_ws(".", *[(_nth(stream, F.lit(i), 253) + 1).cast("string") for i in range(1, 5)])
-    email = F.concat(_shaped(F.regexp_extract(canon, r"^(.*)\.[^.]+$", 1), seed, F.lit(False)), F.lit("."), F.regexp_extract(canon, r"\.([^.]+)$", 1))
+    ip6 = F.concat(_shaped(canon, seed, F.lit(True)), digits_more)
+    email = F.concat(letters_more, _shaped(F.regexp_extract(canon, r"^(.*)\.[^.]+$", 1), seed, F.lit(False)), F.lit("."), F.regexp_extract(canon, r"\.([^.]+)$", 1))
     # phones keep their country code, which canon has before a colon
-    phone = F.concat(F.substring_index(canon, ":", 1), F.lit(":"), _shaped(F.substring_index(canon, ":", -1), seed, F.lit(False)))
-    secret = _shaped(canon, seed, canon.rlike("^[0-9a-f]+$"))
+    phone = F.concat(F.substring_index(canon, ":", 1), F.lit(":"), _shaped(F.substring_index(canon, ":", -1), seed, F.lit(False)), digits_more)
+    ssn = F.concat(_shaped(canon, seed, F.lit(False)), digits_more)
+    iban = _let(_shaped(F.substring(canon, F.lit(5), F.length(canon)), seed, F.lit(False)), lambda x: F.concat(F.substring(canon, 1, 2), F.lpad((98 - mod97(F.concat(x, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))
+    secret = F.concat(_shaped(canon, seed, canon.rlike("^[0-9a-fA-F]+$")), letters_more)
     given = F.lit(None).cast("string")
     sur = F.lit(None).cast("string")
+    parts = F.size(F.split(canon, "-"))  # a double name gets a double name
     for script, syllables in SYLLABLES.items():
         here = canon.startswith(script)
         size = len(syllables.split())
-        tail = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.ceil(F.col("attempt") / 2).cast("int"), F.lit(8)), F.lit(1))), lambda i: _pick(syllables, _nth(stream, i + 1, size))), "")
+        tail = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(attempt / 2).cast("int"), F.lit(1))), lambda i: _pick(syllables, _nth(_stream(F.concat(seed, F.lit("~")), attempt * 4 + 4), i, size))), "")
         for g in "fmu":
             names = GIVEN[script, g]
-            given = F.when(here & canon.startswith(f"{script}:{g}:"), F.concat(_pick(names, _nth(stream, F.lit(1), len(names.split()))), F.when(F.col("attempt") > 0, tail).otherwise(F.lit("")))).otherwise(given)
-        n = len(syllables.split())
-        sur = F.when(here, F.initcap(F.concat(*[_pick(syllables, _nth(stream, F.lit(i), n)) for i in range(1, 6)]))).otherwise(sur)
-    return F.when(F.col("kind") == "card", card).when(F.col("kind") == "ip", ip).when(F.col("kind") == "email", email).when(F.col("kind") == "phone", phone).when(F.col("kind") == "secret", secret).when(F.col("kind") == "given", given).otherwise(sur)
+            n = len(names.split())
+            one = F.array_join(F.transform(F.sequence(F.lit(1), parts), lambda i: _pick(names, _nth(_stream(seed, parts * 4), i, n))), "-")
+            given = F.when(here & canon.startswith(f"{script}:{g}:"), F.concat(one, F.when(attempt > 0, tail).otherwise(F.lit("")))).otherwise(given)
+        long = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: _pick(syllables, _nth(_stream(seed, parts * 20), k * 5 + i, size))), "")))
+        sur = F.when(here, F.concat(F.array_join(long, "-"), F.when(more > 0, tail).otherwise(F.lit("")))).otherwise(sur)
+    out = F.when(kind == "given", given).otherwise(sur)
+    for name, put in (("card", card), ("ip", ip), ("ip6", ip6), ("email", email), ("phone", phone), ("ssn", ssn), ("iban", iban), ("secret", secret)):
+        out = F.when(kind == name, put).otherwise(out)
+    return out
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -121,10 +165,11 @@ def mentions(found: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for k in reversed(KINDS):
         kind = F.when(e.rlike(f"^(?:{KINDS[k]})$"), F.lit(k)).otherwise(kind)
-    kind = F.when((kind == "card") & (luhn_sum(digits) % 10 != 0), None).otherwise(kind)
+    bare = F.upper(F.regexp_replace(e, " ", ""))
+    kind = F.when((kind == "card") & (luhn_sum(digits) % 10 != 0), None).when((kind == "iban") & (mod97(_turned(bare)) != 1), None).otherwise(kind)
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much to compute: not to be merged into one task
     d = found.select("entity").distinct().repartition(tasks).withColumn("kind", kind).where("kind is not null")
-    prefix = F.when(F.col("kind") == "secret", F.regexp_extract("entity", r"^(.*?[=:]\s{0,3}[\"']?)", 1)).when(F.col("kind") == "name", F.regexp_extract("entity", r"^(\S+ )", 1)).otherwise(F.lit(""))
+    prefix = F.when(F.col("kind") == "secret", F.regexp_extract("entity", r"(?s)^([^=:]*[=:]\s{0,3}[\"']?)(?=.)", 1)).when(F.col("kind") == "name", F.regexp_extract("entity", rf"^((?:(?:{TITLES})\.? )+)", 1)).otherwise(F.lit(""))
     d = d.withColumn("prefix", prefix).withColumn("value", F.expr("substring(entity, length(prefix) + 1)"))
     value = F.col("value")
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
@@ -133,9 +178,10 @@ def mentions(found: DataFrame) -> DataFrame:
     pair = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     one = pair(
         F.when(F.col("kind") == "name", F.lit("surname")).otherwise(F.col("kind")),
-        F.when(F.col("kind").isin("card"), digits)
-        .when(F.col("kind") == "phone", F.concat(code, F.lit(":"), F.expr("substring(regexp_replace(entity, '[^0-9]', ''), length(regexp_replace(regexp_extract(entity, '^(.[0-9]{1,3})(?=[^0-9])', 1), '[^0-9]', '')) + 1)")))
-        .when(F.col("kind").isin("email", "secret"), F.lower("value"))
+        F.when(F.col("kind").isin("card", "ssn"), digits)
+        .when(F.col("kind") == "phone", F.concat(code, F.lit(":"), F.expr("substring(regexp_replace(entity, '[^0-9]', ''), length(regexp_replace(regexp_extract(entity, '^([+][0-9]{1,3})(?=[^0-9])', 1), '[^0-9]', '')) + 1)")))
+        .when(F.col("kind").isin("email", "ip6"), F.lower("value"))
+        .when(F.col("kind") == "iban", bare)
         .when(F.col("kind") == "name", F.concat(script, F.lit(":"), F.lower(F.substring_index("value", " ", -1))))
         .otherwise(value),
     )
@@ -143,34 +189,33 @@ def mentions(found: DataFrame) -> DataFrame:
     return d.withColumn("main", one).withColumn("first", first)
 
 
-def surrogates(known: DataFrame, key: str, most_tries: int = 64) -> DataFrame:
+def surrogates(known: DataFrame, key: str) -> DataFrame:
     """(kind, canon, put) for distinct (kind, canon), without collisions within a kind or with an original."""
     tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = cut(known.repartition(tasks).withColumn("attempt", F.lit(0)).withColumn("put", _surrogate(key)))
-    original = t.select("kind", F.when(F.col("kind").isin("given", "surname"), F.substring_index("canon", ":", -1)).otherwise(F.col("canon")).alias("same"))
-    for _ in range(most_tries):
+    original = cut(t.select("kind", F.lower(F.when(F.col("kind").isin("given", "surname"), F.substring_index("canon", ":", -1)).otherwise(F.col("canon"))).alias("same")).distinct().withColumn("taken", F.lit(True)))
+    while True:  # ends, as what is drawn gets longer
         low = F.lower("put")
         first = t.groupBy("kind", low.alias("same")).agg(F.min("canon").alias("holder"))
-        taken = t.withColumn("same", low).join(original.distinct().withColumn("taken", F.lit(True)), ["kind", "same"], "left").join(first, ["kind", "same"])
+        taken = t.withColumn("same", low).join(original, ["kind", "same"], "left").join(first, ["kind", "same"])
         clash = F.coalesce("taken", F.lit(False)) | (F.col("canon") != F.col("holder"))
         marked = cut(taken.select("kind", "canon", "attempt", "put", clash.alias("clash")))
         if marked.where("clash").isEmpty():
             return marked.select("kind", "canon", "put")
         again = marked.where("clash").withColumn("attempt", F.col("attempt") + 1).withColumn("put", _surrogate(key))
         t = cut(marked.where("not clash").unionByName(again).drop("clash"))
-    raise ValueError(f"surrogates still collide after {most_tries} draws")
 
 
 def _formatted(value: Column, put: Column) -> Column:
-    """put's digits in the places of value's digits."""
+    """put's characters in the places of value's digits and capitals, and after them what is left of put."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(s: Column, i: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
-        digit = c.rlike("[0-9]")
+        digit = c.rlike("[0-9A-Z]")
         return F.struct(F.concat(s["out"], F.when(digit, F.substring(put, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + digit.cast("int")).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: F.concat(s["out"], F.substring(put, s["k"], F.length(put))))
 
 
 def _cased(value: Column, put: Column) -> Column:
@@ -183,41 +228,60 @@ def _like(value: Column, put: Column) -> Column:
 
 
 def replacements(found: DataFrame, key: str) -> DataFrame:
-    """(entity, kind, replacement) for distinct mentions."""
+    """(entity, kind, prefix, value, replacement) for distinct mentions."""
     m = cut(mentions(found))
     parts = m.select(F.explode(F.filter(F.array("main", "first"), lambda x: x.isNotNull())).alias("x")).select("x.kind", "x.canon").distinct()
-    s = surrogates(parts, key)
+    s = cut(surrogates(parts, key))
     main = s.select(F.struct("kind", "canon").alias("main"), F.col("put").alias("put"))
     first = s.where("kind = 'given'").select(F.struct("kind", "canon").alias("first"), F.col("put").alias("given"))
     value, put = F.col("value"), F.col("put")
     new = (
-        F.when(F.col("kind").isin("card"), _formatted(value, put))
+        F.when(F.col("kind").isin("card", "ssn", "iban"), _formatted(value, put))
         .when(F.col("kind") == "phone", _formatted(value, F.regexp_replace("put", ":", "")))
-        .when(F.col("kind").isin("email", "secret"), _like(value, put))
+        .when(F.col("kind").isin("email", "ip6"), _like(value, put))
         .when(F.col("kind") == "name", _cased(value, F.concat_ws(" ", "given", "put")))
         .otherwise(put)
     )
-    return m.join(main, "main").join(first, "first", "left").select("entity", "kind", F.concat("prefix", new).alias("replacement"))
+    return m.join(main, "main").join(first, "first", "left").select("entity", "kind", "prefix", "value", F.concat("prefix", new).alias("replacement"))
+
+
+def _named_again(part: Column, again: Column) -> Column:
+    """(text, number) of a piece of text with the names of `again` (old, put) replaced where they stand without a form of address."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}\-])(?:"), F.array_join(F.transform(again, lambda x: x["old"]), "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
+
+    def body(x: Column) -> Column:
+        names, gaps = F.regexp_extract_all(part, x, F.lit(0)), F.split(part, x, -1)
+        put = lambda n: F.get(F.filter(again, lambda y: y["old"] == n), 0)["put"]
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda i: F.concat(F.element_at(gaps, i), F.coalesce(put(F.get(names, i - 1)), F.lit("")))), "")
+        return F.struct(text.alias("text"), F.size(names).alias("n"))
+
+    return F.when(F.size(again) > 0, _let(pattern, body)).otherwise(F.struct(part.alias("text"), F.lit(0).alias("n")))
 
 
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
-    """docs, all columns, with entities replaced in text, and the number of replaced mentions in count_col (not a column of docs)."""
+    """docs, all columns, with entities replaced in text, and the number of replaced mentions in count_col (n_entities_0 and so on where docs has such a column)."""
     need(docs, text_col)
     if count_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {count_col}")
+        count_col = fresh(docs, count_col)
     text = F.col(f"`{text_col}`")
-    own, have = fresh(docs, "own"), fresh(docs, "have")
-    maybe = text.rlike("[@0-9]") | text.rlike(NAME)  # what every entity has
-    keyed = docs.withColumn(have, F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    some = keyed.where(F.size(have) > 0).withColumn(own, F.xxhash64(text))
-    none = keyed.where(F.coalesce(F.size(have), F.lit(0)) <= 0)
-    occur = cut(some.select(F.col(own).alias("own"), F.posexplode(have).alias("at", "entity")).distinct())
-    put = replacements(occur, key)
-    per = occur.join(put, "entity", "left").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("replacement", "entity").alias("put"), F.col("replacement").isNotNull().alias("is")))).alias("puts"))
-    parts = F.split(text, ANY, -1)
-    new = F.array_join(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.element_at(parts, i), F.coalesce(F.get(F.col("puts"), i - 1)["put"], F.lit("")))), "")
+    row, have = fresh(docs, "row"), fresh(docs, "have")
+    maybe = text.rlike("[@0-9=:]") | text.rlike(NAME)  # what every entity has
+    # one search of all texts; the numbers of rows are fixed by the cut
+    base = cut(docs.withColumn(have, F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn(row, F.monotonically_increasing_id()))
+    some, none = base.where(F.size(have) > 0), base.where(F.coalesce(F.size(have), F.lit(0)) <= 0)
+    occur = some.select(F.col(row).alias("row"), F.posexplode(have).alias("at", "entity"))
+    put = cut(replacements(occur, key))
+    # old and new names without form of address, whole and by the last name
+    bare = F.when(F.col("kind") == "name", F.struct(F.col("value").alias("old"), F.expr("substring(replacement, length(prefix) + 1)").alias("put")))
+    last = F.when((F.col("kind") == "name") & F.col("value").contains(" "), F.struct(F.substring_index("value", " ", -1).alias("old"), F.expr("substring(replacement, length(prefix) + length(substring_index(substring(replacement, length(prefix) + 1), ' ', 1)) + 2)").alias("put")))
+    names = F.filter(F.array(bare, last), lambda x: x.isNotNull())
+    found = occur.join(put.select("entity", "replacement", names.alias("names")), "entity", "left")
+    puts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("replacement", "entity").alias("put"), F.col("replacement").isNotNull().alias("is"))))
+    longest = lambda x, y: F.when(F.length(x["old"]) != F.length(y["old"]), F.length(y["old"]) - F.length(x["old"])).when(x["old"] < y["old"], -1).when(x["old"] > y["old"], 1).otherwise(F.when(x["put"] < y["put"], -1).when(x["put"] > y["put"], 1).otherwise(0))
+    per = cut(found.groupBy("row").agg(puts.alias("puts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<struct<old:string,put:string>>"))))), longest).alias("again")))
+    parts = F.transform(F.split(text, ANY, -1), lambda x: _named_again(x, F.col("again")))
+    done = some.join(per.withColumnRenamed("row", row), row).withColumn("parts", parts)
+    new = F.array_join(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.concat(F.element_at("parts", i)["text"], F.coalesce(F.get(F.col("puts"), i - 1)["put"], F.lit("")))), "")
+    count = F.size(F.filter("puts", lambda x: x["is"])) + F.aggregate("parts", F.lit(0), lambda a, x: a + x["n"])
     rest = lambda t, n: [F.col(f"`{c}`") if c != text_col else t.alias(text_col) for c in docs.columns] + [n.cast("long").alias(count_col)]
-    done = some.join(per.withColumnRenamed("own", own), own).select(*rest(new, F.size(F.filter("puts", lambda x: x["is"]))))
-    return none.select(*rest(text, F.lit(0))).unionAll(done)
-
-
+    return none.select(*rest(text, F.lit(0))).unionAll(done.select(*rest(new, count)))

@@ -103,6 +103,74 @@ def test_surrogates_stay_distinct_and_new(spark):
     assert len(set(new)) == len(new) and not set(new) & set(texts)
 
 
+def plain_entities(text):
+    """Detection by plain Python for the kinds that it can tell: (kind, value) in order."""
+    kinds = [("email", r"(?<![\w.%+-])[^\W_][\w.%+-]*@(?:[\w-]+\.)+[^\W\d_]{2,24}"), ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")]
+    out = [(m.start(), k, m[0]) for k, p in kinds for m in re.finditer(p, text) if k != "ip" or all(int(x) < 256 and x == str(int(x)) for x in m[0].split("."))]
+    return [x[1:] for x in sorted(out)]
+
+
+def test_surrogates_equal_a_plain_detector_and_replacer(spark):
+    """Every plain entity is replaced by one of its kind, the same for the same one, another for another, and nothing else changes."""
+    r = random.Random(5)
+    words = ["alpha", "beta", "x@", "12", "3.4", "@home", "10-11-2012", "v1.2", "né", "!!"]
+    things = [f"{a}{i}@{h}.org" for i in range(9) for a in ("Ann.", "bo-") for h in ("site", "Mail.ex")] + [f"{i}23-4{i}-678{i}" for i in range(10)] + [f"10.{i}.3.25{i % 6}" for i in range(12)] + ["300.1.1.1", "1.2.3.4.5"]
+    docs = [(i, " ".join(r.choice(things if r.random() < 0.3 else words) for _ in range(r.randint(0, 60)))) for i in range(150)]
+    got = {x.doc_id: x for x in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"), key="k").collect()}
+    put, back = {}, {}
+    for i, text in docs:
+        old, new = text.split(" "), got[i].text.split(" ")
+        assert len(old) == len(new) and got[i].n_entities == len(plain_entities(text))
+        for a, b in zip(old, new, strict=True):
+            found = plain_entities(a)
+            if not found:
+                assert a == b
+                continue
+            (kind, _), = found
+            assert [k for k, _ in plain_entities(b)] == [kind] and a.lower() != b.lower()
+            assert put.setdefault(a.lower(), b.lower()) == b.lower() and back.setdefault(b.lower(), a.lower()) == a.lower()
+
+
+def test_kinds_that_need_more_than_digits(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP"
+    texts = [
+        f"see {jwt}, done",
+        "password: swordfish and Password = 'Tr0ub4dor'.",
+        "call 030 1234567 or 555-123-4567 now",
+        "host 2001:db8::ff00:42:8329 and std::vector",
+        "IBAN DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01.",
+        "ssn 123-45-6789",
+        "Mr. Jean-Luc Picard spoke. Dr. Beverly Crusher and Picard left; Jean-Luc Picard's ship, Picardy.",
+        "a" * 100 + "@example.com",
+        "Amex 3782 822463 10005",
+    ]
+    got = [x.text for x in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"see [\w.-]+, done", got[0]) and not any(x in got[0] for x in jwt.split("."))
+    assert re.fullmatch(r"password: [a-z]{9} and Password = '[A-Z][a-z]\d[a-z]{2}\d[a-z]{3}'\.", got[1]) and "swordfish" not in got[1]
+    assert re.fullmatch(r"call \d{3} \d{7} or \d{3}-\d{3}-\d{4} now", got[2]) and got[2] != texts[2] and "1234567" not in got[2] and "555-123" not in got[2]
+    assert re.fullmatch(r"host [0-9a-f:]+ and std::vector", got[3]) and "8329" not in got[3]
+    iban = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d), not DE89 3704 0044 0532 0130 01\.", got[4])
+    bare = iban[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and bare != "DE89370400440532013000"
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", got[5]) and got[5] != texts[5]
+    name = re.fullmatch(r"Mr\. (\w+-\w+) (\w+) spoke\. Dr\. (\w+) (\w+) and (\w+) left; (\w+-\w+) (\w+)'s ship, Picardy\.", got[6])
+    assert name and name[2] == name[5] == name[7] and name[1] == name[6] and "Picard " not in got[6] and "Luc" not in got[6]
+    assert re.fullmatch(r"[a-z]{100}@[a-z]{7}\.com", got[7]) and got[7] != texts[7]
+    assert re.fullmatch(r"Amex \d{4} \d{6} \d{5}", got[8]) and luhn(got[8][5:]) and got[8] != texts[8]
+
+
+def test_more_entities_than_their_form_has_room_for(spark):
+    """All 676 addresses of the form x@y.co, so that none of that form is free."""
+    docs = [(i, f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.co") for i in range(676)]
+    got = [x.text for x in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"), key="k").collect()]
+    assert len({*got, *(t for _, t in docs)}) == 2 * 676 and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in got)
+
+
+def test_surrogates_with_a_column_of_the_name_of_the_count(spark):
+    got = pii.pseudonymise(spark.createDataFrame([(1, "mail a@b.org", 3)], "doc_id long, text string, N_Entities int"), key="k")
+    assert got.columns[2:] == ["N_Entities", "n_entities_0"] and got.first()[2:] == (3, 1)
+
+
 def test_surrogates_of_an_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "text string"), key="k").count() == 0
 
@@ -126,6 +194,17 @@ def test_canonical_url(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical_url(F.col("u"))).first()[0] == want
 
 
+def test_header_names_that_differ_by_case_are_joined(spark):
+    recs = [(1, "a.com/x", 1, "response", "e", None, {"Set-Cookie": "a=1", "set-cookie": "b=2", "X": None, "x": "9"}, 1), (2, "a.com/x", 2, "revisit", "e", None, {"Date": "d", "DATE": "c"}, 1)]
+    got = warc.resolve_revisits(spark.createDataFrame(recs, SCHEMA)).first()
+    assert got.headers == {"set-cookie": "a=1, b=2", "x": "9", "date": "c, d"} and got.status == "resolved"
+
+
+def test_lines_with_columns_of_the_names_of_the_statistics(spark):
+    got = lines.line_dedup(spark.createDataFrame([(1, "a\nb", "s", 7, 8)], "doc_id long, text string, source string, n_lines int, N_REMOVED int"))
+    assert got.columns[3:] == ["n_lines", "N_REMOVED", "n_lines_0", "n_removed_0"] and got.first()[3:] == (7, 8, 2, 0)
+
+
 SCHEMA = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, part int"
 
 
