@@ -40,24 +40,37 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe fo ga go ka ke ko la le lo ma me
 TITLES = rf"{FEMALE}|{MALE}|Dr|Prof|Professor|Doctor"
 WORD = r"\p{Lu}\p{L}+(?:[\-'’]\p{Lu}\p{L}+)*+"
 
+# Each pattern but that of addresses begins with a cheap look at the next character.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
 SECRET = (
-    r"(?i:\b(?:token|secret|api[_\-]?key|access[_\-]?key|secret[_\-]?key|private[_\-]?key|bearer)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/.~]*+[0-9])[A-Za-z0-9_\-+/.~]{16,}+=*+"
-    r"|(?i:\b(?:password|passwd|passphrase|pwd)\b)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,}+"
-    r"|\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*+|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+"
+    r"(?=[TtSsAaPpBb])(?i:\b(?:token|secret|api[_\-]?key|access[_\-]?key|secret[_\-]?key|private[_\-]?key|bearer)\b)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-+/.~]*+[0-9])[A-Za-z0-9_\-+/.~]{16,}+=*+"
+    r"|(?=[Pp])(?i:\b(?:password|passwd|passphrase|pwd)\b)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,}+"
+    r"|(?=eyJ)\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*+|(?=AKIA)\bAKIA[0-9A-Z]{16}\b|(?=gh[pousr]_)\bgh[pousr]_[A-Za-z0-9]{36,}+"
 )
-NAME = rf"\b(?:{TITLES})\.? (?:(?:Dr|Prof)\.? )?{WORD}(?: {WORD})?"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
-IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[A-Fa-f:]*[0-9])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"
-CARD = r"(?<![\d])(?:\d{4}(?<four>[ \-])\d{4}\k<four>\d{4}\k<four>\d{4}|\d{4}(?<six>[ \-])\d{6}\k<six>\d{5}|\d{13,19})(?!\d)"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
-SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+NAME = rf"(?=[MFHSDPГ])\b(?:{TITLES})\.? (?:(?:Dr|Prof)\.? )?{WORD}(?: {WORD})?"
+IP = r"(?=[0-9])(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
+IP6 = r"(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])(?<![\w:.])(?:(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[A-Fa-f:]*[0-9])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"
+CARD = r"(?=[0-9])(?<![\d])(?:\d{4}(?<four>[ \-])\d{4}\k<four>\d{4}\k<four>\d{4}|\d{4}(?<six>[ \-])\d{6}\k<six>\d{5}|\d{13,19})(?!\d)"
+IBAN = r"(?=[A-Z]{2}[0-9]{2})\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+SSN = r"(?=[0-9])(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = (
-    r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{1,4}(?:[ .\-]\d{2,4}){2,4})(?!\d)|(?<![\d(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-    r"|(?<![\d+.\-])\d{3}(?<part>[.\-])\d{3}\k<part>\d{4}(?![\d\-]|\.\d)|(?<![\w+/.,:\-])0\d{1,4}[/ \-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}(?![\d/:\-]|[.,]\d)"
+    r"(?=[0-9+(])(?:(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{1,4}(?:[ .\-]\d{2,4}){2,4})(?!\d)|(?<![\d(])\(\d{3}\) \d{3}-\d{4}(?!\d)"
+    r"|(?<![\d+.\-])\d{3}(?<part>[.\-])\d{3}\k<part>\d{4}(?![\d\-]|\.\d)|(?<![\w+/.,:\-])0\d{1,4}[/ \-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}(?![\d/:\-]|[.,]\d))"
 )
 KINDS = {"secret": SECRET, "email": EMAIL, "ip6": IP6, "phone": PHONE, "ssn": SSN, "iban": IBAN, "card": CARD, "ip": IP, "name": NAME}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+
+
+def _either(*kinds: str) -> str:
+    return "|".join(f"(?:{KINDS[k]})" for k in kinds)
+
+
+ANY = _either(*KINDS)
+
+
+def _search(text: Column, use) -> Column:
+    """use(pattern) with the kinds that the text can hold: addresses need an @, and all but names and passwords a digit."""
+    some = text.rlike(r"(?=[MFHSDPГ])\b(?:" + TITLES + r")\b|[Pp][Aa][Ss][Ss]|[Pp][Ww][Dd]")
+    return F.when(text.contains("@"), use(ANY)).when(text.rlike("[0-9]"), use(_either(*(k for k in KINDS if k != "email")))).when(some, use(_either("secret", "name")))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -265,9 +278,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", count_col
         count_col = fresh(docs, count_col)
     text = F.col(f"`{text_col}`")
     row, have = fresh(docs, "row"), fresh(docs, "have")
-    maybe = text.rlike("[@0-9=:]") | text.rlike(NAME)  # what every entity has
     # one search of all texts; the numbers of rows are fixed by the cut
-    base = cut(docs.withColumn(have, F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn(row, F.monotonically_increasing_id()))
+    base = cut(docs.withColumn(have, _search(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))).withColumn(row, F.monotonically_increasing_id()))
     some, none = base.where(F.size(have) > 0), base.where(F.coalesce(F.size(have), F.lit(0)) <= 0)
     occur = some.select(F.col(row).alias("row"), F.posexplode(have).alias("at", "entity"))
     put = cut(replacements(occur, key))
@@ -279,7 +291,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", count_col
     puts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("replacement", "entity").alias("put"), F.col("replacement").isNotNull().alias("is"))))
     longest = lambda x, y: F.when(F.length(x["old"]) != F.length(y["old"]), F.length(y["old"]) - F.length(x["old"])).when(x["old"] < y["old"], -1).when(x["old"] > y["old"], 1).otherwise(F.when(x["put"] < y["put"], -1).when(x["put"] > y["put"], 1).otherwise(0))
     per = cut(found.groupBy("row").agg(puts.alias("puts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<struct<old:string,put:string>>"))))), longest).alias("again")))
-    parts = F.transform(F.split(text, ANY, -1), lambda x: _named_again(x, F.col("again")))
+    parts = F.transform(_search(text, lambda p: F.split(text, p, -1)), lambda x: _named_again(x, F.col("again")))
     done = some.join(per.withColumnRenamed("row", row), row).withColumn("parts", parts)
     new = F.array_join(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.concat(F.element_at("parts", i)["text"], F.coalesce(F.get(F.col("puts"), i - 1)["put"], F.lit("")))), "")
     count = F.size(F.filter("puts", lambda x: x["is"])) + F.aggregate("parts", F.lit(0), lambda a, x: a + x["n"])
