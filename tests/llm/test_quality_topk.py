@@ -53,29 +53,43 @@ def test_without_labels(spark):
 
 
 def brute(rows, every, k):
-    v = {i: [math.floor(64 * x) for x in e] for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
-    out = set()
-    for q in v:
+    """Sorted result rows; rows of equal ids are rows of their own."""
+    v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    out = []
+    for n, (q, x) in enumerate(v):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], e)), i) for i, e in v.items() if i != q and len(e) == len(v[q]))[:k]
-            out |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(s)}
-    return out
+            s = sorted((-sum(a * b for a, b in zip(x, e)), i) for m, (i, e) in enumerate(v) if m != n and len(e) == len(x))[:k]
+            out += [(q, r + 1, i, -y) for r, (y, i) in enumerate(s)]
+    return sorted(out)
 
 
-@pytest.mark.parametrize(("shard_rows", "block_rows", "leaf"), [(8192, 4096, 64), (60, 5, 4)])
-def test_top_k_equals_brute_force(spark, shard_rows, block_rows, leaf):
+@pytest.mark.parametrize(("shard_rows", "leaf"), [(8192, 64), (60, 4), (7, 2)])
+def test_top_k_equals_brute_force(spark, shard_rows, leaf):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in np.float32(r.normal(size=6))]) for i in r.permutation(400) - 30]
     rows += [(1000 + i, [0.5] * 6) for i in range(90)]  # ties
     rows += [(2000, None), (2020, []), (2040, [None] * 6), (2060, [float("nan")] * 6), (2080, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (2100, [1.0, 2.0]), (2101, [1.0, 3.0])]
-    df = spark.createDataFrame([(i, e, 1) for i, e in rows + rows[:3]], "vec_id long, embedding array<float>, score int").repartition(3)
-    got = topk.top_k(df, k=7, shard_rows=shard_rows, block_rows=block_rows, leaf=leaf).collect()
-    assert len(got) == len(set(got))
-    assert {tuple(x) for x in got} == brute(rows, 20, 7)
+    rows += [(20, [2.0] * 6), (20, [2.5] * 6), (21, [3.0] * 6), *rows[:3]]
+    df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, score int").repartition(3)
+    got = topk.top_k(df, k=7, shard_rows=shard_rows, leaf=leaf).collect()
+    assert sorted(tuple(x) for x in got) == brute(rows, 20, 7)
+
+
+def test_a_tree_visits_few_leaves_and_finds_all():
+    r = np.random.default_rng(1)
+    points = (r.normal(size=(4096, 3)) * 64).astype(np.int64)
+    tree = topk.Tree(points, 32)
+    seen = []
+    tree.spans = [type("Span", (tuple,), {"__iter__": lambda self: (seen.append(1), tuple.__iter__(self))[1]})(x) for x in tree.spans]
+    score, place = tree.search(points[:5], np.arange(5), 10, np.full(5, topk.LOW))
+    for i in range(5):
+        want = sorted(((-int(points[i] @ p), j) for j, p in enumerate(points) if j != i))[:10]
+        assert sorted((-int(s), int(j)) for s, j in zip(score[i], place[i])) == want
+    assert len(seen) < 60  # of 128 leaves for each of 5 queries
 
 
 def test_top_k_of_huge_components_and_of_nothing(spark):
     rows = [(i, [1e6 * (i - 9), 3e6 / (i + 1)]) for i in range(21)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert {tuple(x) for x in topk.top_k(df, k=30).collect()} == brute(rows, 20, 30)
+    assert sorted(tuple(x) for x in topk.top_k(df, k=30).collect()) == brute(rows, 20, 30)
     assert topk.top_k(df.limit(0)).count() == 0
