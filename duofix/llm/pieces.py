@@ -1,22 +1,24 @@
 """Piece encoding and decoding that keeps the place of every piece in the original text.
 
-Normalisation takes, at each place, the longest prefix that the model's compiled character map
-knows (a double-array trie followed by its replacement strings), else one character, and records
-for each normalised byte the original byte it comes from. The library merges pieces; each piece's
+Normalisation takes, at each place, the longest symbol that the model's author fixed, else the longest prefix that
+the model's compiled character map knows (a double-array trie followed by its replacement strings), else one character,
+and records for each normalised byte the original byte it comes from. The library gets the normalised text,
+with a copy of the model whose own normalisation is switched off, and merges pieces; each piece's
 length in the normalised text then gives its span of original bytes through that record.
 
-Where no piece of a byte-pair model has a space mark after another character, a text may be
+Where no piece of a byte-pair model has a space mark after another character, a normalised text may be
 split before every run of space marks, and a worker remembers the ids of recent segments (at most
 `cache_entries`); else whole texts are encoded.
 
-Null text counts as empty: only the begin and end ids, and an empty decoding. Rows are independent.
+Null text counts as empty: only the begin and end ids, and an empty decoding. Rows are independent, repeated rows
+each have their result, and an empty table gives an empty one. Texts of any length are encoded whole; columns beyond the
+id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from .runtime import map_arrow, pick
 from .text import slices
 
 MARK = "▁".encode()
-_SEGMENT = re.compile(rb" +[^ ]*")
+_SEGMENT = re.compile(rb"(?:%b)+(?:(?!%b)[\x00-\xff])*" % (MARK, MARK))
 _CROSSING = re.compile(f"[^{MARK.decode()}]{MARK.decode()}")
 
 
@@ -70,21 +72,24 @@ class Codec:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        self.norm, train = proto.normalizer_spec, proto.trainer_spec
+        self.norm, train = sentencepiece_model_pb2.NormalizerSpec(), proto.trainer_spec
+        self.norm.CopyFrom(proto.normalizer_spec)
         self.suffix = train.treat_whitespace_as_suffix
         self.map = CharMap(self.norm.precompiled_charsmap)
         kinds = [p.type for p in proto.pieces]
+        self.fixed = sorted((p.piece.encode() for p, k in zip(proto.pieces, kinds, strict=True) if k == 4), key=len, reverse=True)
+        self.starts = frozenset(x[0] for x in self.fixed)
         self.sizes = np.array([1 if k == 6 else 0 if k == 3 else len(p.piece.encode()) for p, k in zip(proto.pieces, kinds, strict=True)], dtype=np.int64)
-        self.identity = not self.map.units and self.norm.add_dummy_prefix and not self.norm.remove_extra_whitespaces and self.norm.escape_whitespaces and not self.suffix
+        self.identity = not self.map.units and not self.fixed and self.norm.add_dummy_prefix and not self.norm.remove_extra_whitespaces and self.norm.escape_whitespaces and not self.suffix
         self.separable = self.identity and train.model_type == 2 and train.byte_fallback and 4 not in kinds and not any(_CROSSING.search(p.piece) for p in proto.pieces)
         self.most = cache_entries
         self.known: dict[bytes, bytes] = {}
+        bare = proto.normalizer_spec
+        bare.name, bare.precompiled_charsmap, bare.normalization_rule_tsv = "identity", b"", ""
+        bare.add_dummy_prefix = bare.remove_extra_whitespaces = bare.escape_whitespaces = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.edges = [np.array([x], "<u4").tobytes() for x in (self.sp.bos_id(), self.sp.eos_id())] if min(self.sp.bos_id(), self.sp.eos_id()) >= 0 else None
 
-    @cached_property
-    def _lone_mark(self) -> bytes:
-        return np.array([self.sp.piece_to_id(MARK.decode())], "<u4").tobytes()
-
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them, and the end, the original byte it comes from."""
         n = self.norm
@@ -97,6 +102,10 @@ class Codec:
         out, origin, at, space = bytearray(), [], 0, MARK if n.escape_whitespaces else b" "
 
         def prefix(at: int) -> tuple[bytes, int]:
+            if text[at] in self.starts:
+                for x in self.fixed:
+                    if text.startswith(x, at):
+                        return x, len(x)
             if hit := self.map.longest(text, at):
                 return hit
             lead = text[at]
@@ -135,22 +144,20 @@ class Codec:
             origin += [at] * len(space)
         return bytes(out), np.array([*origin, at], np.int64)
 
-    def _segments(self, text: bytes) -> list[bytes]:
-        """Keys of the segments: each stands for one space mark and itself."""
-        if not text:
+    def _segments(self, norm: bytes) -> list[bytes]:
+        """The parts of a normalised text that begin with a run of space marks."""
+        if not norm:
             return []
-        if MARK in text:
-            text = text.replace(MARK, b" ")
-        if b"  " in text or text[0] == 0x20 or text[-1] == 0x20:
-            return [s[1:] for s in _SEGMENT.findall(b" " + text)]
-        return text.split(b" ")
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, without begin and end."""
+        if MARK + MARK in norm or norm.endswith(MARK):
+            return _SEGMENT.findall(norm)
+        return [MARK + x for x in norm.split(MARK)[1:]]
+
+    def ids(self, norms: list[bytes]) -> list[bytes]:
+        """The ids of each normalised text as little-endian unsigned 32-bit integers, without begin and end."""
         if not self.separable:
-            got = self.sp.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
+            got = self.bare.encode([t.decode("utf-8", "replace") for t in norms], num_threads=1)
             return [np.array(x, "<u4").tobytes() for x in got]
-        split = [self._segments(t) for t in texts]
+        split = [self._segments(t) for t in norms]
         words = set().union(*split)
         known = self.known
         new = {w for w in words if w not in known}
@@ -158,14 +165,13 @@ class Codec:
             self.known, new = {}, words
         if new:
             ordered = list(new)
-            got = self.sp.encode([s.decode("utf-8", "replace") for s in ordered], num_threads=1)
-            self.known.update((s, np.array(x, "<u4").tobytes() if s else self._lone_mark) for s, x in zip(ordered, got, strict=True))
+            got = self.bare.encode([s.decode("utf-8", "replace") for s in ordered], num_threads=1)
+            self.known.update((s, np.array(x, "<u4").tobytes()) for s, x in zip(ordered, got, strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end original byte of each piece; begin and end ids have empty spans."""
-        norm, origin = self.normalise(text)
+    def spans(self, norm: bytes, origin: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end original byte of each piece, by what normalise gave."""
         to = np.cumsum(self.sizes[ids])
         if len(ids) and to[-1] != len(norm):
             if not (ids == self.sp.unk_id()).any():
@@ -218,11 +224,12 @@ def encode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str =
         bos, eos = codec.edges or (b"", b"")
         for part in slices(batch, text_col):
             texts = [x or b"" for x in part.column(text_col).cast(pa.large_binary()).to_pylist()]
-            bare = codec.ids(texts)
+            norms = [codec.normalise(t) for t in texts]
+            bare = codec.ids([n for n, _ in norms])
             full = [bos + x + eos for x in bare]
             lists = [np.frombuffer(x, "<u4").tolist() for x in full]
             decoded = codec.sp.decode(lists, num_threads=1)
-            spans = [codec.spans(t, np.frombuffer(x, "<u4")) for t, x in zip(texts, bare, strict=True)]
+            spans = [codec.spans(*n, np.frombuffer(x, "<u4")) for n, x in zip(norms, bare, strict=True)]
             columns = [
                 part.column(id_col),
                 pa.array([len(x) for x in lists], pa.int64()),

@@ -80,7 +80,7 @@ def test_longest_prefix_normalisation(rule):
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(library.serialized_model_proto())
     codec = pieces.Codec.__new__(pieces.Codec)
-    codec.norm, codec.suffix, codec.identity = proto.normalizer_spec, False, False
+    codec.norm, codec.suffix, codec.identity, codec.starts = proto.normalizer_spec, False, False, frozenset()
     codec.map = pieces.CharMap(proto.normalizer_spec.precompiled_charsmap)
     for text in odd_texts(300):
         data = (text or "").encode()
@@ -89,6 +89,36 @@ def test_longest_prefix_normalisation(rule):
         assert len(origin) == len(norm) + 1 and (np.diff(origin) >= 0).all() and origin[-1] <= len(data)
 
 
+@pytest.mark.parametrize(("rule", "spaces", "symbol"), [("nmt_nfkc", True, None), ("nmt_nfkc_cf", False, None), ("nfkc", True, "word")])
+def test_encoding_and_spans_with_a_character_map(spark, tmp_path, rule, spaces, symbol):
+    """The public model with another normaliser: ids, decoding and spans against the library's own."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, other = pb.ModelProto(), pb.ModelProto()
+    proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    other.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = other.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.name = rule
+    proto.normalizer_spec.remove_extra_whitespaces = spaces
+    if symbol:
+        next(p for p in proto.pieces if p.piece == symbol).type = 4
+    path = str(tmp_path / "mapped.model")
+    open(path, "wb").write(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = odd_texts(300) + ["ﬁne  ＡＢＣ ½ ㌔ e\u0301te\u0301 ", " lead", "trail  ", "①word②"]
+    for r in pieces.encode(frame(spark, texts), path).collect():
+        text = texts[r.doc_id] or ""
+        ids = sp.encode(text, add_bos=True, add_eos=True)
+        assert r.ids == ids and r.decoded == sp.decode(ids), text
+        own = sp.encode(text, out_type="proto")
+        assert len(own.pieces) == len(ids) - 2
+        ours = list(zip(r.span_begin, r.span_end, strict=True))[1:-1]
+        theirs = [(p.begin, p.end) for p in own.pieces]
+        if not any(sp.is_byte(i) for i in ids):  # the library gives all bytes of a character its whole span
+            assert ours == theirs, text
+
+
 def test_words_are_those_of_the_pattern():
     import pyarrow as pa
 
