@@ -7,16 +7,20 @@ keeps its minimum, and the rounds end when all bins are filled. So every coordin
 2t rounds, mostly after few, and coordinates agree as often as the sets are similar.
 
 Equal sets form a class, of which the smallest id stands for all. The sketches of the classes are
-cut into bands; classes that agree in a band form a group. Within a group all pairs are verified
-on full sets, block by block: a group of more than `block` members (or of many bytes) is dealt
-into hash blocks, and every pair of blocks is a task of its own with bounded memory. A block pair returns
-the forest of its links, not the links. Components come from these forests.
+cut into bands; classes that agree in a band form a group. Links are verified on full sets in units of bounded
+memory, in two rounds. First the groups of the first few bands: a group of more than `block` members (or of many
+bytes) is dealt into hash blocks, each joined by two members that all blocks share, and a unit holds all pairs of a block.
+What these links connect shares a label. Then the groups of all bands that hold more than one label: a small
+one is a unit; of a large one, the members without the label of its first shared member, in blocks, meet all members, in blocks.
+Pairs that are left out are connected already, so no link between components is lost, and near copies of one
+text cost units in proportion to their number. A unit returns the forest of its links, not the links. Components come from these forests.
 
 The number of bands makes a linked pair miss all bands with a probability of at most `miss`.
 Sets so small that any difference breaks the threshold take part in classes only, which is exact.
 
 Null or empty text has no set and is linked with nothing. A null id gets a null component and is
-kept. Rows are not merged: repeated rows share their component. doc_id is taken to identify a text.
+kept. Rows are not merged: repeated rows share their component. doc_id is taken to identify a text. Texts of any length are
+compared whole, an empty table gives an empty result, and extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .runtime import cut, map_arrow, pick
@@ -167,12 +171,30 @@ def _verify(tables, words: int, percent: int):
         yield finish(pa.concat_tables(held).combine_chunks())
 
 
+def _block(node: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(blocks))
+
+
+def _groups(member: DataFrame, block: int, block_bytes: int, label: str | None = None) -> DataFrame:
+    """(k, h, blocks, hub, hub2 and, with label, the least and the greatest label) of groups of two members or more, once for each set of members."""
+    hub = F.struct(F.xxhash64(F.lit(7), "node").alias("order"), "node", *([label] if label else []))
+    more = [F.min(label).alias("least"), F.max(label).alias("most")] if label else []
+    return (
+        member.groupBy("k", "h")
+        .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), *[F.sum(F.xxhash64(F.lit(s), "node").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"x{s}") for s in (1, 2)], F.min(hub).alias("hub"), F.max(hub).alias("hub2"), *more)
+        .where("n > 1")
+        .groupBy("n", "x1", "x2")  # bands that give the same group
+        .agg(F.min(F.struct("k", "h")).alias("of"), *[F.first(c).alias(c) for c in ("bytes", "hub", "hub2", *(["least", "most"] if label else []))])
+        .select("of.k", "of.h", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("blocks"), "hub", "hub2", *(["least", "most"] if label else []))
+    )
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, miss: float = 1e-8, block: int = 192, block_bytes: int = 8_000_000, broadcast_ids: int = 1_000_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, miss: float = 1e-8, block: int = 192, block_bytes: int = 8_000_000, broadcast_ids: int = 1_000_000, quick: int = 4
 ) -> DataFrame:
     """For each row: id, n_shingles, component_id (smallest id that is reachable by links) and kept (id = component_id).
 
-    percent: texts are linked where 100 * intersection >= percent * union.
+    percent: texts are linked where 100 * intersection >= percent * union. quick: bands of the first round.
     """
     bands, rows = shape(percent, rows, miss)
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
@@ -184,31 +206,37 @@ def near_duplicates(
     classes = cut(base.where("doc is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc").alias("rep")))  # cut, so that the join below can split a large class
     named = cut(base.join(classes, key, "left").select("doc", "n_shingles", "n_bytes", F.when(F.col("doc").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
 
-    member = named.where("size(bands) > 0").select(F.col("doc").alias("node"), "n_bytes", F.posexplode("bands").alias("k", "h"))
-    groups = (
-        member.groupBy("k", "h")
-        .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), *[F.sum(F.xxhash64(F.lit(s), "node").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"x{s}") for s in (1, 2)])
-        .where("n > 1")
-        .groupBy("n", "x1", "x2")  # bands that give the same group
-        .agg(F.min(F.struct("k", "h")).alias("of"), F.first("bytes").alias("bytes"))
-        .select("of.k", "of.h", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("blocks"))
-    )
-    units = (
-        member.select("k", "h", "node")
-        .join(groups, ["k", "h"])
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .select("node", "k", "h", "mine", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.expr("filter(sequence(0L, blocks - 1), x -> x <> mine)"))).alias("other"))
-        .select("node", "k", "h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    )
-    units = cut(units)
-    nodes = units.select("node").distinct()
-    some = nodes.count() <= broadcast_ids
+    # one row a class; repeated rows of an id are one
+    reps = cut(named.where("size(bands) > 0").groupBy("doc").agg(F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")))
     wanted = text.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    if some:  # only ids, of which the number has been checked
-        wanted = wanted.join(F.broadcast(nodes), "node", "left_semi")
-    sorted_ = units.join(wanted, "node").repartition("k", "h", "i", "j").sortWithinPartitions("k", "h", "i", "j")
-    links = sorted_.mapInArrow(lambda it: _verify(it, words, percent), f"u {kind}, v {kind}")
-    roots = components(links)
+
+    def verified(units: DataFrame) -> DataFrame:
+        nodes = units.select("node").distinct()
+        texts = wanted.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= broadcast_ids else wanted  # only ids, of which the number has been checked
+        sorted_ = units.join(texts.dropDuplicates(["node"]), "node").repartition("k", "h", "i", "j").sortWithinPartitions("k", "h", "i", "j")
+        return sorted_.mapInArrow(lambda it: _verify(it, words, percent), f"u {kind}, v {kind}")
+
+    member = reps.select(F.col("doc").alias("node"), "n_bytes", F.posexplode(F.slice("bands", 1, quick)).alias("k", "h"))
+    one = member.join(_groups(member, block, block_bytes), ["k", "h"]).withColumn("mine", _block("node", "blocks"))
+    shared = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    units = cut(one.select("node", "k", "h", F.explode(F.when(F.col("node").isin(F.col("hub.node"), F.col("hub2.node")), shared).otherwise(F.array("mine"))).alias("i"), F.lit(-1).cast("long").alias("j")))
+    first = cut(components(verified(units)))
+
+    labelled = cut(reps.join(first, reps["doc"] == first["node"], "left").select("doc", "n_bytes", "bands", F.coalesce("root", "doc").alias("label")))
+    member = labelled.select(F.col("doc").alias("node"), "label", "n_bytes", F.posexplode("bands").alias("k", "h"))
+    mixed = cut(_groups(member, block, block_bytes, "label").where("least <> most").drop("least", "most", "hub2"))
+    both = member.join(mixed, ["k", "h"]).withColumn("mine", _block("node", "blocks"))
+    zero = F.lit(0).cast("long")
+    units = both.where("blocks = 1").select("node", "k", "h", zero.alias("i"), zero.alias("j"))
+    if not mixed.where("blocks > 1").isEmpty():
+        large = cut(both.where("blocks > 1").withColumn("rest", F.col("label") != F.col("hub.label")))
+        few = large.where("rest").groupBy("k", "h").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_bytes") / block_bytes)).alias("few"))
+        large = large.join(few, ["k", "h"]).withColumn("own", _block("node", "few"))
+        turn = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+        rest = large.where("rest").select("node", "k", "h", F.col("own").alias("i"), turn("blocks").alias("j"))
+        units = units.unionByName(rest.unionByName(large.select("node", "k", "h", turn("few").alias("i"), F.col("mine").alias("j"))).distinct())
+    links = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(verified(cut(units)))
+    roots = cut(components(links))  # cut, so that the join below can split a large class
     return (
         named.join(roots, named["rep"] == roots["node"], "left")
         .select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("root", "rep", "doc").alias("component_id"))
