@@ -1,21 +1,29 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
 Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, by 64-bit hash, then one end token.
-P(w | history) = P(class(w) | features of the history) * P(w | class(w)).
+P(w | history) = P(class(w) | features of the history) * P(w | class(w), class of the previous token).
 
 Classes: the end token; the most frequent words (at most `frequent`, whose counts are broadcast)
 in bins of about equal mass; all other words by shape (last byte, length, bytes over 127), so that
-a word's class needs no table. P(w | class) = (c + 0.5) / (N_class + 0.5 (V_class + 1)), the last
-share being that of unknown words, so that the probabilities of each class sum to 1 at most.
+a word's class needs no table.
 
 P(class | history) is a softmax over sums of weight rows, found by hashing: bias, previous word,
 previous two words, the word before the previous one (skip), and the last very frequent word
-(skip over any gap). Each task runs gradient steps over all training texts of its partition and
-the weight rows of all tasks are averaged, weighted by how often each task updated the row.
+(skip over any gap). Texts are dealt into shards by a hash, of a size that follows from the number of training
+tokens alone, and each shard is dealt into rounds. In a round every shard runs gradient steps over its texts
+of the round, in the order of their hashes, from the weights that all shards start with; then the
+weights are averaged, each row by how often the shards updated it. So the weights depend neither on
+files nor on tasks. The number of weight rows grows with the training tokens up to `most_rows`.
+
+P(w | class, previous class) is a softmax over the words of the class, with a bias (log of count + 0.5) and a weight for each class
+of the previous token. Its weights are trained on the pairs' counts, which are gathered with the gradient steps, class by class
+in tasks of their own, by gradient steps over the curvature's diagonal under a Gaussian prior. Words that aren't among the frequent ones have the bias
+alone. One more slot of weight 0.5 is that of unknown words, so that the probabilities of each class sum to 1 at most.
 
 Counts cover all training texts. Words that aren't broadcast get their counts by a join.
 Null text is empty (one token, the end). A null id is held out. Rows are independent, repeated
-rows each get their scores. Without training texts every count is 0.
+rows each get their scores. Without training texts every count is 0; an empty table gives an empty result. Texts of any
+length are scored whole; columns beyond the id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +40,8 @@ BINS, SHAPES = 23, 8
 CLASSES = 1 + BINS + SHAPES
 ANCHORS = 256
 CHUNK = 2048  # weight rows sent together
+BLOCK = 4096  # words whose pair counts are sent together
+CONTEXTS = CLASSES + 1  # classes of the previous token, and none
 
 # Shapes by last byte: letters and digits by length; then marks; high bytes.
 _LAST = np.full(256, 7)
@@ -114,6 +124,12 @@ class Vocabulary:
         self.tokens = tokens
         self.log_size = np.log10(tokens + 0.5 * (types + 1))
         self.log_count = np.log10(self.count + 0.5)
+        # frequent words by rank, so that each class is a run of ranks, cut into blocks
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.start = np.searchsorted(self.cls[order], np.arange(CLASSES + 1))
+        self.first_block = np.concatenate([[0], np.cumsum(-(-np.diff(self.start) // BLOCK))])
+        self.by_rank = self.count[order]
 
     def read(self, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each token among the frequent words, or -1; class)."""
@@ -147,75 +163,171 @@ def features(place: np.ndarray, cls: np.ndarray, bounds: np.ndarray, anchor: np.
 
 
 def logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[:, 1]]
+    z = np.take(w, f[:, 1], axis=0, mode="clip")
     for k in range(2, f.shape[1]):
-        z += w[f[:, k]]
+        z += np.take(w, f[:, k], axis=0, mode="clip")
     z += w[0]
     z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def _train(batches, text_col: str, vocab: Vocabulary, rows: int, rate: float, step: int = 8192):
-    w = np.zeros((rows, CLASSES), np.float32)
-    w[0] = np.log((vocab.tokens + 0.5) / (vocab.tokens + 0.5).sum())
-    square = np.full((rows, CLASSES), 1e-2, np.float32)
-    seen = np.zeros(rows, np.int64)
+def contexts(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The class of each token's predecessor in its text, or CLASSES."""
+    out = np.concatenate([[CLASSES], cls[:-1]]) if len(cls) else cls.copy()
+    out[bounds[:-1]] = CLASSES  # every text has a token
+    return out
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """argsort of numbers under 2^32, by two radix sorts."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if x.max(initial=0) < 1 << 16 else order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+
+
+class Learner:
+    """The gradient steps of one shard in one round, and its pair counts."""
+
+    def __init__(self, vocab: Vocabulary, w: np.ndarray, square: np.ndarray, rate: float, step: int = 8192):
+        self.vocab, self.rate, self.step, self.before = vocab, rate, step, w
+        self.w, self.square, self.seen = w.copy(), np.repeat(square[:, None], CLASSES, axis=1), np.zeros(len(w), np.int64)
+        self.f, self.y, self.pairs = [], [], []
+        self.size = 0
+
+    def feed(self, part: pa.RecordBatch, text_col: str) -> None:
+        h, s, bounds = stream(Words(*raw(part.column(text_col)), SPACED))
+        place, cls = self.vocab.read(h, s)
+        self.f.append(features(place, cls, bounds, self.vocab.anchor, len(self.w)).astype(np.int32))
+        self.y.append(cls)
+        top = np.flatnonzero(place >= 0)
+        self.pairs.append(np.unique(self.vocab.rank[place[top]] * CONTEXTS + contexts(cls, bounds)[top], return_counts=True))
+        self.size += len(cls)
+        if self.size >= self.step:
+            self._steps(self.size // self.step * self.step)
+
+    def _steps(self, end: int) -> None:
+        """Steps of equal numbers of tokens, whatever the batches they came in."""
+        f, y = np.concatenate(self.f), np.concatenate(self.y)
+        for a in range(0, end, self.step):
+            self._update(f[a : min(a + self.step, end)], y[a : min(a + self.step, end)])
+        self.f, self.y, self.size = [f[end:]], [y[end:]], len(y) - end
+
+    def _update(self, x: np.ndarray, y: np.ndarray) -> None:
+        w, square = self.w, self.square
+        p = np.exp(logits(w, x))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        flat = x[:, 1:].reshape(-1)
+        order = _sorted(flat)
+        ranked = flat[order]
+        cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        g = np.add.reduceat(np.take(p, order // (x.shape[1] - 1), axis=0, mode="clip"), cuts, axis=0)
+        who = np.concatenate([ranked[cuts], [0]])
+        g = np.concatenate([g, p.sum(axis=0, keepdims=True)])
+        n = np.concatenate([np.diff(np.concatenate([cuts, [len(flat)]])), [len(y)]])
+        g /= np.sqrt(n).astype(np.float32)[:, None]
+        sq = square[who] + g * g
+        square[who] = sq
+        w[who] -= np.float32(self.rate) * g / np.sqrt(sq)
+        self.seen[who] += n
+
+    def done(self):
+        """Rows (part, a, b, c): changed weights by chunk, then pair counts by block of words (parts under 0)."""
+        if self.size:
+            self._steps(self.size)
+        out = []
+        for k in range(0, len(self.w), CHUNK):
+            at = slice(k, k + CHUNK)
+            if self.seen[at].any():
+                out.append((k // CHUNK, (self.w[at] - self.before[at]).astype(np.float16).tobytes(), self.seen[at].tobytes(), self.square[at].mean(axis=1).tobytes()))
+        keys, count = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        keys, at = np.unique(keys, return_inverse=True)
+        count = np.bincount(at, count, len(keys)).astype(np.int64)
+        rank = keys // CONTEXTS
+        cls = np.searchsorted(self.vocab.start, rank, side="right") - 1
+        inner = rank - self.vocab.start[cls]
+        block = self.vocab.first_block[cls] + inner // BLOCK
+        local = (inner % BLOCK * CONTEXTS + keys % CONTEXTS).astype(np.int32)
+        edges = np.searchsorted(block, np.arange(self.vocab.first_block[-1] + 1))
+        for b in np.unique(block):
+            a, e = edges[b], edges[b + 1]
+            out.append((-1 - int(b), local[a:e].tobytes(), count[a:e].tobytes(), b""))
+        return _rows(out)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["part", "a", "b", "c"])
+
+
+PARTS = "part int, a binary, b binary, c binary"
+
+
+def _train(batches, text_col: str, vocab: Vocabulary, w: np.ndarray, square: np.ndarray, rate: float):
+    """Rows sorted by shard."""
+    now, learner = None, None
     for batch in batches:
-        for part in slices(batch, text_col):
-            h, s, bounds = stream(Words(*raw(part.column(text_col)), SPACED))
-            place, cls = vocab.read(h, s)
-            f = features(place, cls, bounds, vocab.anchor, rows)
-            for a in range(0, len(h), step):
-                x, y = f[a : a + step], cls[a : a + step]
-                p = np.exp(logits(w, x))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                flat = x[:, 1:].reshape(-1)
-                order = np.argsort(flat.astype(np.uint16) if rows <= 1 << 16 else flat, kind="stable")  # radix sort
-                cut_ = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-                g = np.add.reduceat(p[order // (x.shape[1] - 1)], cut_, axis=0)
-                who = np.concatenate([flat[order][cut_], [0]])
-                g = np.concatenate([g, p.sum(axis=0, keepdims=True)])
-                n = np.concatenate([np.diff(np.concatenate([cut_, [len(flat)]])), [len(y)]])
-                g /= np.sqrt(n)[:, None]
-                sq = square[who] + g * g
-                square[who] = sq
-                w[who] -= rate * g / np.sqrt(sq)
-                seen[who] += n
-    for a in range(0, rows, CHUNK):
-        if seen[a : a + CHUNK].any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a // CHUNK], pa.int32()), pa.array([(w[a : a + CHUNK] * seen[a : a + CHUNK, None]).astype(np.float32).tobytes()], pa.binary()), pa.array([seen[a : a + CHUNK].tobytes()], pa.binary())],
-                ["chunk", "w", "seen"],
-            )
-
-
-def _added(batches):
-    """Sums the chunks as they come, so that memory doesn't grow with the number of tasks."""
-    w, n = {}, {}
-    for b in batches:
-        for k, x, y in zip(b.column("chunk").to_pylist(), b.column("w"), b.column("seen"), strict=True):
-            x = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, CLASSES).astype(np.float64)
-            y = np.frombuffer(y.as_buffer(), np.int64)
-            w[k] = w[k] + x if k in w else x
-            n[k] = n[k] + y if k in n else y
-    return w, n
-
-
-def _sums(batches):
-    w, n = _added(batches)
-    for k in w:
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w[k].astype(np.float32).tobytes()], pa.binary()), pa.array([n[k].tobytes()], pa.binary())], ["chunk", "w", "seen"])
-
-
-def _average(batches):
-    w, n = _added(batches)
-    for k in w:
-        mean = w[k] / np.maximum(n[k], 1)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["chunk", "w"])
-
-
-def _score(batch: pa.RecordBatch, id_col: str, text_col: str, vocab: Vocabulary, w: np.ndarray):
+        shard = batch.column("shard").to_numpy()
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), [len(shard)]]) if len(shard) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if shard[a] != now:
+                if learner:
+                    yield learner.done()
+                now, learner = shard[a], Learner(vocab, w, square, rate)
+            for part in slices(batch.slice(a, b - a), text_col):
+                learner.feed(part, text_col)
+    if learner:
+        yield learner.done()
+
+
+def _sums(batches, raw_: bool):
+    """Sums by part as the rows come, so that memory doesn't grow with their number. raw_: rows of Learner.done."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for k, a, b, c in zip(batch.column("part").to_pylist(), *(batch.column(x) for x in "abc"), strict=True):
+            b = np.frombuffer(b.as_buffer(), np.int64)
+            if k < 0:
+                x = np.frombuffer(a.as_buffer(), np.int32) if raw_ else slice(None)
+                have = total.setdefault(k, [None, np.zeros(BLOCK * CONTEXTS, np.int64), None])
+                have[1][x] += b
+            else:
+                x = np.frombuffer(a.as_buffer(), np.float16 if raw_ else np.float64).reshape(-1, CLASSES).astype(np.float64)
+                q = np.frombuffer(c.as_buffer(), np.float32 if raw_ else np.float64).astype(np.float64)
+                if raw_:
+                    x, q = x * b[:, None], q * b
+                have = total.setdefault(k, [0.0, 0, 0.0])
+                total[k] = [have[0] + x, have[1] + b, have[2] + q]
+    if total:
+        yield _rows([(k, b"" if k < 0 else a.tobytes(), b.tobytes(), b"" if k < 0 else c.tobytes()) for k, (a, b, c) in total.items()])
+
+
+def inner_softmax(count: np.ndarray, pairs: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, words x contexts; natural log of the normaliser for each context) of the softmax inside a class."""
+    bias = np.log(count + 0.5)[:, None]
+    seen = pairs.sum(axis=0)
+    u = np.zeros(pairs.shape)
+
+    def normaliser():
+        return np.log(np.exp(bias + u).sum(axis=0) + 0.5)
+
+    for _ in range(steps):
+        want = seen * np.exp(bias + u - normaliser())
+        u += np.clip((pairs - want - prior * u) / (np.maximum(want, pairs) + prior), -1, 1)
+    u = u.astype(np.float16).astype(np.float64)
+    return u, normaliser()
+
+
+def _inner(t: pa.Table, vocab: Vocabulary, prior: float, steps: int) -> pa.Table:
+    """The trained softmax of one class from its blocks of pair counts."""
+    c = t.column("cls")[0].as_py()
+    start, end = vocab.start[c], vocab.start[c + 1]
+    pairs = np.zeros((-(-(end - start) // BLOCK) * BLOCK, CONTEXTS))
+    for k, b in zip(t.column("part").to_pylist(), t.column("b"), strict=True):
+        at = (-1 - k - vocab.first_block[c]) * BLOCK
+        pairs[at : at + BLOCK] += np.frombuffer(b.as_buffer(), np.int64).reshape(BLOCK, CONTEXTS)
+    u, z = inner_softmax(vocab.by_rank[start:end], pairs[: end - start], prior, steps)
+    return pa.table({"cls": pa.array([c], pa.int32()), "u": pa.array([u.astype(np.float16).tobytes()], pa.binary()), "z": pa.array([z.tobytes()], pa.binary())})
+
+
+def _score(batch: pa.RecordBatch, id_col: str, text_col: str, vocab: Vocabulary, w: np.ndarray, u: np.ndarray, log_z: np.ndarray):
     for part in slices(batch, text_col):
         h, s, bounds = stream(Words(*raw(part.column(text_col)), SPACED))
         place, cls = vocab.read(h, s)
@@ -224,10 +336,11 @@ def _score(batch: pa.RecordBatch, id_col: str, text_col: str, vocab: Vocabulary,
         for a in range(0, len(h), 4096):
             z = logits(w, f[a : a + 4096])
             lp[a : a + 4096] = z[np.arange(len(z)), cls[a : a + 4096]] - np.log(np.exp(z).sum(axis=1))
-        lp = lp / np.log(10) - vocab.log_size[cls]
-        end = s < 0
+        end, top, ctx = s < 0, place >= 0, contexts(cls, bounds)
+        inner = -vocab.log_size[cls]
+        inner[top] = (u[vocab.rank[place[top]], ctx[top]] - log_z[cls[top], ctx[top]]) / np.log(10)
+        lp = lp / np.log(10) + inner
         known = np.where(end, np.log10(vocab.end_count + 0.5), 0.0)
-        top = place >= 0
         known[top] = vocab.log_count[place[top]]
         have = (top | end) & (~end | (vocab.end_count > 0))
         total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has a token
@@ -256,17 +369,33 @@ def _score(batch: pa.RecordBatch, id_col: str, text_col: str, vocab: Vocabulary,
         )
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held_fold: int = 1, frequent: int = 1 << 18, rows: int = 1 << 16, rate: float = 0.1) -> DataFrame:
+def score(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fold: int = 5,
+    held_fold: int = 1,
+    frequent: int = 1 << 18,
+    least_rows: int = 1 << 16,
+    most_rows: int = 1 << 18,
+    tokens_a_row: int = 256,
+    rounds: int = 2,
+    rate: float = 0.1,
+    prior: float = 1.0,
+    inner_steps: int = 20,
+) -> DataFrame:
     """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigram) and score, both log10.
 
-    Rows whose crc32(id as text) mod fold is held_fold aren't learned from. frequent bounds the
-    words whose counts are broadcast (16 bytes each), rows the weight rows (128 bytes each).
+    Rows whose crc32(id as text) mod fold is held_fold aren't learned from. frequent bounds the words whose counts and weights
+    are broadcast (82 bytes each); the weight rows (128 bytes each) are a power of two, one for at least tokens_a_row training
+    tokens, from least_rows up to most_rows.
     """
     spark = docs.sparkSession
     mine = pick(docs, id_col, text_col).withColumn("held_out", F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % fold == held_fold, F.lit(True)))
-    train = mine.where("not held_out").select(text_col)
+    train = mine.where("not held_out").select(text_col, F.xxhash64(text_col, id_col).alias("order"), F.xxhash64(id_col, text_col).alias("deal"))
 
-    counts = cut(train.mapInArrow(lambda it: _count(it, text_col), "h long, shape int, c long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")))
+    counts = cut(train.select(text_col).mapInArrow(lambda it: _count(it, text_col), "h long, shape int, c long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the least count that at most `frequent` words reach, from a histogram of some hundred rows
     steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
@@ -285,20 +414,46 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     )
     words = spark.sparkContext.broadcast(vocab)
 
-    parts = train.mapInArrow(lambda it: _train(it, text_col, words.value, rows, rate), "chunk int, w binary, seen binary")
-    some = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("chunk", "salt").mapInArrow(_sums, parts.schema)
-    mean = some.repartition("chunk").mapInArrow(_average, "chunk int, w binary").toArrow()  # rows * 128 bytes at most
-    w = np.zeros((rows, CLASSES), np.float32)
+    rows = least_rows
+    while rows < most_rows and n >= 2 * rows * tokens_a_row:
+        rows *= 2
+    shards = max(1, n // (64 * rows))
+    w, square = np.zeros((rows, CLASSES), np.float32), np.full(rows, 1e-2, np.float32)
     w[0] = np.log((vocab.tokens + 0.5) / (vocab.tokens + 0.5).sum())
-    for k, x in zip(mean["chunk"].to_pylist(), mean["w"].to_pylist(), strict=True):
-        w[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(x, np.float32).reshape(-1, CLASSES)
-    weights = spark.sparkContext.broadcast(w)
+    pairs = []
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast((w, square))
+        mine_ = train.where(F.pmod(F.shiftright("order", 32), F.lit(rounds)) == k).withColumn("shard", F.pmod("deal", F.lit(shards)))
+        parts = mine_.repartition("shard").sortWithinPartitions("shard", "order").select("shard", text_col).mapInArrow(lambda it, s=start: _train(it, text_col, words.value, *s.value, rate), PARTS)
+        some = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("part", "salt").mapInArrow(lambda it: _sums(it, True), PARTS)
+        total = cut(some.repartition("part").mapInArrow(lambda it: _sums(it, False), PARTS))
+        got = total.where("part >= 0").toArrow()  # rows * 264 bytes at most
+        w, square = w.copy(), square.copy()
+        for i, a, b, c in zip(got["part"].to_pylist(), *(got[x] for x in "abc"), strict=True):
+            seen = np.maximum(np.frombuffer(b.as_buffer(), np.int64), 1)
+            at = slice(i * CHUNK, (i + 1) * CHUNK)
+            w[at] += (np.frombuffer(a.as_buffer()).reshape(-1, CLASSES) / seen[:, None]).astype(np.float32)
+            square[at] = np.maximum(square[at], np.frombuffer(c.as_buffer()) / seen)
+        pairs.append(total.where("part < 0").select("part", "b"))
+
+    u, log_z = np.zeros((len(vocab.count), CONTEXTS), np.float16), np.repeat(np.log(10) * vocab.log_size[:, None], CONTEXTS, axis=1)
+    class_of = F.lit(0)
+    for c in range(CLASSES):
+        class_of = F.when(-1 - F.col("part") >= int(vocab.first_block[c]), c).otherwise(class_of) if vocab.start[c + 1] > vocab.start[c] else class_of
+    every = pairs[0]
+    for x in pairs[1:]:
+        every = every.unionByName(x)
+    inner = every.withColumn("cls", class_of.cast("int")).groupBy("cls").applyInArrow(lambda t: _inner(t, words.value, prior, inner_steps), "cls int, u binary, z binary").toArrow()  # `frequent` * 66 bytes at most
+    for c, x, z in zip(inner["cls"].to_pylist(), inner["u"], inner["z"], strict=True):
+        u[vocab.start[c] : vocab.start[c + 1]] = np.frombuffer(x.as_buffer(), np.float16).reshape(-1, CONTEXTS)
+        log_z[c] = np.frombuffer(z.as_buffer())
+    weights = spark.sparkContext.broadcast((w, u, log_z))
 
     kind = mine.schema[id_col].dataType.simpleString()
     first = cut(
         map_arrow(
             mine.withColumn("row", F.monotonically_increasing_id()),
-            lambda b: _score(b, id_col, text_col, words.value, weights.value),
+            lambda b: _score(b, id_col, text_col, words.value, *weights.value),
             f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, known double, model double, rest array<long>, tf array<int>",
         )
     )

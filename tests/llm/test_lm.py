@@ -31,7 +31,7 @@ def test_counts_and_base_score_equal_brute_force(spark, frequent):
     c = Counter(w for d, t in docs if not held(d) for w in words(t))
     n, v = sum(c.values()), len(c)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, row string").repartition(3)
-    got = {r.doc_id: r for r in lm.score(df, frequent=frequent, rows=1 << 10).collect()}
+    got = {r.doc_id: r for r in lm.score(df, frequent=frequent, least_rows=1 << 10).collect()}
     assert len(got) == len(docs)
     model = base = 0
     for d, t in docs:
@@ -52,15 +52,37 @@ def test_probabilities_of_the_next_word_sum_to_at_most_one(spark):
     ends = [(d, t) for d, t in ends]
     held = [x for x in range(10**6, 2 * 10**6) if zlib.crc32(str(x).encode()) % 5 == 1]
     df = spark.createDataFrame(docs + [(held[i], t) for i, (_, t) in enumerate(ends)] + [(held[-1], "the of")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm.score(df, rows=1 << 10).collect()}
+    got = {r.doc_id: r.score for r in lm.score(df, least_rows=1 << 10).collect()}
     # P(the, of, w, end) summed over w is at most P(the, of)
     assert sum(10 ** got[held[i]] for i in range(len(ends))) <= 1
 
 
+def test_scores_depend_neither_on_partitions_nor_on_order(spark):
+    """Several shards and rounds; held-out texts gain over the unigram base."""
+    docs = corpus(400)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = ({r.doc_id: r for r in lm.score(x, least_rows=64, most_rows=64).collect()} for x in (df.repartition(4), df.orderBy("doc_id", ascending=False).repartition(64)))
+    assert all(a[d].score == pytest.approx(b[d].score, rel=1e-6, abs=1e-6) for d in a)
+    held = [r for r in a.values() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) / tokens > 0.03
+
+
+def test_the_softmax_inside_a_class_reaches_its_optimum():
+    """At the optimum the gradient, pairs - expected - prior * u, is nothing."""
+    r = np.random.default_rng(0)
+    pairs = r.poisson(r.gamma(0.5, 20, (40, lm.CONTEXTS))).astype(float)
+    u, z = lm.inner_softmax(pairs.sum(axis=1), pairs, 2.0, 200)
+    p = np.exp(np.log(pairs.sum(axis=1) + 0.5)[:, None] + u - z)
+    assert (p.sum(axis=0) < 1).all() and np.abs(pairs - pairs.sum(axis=0) * p - 2.0 * u).max() < 2
+    few = lm.inner_softmax(pairs.sum(axis=1), pairs, 2.0, 20)[0]
+    assert np.abs(few - u).max() < 0.05
+
+
 def test_empty_and_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert lm.score(none, rows=64).count() == 0
-    rows = lm.score(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), rows=64).collect()
+    assert lm.score(none, least_rows=64).count() == 0
+    rows = lm.score(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), least_rows=64).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(True, 3, 0, 0)] * 2
 
 
