@@ -96,7 +96,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_revisits": op10_revisits,
 }
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOW.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED = f"regexp_extract_all({_LOW.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+with d as (select doc_id, coalesce({_ALNUM}, []) as w from documents),
+it as (select item_id, {_ALNUM} as w from benchmark),
+size as (select item_id, w, least(10, len(w)) as n from it where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select item_id, n, w, unnest(range(1, len(w) - n + 2)) as i from size)),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n)),
+hit as (select doc_id, i, n, item_id from dw join win using (n, g)),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha from (select distinct doc_id, item_id::varchar as item from hit where item_id is not null) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join items using (doc_id)""",
+    "op2_near_duplicates": f"""
+with recursive w as (select doc_id, coalesce({_SPACED}, []) as w from documents),
+sh as (select distinct doc_id, array_to_string(case when len(w) < 5 then w else w[i:i + 4] end, ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by 1),
+inter as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from inter join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+edge as (select x, y from link union select y, x from link),
+reach as (select x, y from edge union select r.x, e.y from reach r join edge e on e.x = r.y),
+root as (select x as doc_id, min(y) as r from reach group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(r, w.doc_id)) as component_id, w.doc_id = least(w.doc_id, coalesce(r, w.doc_id)) as kept
+from w left join n using (doc_id) left join root using (doc_id)""",
+    "op5_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
+select * from r where rank <= 20""",
     "op8_line_dedup": """
 with parts as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
 ln as (select doc_id, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from parts),
