@@ -278,25 +278,33 @@ def _train(batches, text_col: str, vocab: Vocabulary, w: np.ndarray, square: np.
         yield learner.done()
 
 
-def _sums(batches, raw_: bool):
-    """Sums by part as the rows come, so that memory doesn't grow with their number. raw_: rows of Learner.done."""
+def _sums(batches, first: bool, last: bool):
+    """Sums by part as the rows come, so that memory doesn't grow with their number. first: of rows of Learner.done; last: gives the weights' means."""
     total: dict[int, list] = {}
     for batch in batches:
         for k, a, b, c in zip(batch.column("part").to_pylist(), *(batch.column(x) for x in "abc"), strict=True):
             b = np.frombuffer(b.as_buffer(), np.int64)
             if k < 0:
-                x = np.frombuffer(a.as_buffer(), np.int32) if raw_ else slice(None)
                 have = total.setdefault(k, [None, np.zeros(BLOCK * CONTEXTS, np.int64), None])
-                have[1][x] += b
+                have[1][np.frombuffer(a.as_buffer(), np.int32) if first else slice(None)] += b
             else:
-                x = np.frombuffer(a.as_buffer(), np.float16 if raw_ else np.float64).reshape(-1, CLASSES).astype(np.float64)
-                q = np.frombuffer(c.as_buffer(), np.float32 if raw_ else np.float64).astype(np.float64)
-                if raw_:
+                x = np.frombuffer(a.as_buffer(), np.float16 if first else np.float64).reshape(-1, CLASSES).astype(np.float64)
+                q = np.frombuffer(c.as_buffer(), np.float32 if first else np.float64).astype(np.float64)
+                if first:
                     x, q = x * b[:, None], q * b
                 have = total.setdefault(k, [0.0, 0, 0.0])
                 total[k] = [have[0] + x, have[1] + b, have[2] + q]
-    if total:
-        yield _rows([(k, b"" if k < 0 else a.tobytes(), b.tobytes(), b"" if k < 0 else c.tobytes()) for k, (a, b, c) in total.items()])
+    out = []
+    for k, (a, b, c) in total.items():
+        if k < 0:
+            out.append((k, b"", b.tobytes(), b""))
+        elif last:
+            n = np.maximum(b, 1)
+            out.append((k, (a / n[:, None]).astype(np.float16).tobytes(), b"", (c / n).astype(np.float32).tobytes()))
+        else:
+            out.append((k, a.tobytes(), b.tobytes(), c.tobytes()))
+    if out:
+        yield _rows(out)
 
 
 def inner_softmax(count: np.ndarray, pairs: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,11 +387,11 @@ def score(
     frequent: int = 1 << 18,
     least_rows: int = 1 << 16,
     most_rows: int = 1 << 18,
-    tokens_a_row: int = 256,
+    tokens_a_row: int = 512,
     rounds: int = 2,
     rate: float = 0.1,
     prior: float = 1.0,
-    inner_steps: int = 20,
+    inner_steps: int = 40,
 ) -> DataFrame:
     """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigram) and score, both log10.
 
@@ -425,15 +433,17 @@ def score(
         start = spark.sparkContext.broadcast((w, square))
         mine_ = train.where(F.pmod(F.shiftright("order", 32), F.lit(rounds)) == k).withColumn("shard", F.pmod("deal", F.lit(shards)))
         parts = mine_.repartition("shard").sortWithinPartitions("shard", "order").select("shard", text_col).mapInArrow(lambda it, s=start: _train(it, text_col, words.value, *s.value, rate), PARTS)
-        some = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("part", "salt").mapInArrow(lambda it: _sums(it, True), PARTS)
-        total = cut(some.repartition("part").mapInArrow(lambda it: _sums(it, False), PARTS))
-        got = total.where("part >= 0").toArrow()  # rows * 264 bytes at most
-        w, square = w.copy(), square.copy()
-        for i, a, b, c in zip(got["part"].to_pylist(), *(got[x] for x in "abc"), strict=True):
-            seen = np.maximum(np.frombuffer(b.as_buffer(), np.int64), 1)
+        salts = min(16, shards // 16)
+        if salts > 1:
+            parts = parts.withColumn("salt", F.spark_partition_id() % salts).repartition("part", "salt").mapInArrow(lambda it: _sums(it, True, False), PARTS)
+        total = cut(parts.repartition("part").mapInArrow(lambda it, raw_=salts < 2: _sums(it, raw_, True), PARTS))
+        start.destroy()
+        got = total.where("part >= 0").select("part", "a", "c").toArrow()  # rows * 68 bytes at most
+        for i, a, c in zip(got["part"].to_pylist(), got["a"], got["c"], strict=True):
             at = slice(i * CHUNK, (i + 1) * CHUNK)
-            w[at] += (np.frombuffer(a.as_buffer()).reshape(-1, CLASSES) / seen[:, None]).astype(np.float32)
-            square[at] = np.maximum(square[at], np.frombuffer(c.as_buffer()) / seen)
+            w[at] += np.frombuffer(a.as_buffer(), np.float16).reshape(-1, CLASSES)
+            square[at] = np.maximum(square[at], np.frombuffer(c.as_buffer(), np.float32))
+        del got
         pairs.append(total.where("part < 0").select("part", "b"))
 
     u, log_z = np.zeros((len(vocab.count), CONTEXTS), np.float16), np.repeat(np.log(10) * vocab.log_size[:, None], CONTEXTS, axis=1)
@@ -448,6 +458,7 @@ def score(
         u[vocab.start[c] : vocab.start[c + 1]] = np.frombuffer(x.as_buffer(), np.float16).reshape(-1, CONTEXTS)
         log_z[c] = np.frombuffer(z.as_buffer())
     weights = spark.sparkContext.broadcast((w, u, log_z))
+    del inner, w, u
 
     kind = mine.schema[id_col].dataType.simpleString()
     first = cut(
@@ -457,6 +468,8 @@ def score(
             f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, known double, model double, rest array<long>, tf array<int>",
         )
     )
+    words.destroy()  # what follows reads the cut
+    weights.destroy()
     tail = first.select("row", F.explode(F.arrays_zip("rest", "tf")).alias("x")).select("row", F.col("x.rest").alias("h"), "x.tf")
     sums = (
         tail.join(counts.where(~often).select("h", "c"), "h", "left")
