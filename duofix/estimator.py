@@ -108,8 +108,6 @@ class TwoWay:
             jla = firms + columns > spec.exact_limit
         names, b, gram = controls.coefficients(rows, spec, spec.firm_cells if jla else spec.exact_limit)
         joint = bool(names) and spec.nuisance == "joint"
-        if joint and jla:
-            raise Withheld("INVALID_OPTION", "joint controls need algorithm='exact' (at most exact_limit firms and controls); else use nuisance='fixed_offset'")
         if spec.centering == "corrected":
             if jla or joint:
                 raise Withheld("INVALID_OPTION", "corrected centering needs the exact algorithm, and no joint controls")
@@ -118,7 +116,7 @@ class TwoWay:
             rows = rows.withColumn("y", F.col("yo"))
         rows = cut(rows)
         if jla:
-            return self._random(rows, facts)
+            return self._random(rows, facts, names if joint else None, gram)
         _, _, firms, fit, k = exact.fit(rows.withColumn("y", F.col("yo")), spec)
         solver = firmwise.Solver(None, len(fit.inverse), spec, fit.inverse)
         if joint:
@@ -136,8 +134,8 @@ class TwoWay:
             bias = tuple(x - y for x, y in zip(bias, (a, b, c, a + b + 2 * c), strict=True))
         return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), bias, got["h"], by, (0.0,) * 4, solver)
 
-    def _random(self, rows: DataFrame, facts: dict) -> FitResult:
-        firms, k, draws, by, _ = random_probes.fit(rows, self.spec)
+    def _random(self, rows: DataFrame, facts: dict, names: list[str] | None, gram: np.ndarray) -> FitResult:
+        firms, k, draws, by, _ = random_probes.fit(rows, self.spec, names, gram)
         draws = np.vstack([draws, draws[0] + draws[1] + 2 * draws[2]])
         got = by.agg(F.max("max_leverage").alias("h"), F.min("least_left").alias("left")).first()
         if got["left"] <= 1e-10:

@@ -24,12 +24,12 @@ def normal(*parts: Column | str) -> Column:
 
 
 def with_midrank(df: DataFrame, value: str, out: str = "midrank") -> DataFrame:
-    """Adds (first + last rank - 1) / n - 1, ties sharing a rank, in [-1, 1].
+    """Adds (first + last rank - 1) / n - 1, ties sharing a rank, in [-1, 1]; a null value counts for nothing and gets null.
 
     Ranks come from counts of distinct values, cumulated in two levels, so no task sees all rows:
     values are cut at quantiles, cumulated within a cut, and the cuts' totals are added.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
     cuts = counts.select(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
     part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(cuts))]), lambda b: b <= F.col(value))) if cuts else F.lit(0)
     counts = counts.withColumn("__part", part)
@@ -40,4 +40,4 @@ def with_midrank(df: DataFrame, value: str, out: str = "midrank") -> DataFrame:
     ranks = counts.withColumn("__last", F.sum("__n").over(inside)).join(F.broadcast(parts.select("__part", "__before")), "__part").join(F.broadcast(total))
     last = F.col("__last") + F.col("__before")
     ranks = ranks.select(value, ((2 * last - F.col("__n")) / F.col("__total") - 1).alias(out))
-    return df.join(ranks, value)
+    return df.join(ranks, value, "left")

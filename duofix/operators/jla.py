@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..spec import PanelSpec
-from . import collapse, cut, exact, firmwise
+from . import collapse, cut, exact, firmwise, joint_random
 
 U = np.uint64
 
@@ -48,9 +48,10 @@ def leverage_units(rows: DataFrame, spec: PanelSpec) -> DataFrame:
     block = rows.where(whole).groupBy("unit", "w", "f").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("uy"))
     block = block.select(F.xxhash64(F.lit("unit"), "unit").alias("key"), "w", "f", "n", "uy", F.lit(True).alias("whole"))
     # equal stored rows of a cell are told apart by a number, so that each copy has signs of its own
-    same = rows.where(~whole).groupBy("unit", "w", "f", "y", "t", "n").agg(F.count("*").alias("k"))
+    z = [c for c in rows.columns if c[0] == "z" and c[1:].isdigit()]
+    same = rows.where(~whole).groupBy("unit", "w", "f", "y", "t", "n", *z).agg(F.count("*").alias("k"))
     copy = same.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("k") * F.col("n")).cast("long"))))
-    copy = copy.select(F.xxhash64(F.lit("copy"), "unit", "w", "f", "y", "t", "n", "copy").alias("key"), "w", "f", F.lit(1.0).alias("n"), F.col("y").alias("uy"), F.lit(False).alias("whole"))
+    copy = copy.select(F.xxhash64(F.lit("copy"), "unit", "w", "f", "y", "t", "n", *z, "copy").alias("key"), "w", "f", F.lit(1.0).alias("n"), F.col("y").alias("uy"), F.lit(False).alias("whole"))
     return block.unionAll(copy)
 
 
@@ -118,11 +119,16 @@ def weights(moments: DataFrame, probes: int) -> DataFrame:
     return m.withColumn("inverse", 1 / mb + F.col("b") / (mb * mb) - F.col("v") / (mb * mb * mb))
 
 
-def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> np.ndarray:
-    """3 x probes: worker, firm and covariance draws of the correction. strata: w, j, key, n, t, mass, weight; dealt and sorted by worker."""
+def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec, joint: tuple | None = None) -> np.ndarray:
+    """3 x probes: worker, firm and covariance draws of the correction. strata: w, j, key, n, t, mass, weight; dealt and sorted by worker.
+
+    joint: (inverse Gram of the controls, their firm parts, Czz) with joint controls, whose worker parts a0.. and weights cz0.. strata has then too.
+    """
     k, total = solver.k, float(strata.agg(F.sum("t")).first()[0])
     group = max(1, min(spec.probes, spec.firm_cells // max(2 * k, 1)))
     sc, out = strata.sparkSession.sparkContext, []
+    kc = len(joint[0]) if joint else 0
+    many = lambda b, c: np.column_stack([b.col[f"{c}{i}"] for i in range(kc)])
     for start in range(0, spec.probes, group):
         probes = np.arange(start, min(start + group, spec.probes))
         c = len(probes)
@@ -134,21 +140,36 @@ def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> np.nda
             for b in firmwise.whole_workers(batches, 10_000):
                 a, s = raw(b), (b.col["t"] / total)[:, None]
                 yield from firmwise.emit(b.j, np.column_stack([b.p[:, None] * b.total(a), a, b.p[:, None] * b.total(s), s]))
+                if kc:
+                    z = many(b, "a").T
+                    yield from firmwise.emit(k + np.arange(kc), np.column_stack([z @ a, np.zeros((kc, c)), z @ s, np.zeros((kc, 1))]))
 
-        got = firmwise.collect(strata.mapInArrow(rhs, firmwise.SCHEMA), k, 2 * c + 2)
+        got = firmwise.collect(strata.mapInArrow(rhs, firmwise.SCHEMA), k + kc, 2 * c + 2)
+        loads, got = got[k:], got[:k]
         every = got[:, c : 2 * c].sum(0)
-        psi = sc.broadcast((solver(np.column_stack([got[:, -2:-1] * every - got[:, :c], got[:, c : 2 * c] - got[:, -1:] * every])), every))
+        right = np.column_stack([got[:, -2:-1] * every - got[:, :c], got[:, c : 2 * c] - got[:, -1:] * every])
+        q = np.zeros((0, 2 * c))
+        if kc:
+            q = joint[0] @ np.column_stack([loads[:, :c] - loads[:, -2:-1] * every, joint[1].T @ right[:, c:]])
+        psi = sc.broadcast((solver(right), every, q))
 
         def run(batches, raw=raw, psi=psi, c=c):
             for b in firmwise.whole_workers(batches, 10_000):
-                x, every = psi.value
+                x, every, q = psi.value
                 a = b.total(raw(b) - (b.col["t"] / total)[:, None] * every)
                 g = b.away(x)
                 sw, sf = a / b.nw[:, None] + g[:, :c], g[:, c:]
-                u = b.col["weight"] @ np.column_stack([sw * sw, sf * sf, (sw + sf) ** 2])
+                s = np.column_stack([sw, sf, sw + sf])
+                u = b.col["weight"] @ (s * s)
+                if kc:
+                    u -= (s * (many(b, "cz") @ np.column_stack([q, q[:, :c] + q[:, c:]]))).sum(0)
                 yield from firmwise.emit(np.zeros(1, np.int64), u[None, :])
 
-        x = firmwise.collect(strata.mapInArrow(run, firmwise.SCHEMA), 1, 3 * c)[0].reshape(3, c)
+        x = firmwise.collect(strata.mapInArrow(run, firmwise.SCHEMA), 1, 3 * c)[0]
+        if kc:
+            q3 = np.column_stack([q, q[:, :c] + q[:, c:]])
+            x = x + np.einsum("ic,ij,jc->c", q3, joint[2], q3)
+        x = x.reshape(3, c)
         out.append(np.stack([x[0], x[1], (x[2] - x[0] - x[1]) / 2]))
     return np.concatenate(out, axis=1)
 
@@ -158,12 +179,12 @@ def deal(df: DataFrame, *order: str) -> DataFrame:
     return cut(df.repartition("w").sortWithinPartitions("w", *order)).sortWithinPartitions("w", *order)
 
 
-def fit(rows: DataFrame, spec: PanelSpec):
-    """(firm table, kernels with alpha and psi, draws of the correction, (largest leverage, table by source), solver)."""
+def fit(rows: DataFrame, spec: PanelSpec, names: list[str] | None = None, gram: np.ndarray | None = None):
+    """(firm table, kernels with alpha and psi, draws of the correction, table by source, solver). names: controls that are estimated jointly; gram: theirs."""
     cells = cut(collapse.cells(rows.withColumn("y", F.col("yo"))))
-    names, firms = exact.index_firms(cells, spec.firm_cells)
+    known, firms = exact.index_firms(cells, spec.firm_cells)
     mine = deal(exact.by_worker(cells, firms), "j")
-    solver = firmwise.Solver(mine, len(names), spec)
+    solver = firmwise.Solver(mine, len(known), spec)
     k = effects(mine, solver)
     mean = rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if spec.centering == "mean" else 0.0
     units = leverage_units(rows.withColumn("y", F.col("yo")), spec).join(firms, "f").withColumn("w", F.xxhash64("w")).select("key", "w", "j", "n", "uy", "whole")
@@ -172,7 +193,14 @@ def fit(rows: DataFrame, spec: PanelSpec):
     fitted = F.col("n") * (F.col("alpha") + F.col("psi"))
     x = x.withColumn("weight", (F.col("uy") - F.col("n") * float(mean)) * (F.col("uy") - fitted) * F.col("inverse"))
     by = found.groupBy(F.when(F.col("whole"), "block").otherwise("copy").alias("source")).agg(F.max("pbar").alias("max_leverage"), F.count("*").alias("units"), F.min("ell").alias("least_left"))
-    cell = x.groupBy("w", "j").agg(F.sum("weight").alias("cell_weight"), F.sum("n").alias("cell_n"))
+    cell, joint, extra = x.groupBy("w", "j").agg(F.sum("weight").alias("cell_weight")), None, []
+    if names:
+        parts, firm_parts = joint_random.predictions(rows, firms, names, solver)
+        cell, zz = joint_random.weights(found, joint_random.unit_sums(rows, names, spec, mean), k, parts, gram, names)
+        cell = cell.join(parts.select("w", "j", *[f"a{i}" for i in range(len(names))]), ["w", "j"])
+        joint, extra = (np.linalg.inv(gram), firm_parts, zz), [f"cz{i}" for i in range(len(names))]
+    cell = cell.join(found.groupBy("w", "j").agg(F.sum("n").alias("cell_n")), ["w", "j"])
     strata = collapse.strata(rows).join(firms, "f").select(F.xxhash64("w", "f", "copy_mass").alias("key"), F.xxhash64("w").alias("w"), "j", "n", "t", F.col("copy_mass").alias("mass"))
-    strata = strata.join(cell, ["w", "j"]).withColumn("weight", F.col("cell_weight") * F.col("n") / F.col("cell_n")).drop("cell_weight", "cell_n")
-    return firms, k, draws(deal(strata, "j", "key"), solver, spec), cut(by), solver
+    share = F.col("n") / F.col("cell_n")
+    strata = strata.join(cell, ["w", "j"]).withColumn("weight", F.col("cell_weight") * share).withColumns({c: F.col(c) * share for c in extra}).drop("cell_weight", "cell_n")
+    return firms, k, draws(deal(strata, "j", "key"), solver, spec, joint), cut(by), solver

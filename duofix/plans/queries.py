@@ -180,6 +180,14 @@ def true_moments(spark, sf_dir):
     return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
 
 
+def _simulated(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = sources.simulate(spark, name)
+        return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in df.dtypes])
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "sample_complete": sample_complete,
     "cell_collapse": cell_collapse,
@@ -205,6 +213,7 @@ QUERIES: dict[str, Query] = {
     "kss_joint_obs": _estimate(events, controls=("c1",), deletion="observation"),
     "kss_centering_corrected": _estimate(events, centering="corrected"),
     "jla_point": _estimate(events, algorithm="jla", probes=64),
+    "jla_joint": _estimate(events, algorithm="jla", probes=64, controls=("c1",), centering="mean"),
     "jla_hybrid": _estimate(orders, algorithm="jla", probes=64, stayers="both", centering="mean"),
     "decomposition": decomposition,
     "outcome_moments": outcome_moments,
@@ -213,7 +222,7 @@ QUERIES: dict[str, Query] = {
     "component_se": component_se,
     "projection_cov": projection_cov,
     "true_moments": true_moments,
-    **{f"simulate_{x}": (lambda s, d, x=x: sources.simulate(s, x)) for x in ("ex1", "ex2", "ex3", "ex4", "ex5")},
+    **{f"simulate_{x}": _simulated(x) for x in ("ex1", "ex2", "ex3", "ex4", "ex5")},
 }
 
 _EVENTS = "select user_id as w, event_type as f, value as y, {n} as n, {t} as t from events"
@@ -308,9 +317,46 @@ def _controlled(bias: str, shift: str = "0") -> str:
     return _kss(obs, bias=_CONTROL.format(shift=shift) + bias).replace("from plug, cor", "from plug2, cor")
 
 
+def _draw(*parts: str) -> str:
+    """SQL of functions.normal: the parts are SQL of text or whole numbers."""
+    text = "concat_ws(':', " + ", ".join(parts) + ")"
+    u, v = (f"((('0x' || substr(md5({text}), {1 + 7 * k}, 7))::bigint + 0.5::double) / 268435456)" for k in (0, 1))
+    return f"(sqrt(-2 * ln({u})) * cos(6.283185307179586::double * {v}))"
+
+
+def _whole(columns: str, doubles: str, rest: str) -> str:
+    parts = [*(f"{c}::bigint as {c}" for c in columns.split()), *(f"round({c}::double, 6) + 0 as {c}" for c in doubles.split())]
+    return f"select {', '.join(parts)} from {rest}"
+
+
+def _jobs(workers: int, firms: int, seed: int) -> str:
+    at = f"(worker_id - 1 + ({{}} - 1) * (1 + ('0x' || substr(md5('{seed}:step:' || worker_id), 1, 7))::bigint % {firms - 1})) % {firms} + 1"
+    premium = lambda f: _draw(f"'{seed}'", "'firm'", f)
+    cell = ("worker_id", "spell", "period")
+    inner = f"""(select *, worker_id * 10 + spell as match_id, {premium("firm_id")} as firm_fe, 0.5 * ({premium("f1")} + {premium("f2")} + {premium("f3")}) / 3 + {_draw(f"'{seed}'", "'worker'", "worker_id")} as worker_fe,
+  {_draw(f"'{seed}'", "'productivity'", *cell)} as productivity, 3 * {_draw(f"'{seed}'", "'error'", *cell)} as error
+  from (select *, {at.format("spell")} as firm_id, {at.format(1)} as f1, {at.format(2)} as f2, {at.format(3)} as f3
+    from (select i // 6 + 1 as worker_id, i % 6 // 2 + 1 as spell, i % 2 + 1 as period from range({workers * 6}) t(i))))"""
+    return _whole("worker_id spell period firm_id match_id", "firm_fe worker_fe productivity error log_wage", f"(select *, 2 + worker_fe + firm_fe + 0.30::double * productivity + case when period = 2 then 0.15::double else 0 end + error as log_wage from {inner})")
+
+
+_EX3 = f"""(select *, 2 + worker_fe + firm_fe + 0.35::double * productivity + error as log_wage from (select *, {_draw("'ex3'", "'worker'", "worker_id")} as worker_fe, 0.6::double * {_draw("'ex3'", "'firm'", "firm_id")} as firm_fe,
+  {_draw("'ex3'", "'productivity'", "match_id")} as productivity, 0.45::double * {_draw("'ex3'", "'error'", "match_id")} as error from (select *, (worker_id - 1 + case spell when 1 then 0 when 2 then 1 else 7 end) % 15 + 1 as firm_id,
+  worker_id * 10 + spell as match_id, 1 + (worker_id + spell) % 3 as frequency, 1 + spell / 2.0 as target_mass from (select i // 3 + 1 as worker_id, i % 3 + 1 as spell from range(180) t(i)))))"""
+_EX4 = f"""(select *, 2 + worker_fe + firm_fe + error as log_wage from (select *, ln(firm_size) as log_firm_size, 0.5::double * ln(firm_size) as firm_fe, 0.4::double * {_draw("'ex4'", "'worker'", "worker_id")} as worker_fe,
+  0.15::double * {_draw("'ex4'", "'error'", "worker_id", "year")} as error from (select *, (count(*) over (partition by firm_id))::double / 4 as firm_size from (select worker_id, year, case when year <= 2 then o else o % 10 + 1 end as firm_id
+  from (select w as worker_id, y as year, case when w <= 10 then w else ceil(sqrt(w - 10))::bigint end as o from range(1, 111) a(w), range(1, 5) b(y))))))"""
+_EX5 = f"""(select *, 1.5::double + worker_fe + firm_fe + 0.4::double * productivity - 0.15::double * policy + error as log_wage from (select i // 4 as worker_id, i % 4 as period, ({sources.EX5_FIRMS})[i + 1] as firm_id, ({sources.EX5_ERRORS})[i + 1]::double as error,
+  i % 4 - 1.5 as productivity, case when i % 4 = 2 then 1 else 0 end as policy, 0.3::double * (i // 4) as worker_fe, -0.2::double * ({sources.EX5_FIRMS})[i + 1] as firm_fe from range(24) t(i)))"""
+
 _PLAIN = _EVENTS.format(n=1, t=1)
 _WEIGHTED = _EVENTS.format(n="event_id % 3 + 1", t="(event_id % 5 + 0.5)::double")
 ORACLES: dict[str, str] = {
+    "simulate_ex1": _jobs(10_000, 3001, 20260821),
+    "simulate_ex2": _jobs(200, 61, 20260820),
+    "simulate_ex3": _whole("worker_id spell firm_id match_id frequency", "target_mass worker_fe firm_fe productivity error log_wage", _EX3),
+    "simulate_ex4": _whole("worker_id year firm_id", "firm_size log_firm_size worker_fe firm_fe error log_wage", _EX4),
+    "simulate_ex5": _whole("worker_id period firm_id", "error productivity policy worker_fe firm_fe log_wage", _EX5),
     "sample_complete": "select event_type as f, count(*) as rows, round(sum(value), 6) as total from events where event_id % 10 > 0 group by 1",
     "cell_collapse": f"select w, f, count(*) as rows, sum(n)::bigint as n, round(sum(n * y), 6) as sy, round(sum(n * y * y), 6) as syy, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f",
     "unit_collapse": "select concat_ws('-', user_id, event_type, event_id % 2) as unit, user_id as w, event_type as f, count(*) as n, round(sum(value) / sqrt(count(*)), 6) as y_unit from events group by 1, 2, 3",

@@ -62,34 +62,53 @@ def freeze(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return rows
 
 
+# Firms and disturbances of example ex5, row by row.
+EX5_FIRMS = [0, 0, 1, 1, 0, 2, 2, 1, 1, 2, 3, 3, 2, 3, 0, 0, 3, 1, 1, 2, 3, 3, 2, 0]
+EX5_ERRORS = [0.2, -0.1, 0.1, -0.2, -0.2, 0.3, -0.1, 0.1, 0.1, -0.2, 0.2, -0.1, -0.1, 0.2, -0.2, 0.1, 0.3, -0.2, 0.1, -0.2, -0.2, 0.1, 0.2, -0.1]
+
+
 def simulate(spark: SparkSession, name: str) -> DataFrame:
-    """Example panels ex1 to ex5 by formulas; draws are keyed by md5, so they are the same everywhere."""
-    i = F.col("id")
+    """Example panels ex1 to ex5 with their true effects. Draws are keyed by md5, so they are the same everywhere.
+
+    ex1, ex2: three jobs a worker, two observations a job, sorting. ex3: frequencies and target masses. ex4: firm effects
+    by firm size, one move to the next firm. ex5: 24 fixed rows.
+    """
+    i, worker, firm = F.col("id"), F.col("worker_id"), F.col("firm_id")
+    wage = lambda df, more: df.withColumn("log_wage", 2 + F.col("worker_fe") + F.col("firm_fe") + more + F.col("error"))
     if name in ("ex1", "ex2"):
         workers, firms, seed = (10_000, 3001, "20260821") if name == "ex1" else (200, 61, "20260820")
-        w, spell, period = F.floor(i / 6), F.floor(i % 6 / 2), i % 2 + 1
-        ability = normal(seed, "a", w)
-        shift = F.floor(hex_word(seed, "f", w, spell) % 7 - 3)
-        firm = F.pmod(F.floor((F.tanh(ability) + 1) / 2 * (firms - 1)) + shift * 11 + spell, F.lit(firms))
-        df = spark.range(workers * 6).select(w.alias("worker_id"), firm.cast("long").alias("firm_id"), (w * 3 + spell).cast("long").alias("match_id"), (spell + 1).cast("long").alias("spell"), period.alias("period"), ability.alias("worker_fe"))
-        effect = 0.5 * F.sin(F.col("firm_id") * 0.1) + F.col("firm_id") / firms
-        df = df.withColumn("firm_fe", effect).withColumn("productivity", normal(seed, "x", F.col("match_id"), F.col("period"))).withColumn("error", 3 * normal(seed, "e", F.col("match_id"), F.col("period")))
-        return df.withColumn("log_wage", 2 + F.col("worker_fe") + F.col("firm_fe") + 0.30 * F.col("productivity") + F.when(F.col("period") == 2, 0.15).otherwise(0.0) + F.col("error"))
+        df = spark.range(workers * 6).select((F.floor(i / 6) + 1).alias("worker_id"), (F.floor(i % 6 / 2) + 1).alias("spell"), (i % 2 + 1).alias("period"))
+        step = 1 + hex_word(seed, "step", worker) % (firms - 1)
+        at = lambda spell: (worker - 1 + (spell - 1) * step) % firms + 1
+        premium = lambda f: normal(seed, "firm", f)
+        df = df.withColumn("firm_id", at(F.col("spell"))).withColumn("match_id", worker * 10 + F.col("spell")).withColumn("firm_fe", premium(firm))
+        mean = (premium(at(F.lit(1))) + premium(at(F.lit(2))) + premium(at(F.lit(3)))) / 3
+        df = df.withColumn("worker_fe", 0.5 * mean + normal(seed, "worker", worker))
+        cell = (worker, F.col("spell"), F.col("period"))
+        df = df.withColumn("productivity", normal(seed, "productivity", *cell)).withColumn("error", 3 * normal(seed, "error", *cell))
+        return wage(df, 0.30 * F.col("productivity") + 0.15 * (F.col("period") == 2).cast("double"))
     if name == "ex3":
-        w, spell = F.floor(i / 3), i % 3 + 1
-        df = spark.range(180).select((w + 1).alias("worker_id"), (F.pmod(w + spell * spell, F.lit(15)) + 1).cast("long").alias("firm_id"), spell.alias("spell"), (1 + (w + 1 + spell) % 3).cast("long").alias("frequency"), (1 + spell / 2).alias("target_mass"))
-        return df.withColumn("log_wage", 2 + F.col("worker_id") / 60 + F.col("firm_id") / 15 + 0.2 * normal("ex3", F.col("worker_id"), F.col("spell")))
+        df = spark.range(180).select((F.floor(i / 3) + 1).alias("worker_id"), (i % 3 + 1).alias("spell"))
+        away = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(7)), F.col("spell").cast("int"))
+        df = df.withColumn("firm_id", (worker - 1 + away) % 15 + 1).withColumn("match_id", worker * 10 + F.col("spell"))
+        df = df.withColumn("frequency", 1 + (worker + F.col("spell")) % 3).withColumn("target_mass", 1 + F.col("spell") / 2)
+        df = df.withColumn("worker_fe", normal("ex3", "worker", worker)).withColumn("firm_fe", 0.6 * normal("ex3", "firm", firm))
+        df = df.withColumn("productivity", normal("ex3", "productivity", F.col("match_id"))).withColumn("error", 0.45 * normal("ex3", "error", F.col("match_id")))
+        return wage(df, 0.35 * F.col("productivity"))
     if name == "ex4":
-        w, year = F.floor(i / 4), i % 4 + 1
-        first = F.floor(w / 11)
-        move = (year > 2).cast("long") * (w % 11 == 0).cast("long")
-        df = spark.range(440).select((w + 1).alias("worker_id"), year.alias("year"), (F.pmod(first + move, F.lit(10)) + 1).cast("long").alias("firm_id"))
-        df = df.withColumn("firm_size", F.col("firm_id") * 10).withColumn("log_firm_size", F.log("firm_size"))
-        return df.withColumn("log_wage", 1 + 0.1 * normal("ex4", "a", F.col("worker_id")) + 0.5 * F.col("log_firm_size") + 0.1 * normal("ex4", "e", F.col("worker_id"), F.col("year")))
+        # workers 1 to 10 begin at the firm of their number, the next at firm 1, three at firm 2, five at firm 3 and so on: 2k in all at firm k
+        df = spark.range(440).select((F.floor(i / 4) + 1).alias("worker_id"), (i % 4 + 1).alias("year"))
+        origin = F.when(worker <= 10, worker).otherwise(F.ceil(F.sqrt(worker - 10)))
+        df = df.withColumn("firm_id", F.when(F.col("year") <= 2, origin).otherwise(origin % 10 + 1).cast("long"))
+        size = firm + F.when(firm == 1, 10).otherwise(firm - 1)  # those who begin there and those who come, two years each, twice as many as the numbers, over four years
+        df = df.withColumn("firm_size", size.cast("double")).withColumn("log_firm_size", F.log("firm_size"))
+        df = df.withColumn("worker_fe", 0.4 * normal("ex4", "worker", worker)).withColumn("firm_fe", 0.5 * F.col("log_firm_size"))
+        return wage(df.withColumn("error", 0.15 * normal("ex4", "error", worker, F.col("year"))), F.lit(0.0))
     if name == "ex5":
-        w, period = F.floor(i / 4), i % 4 + 1
-        df = spark.range(24).select((w + 1).alias("worker_id"), period.alias("period"), (F.pmod(w + F.floor(i % 4 / 2) * (w % 3 + 1), F.lit(4)) + 1).cast("long").alias("firm_id"))
-        return df.withColumn("productivity", F.col("period") - 2.5).withColumn("policy", (F.col("period") == 3).cast("double")).withColumn("log_wage", 1.5 + 0.3 * F.col("worker_id") - 0.2 * F.col("firm_id") + 0.4 * F.col("productivity") - 0.15 * F.col("policy") + 0.1 * normal("ex5", F.col("worker_id"), F.col("period")))
+        df = spark.createDataFrame([(k // 4, k % 4, f, float(e)) for k, (f, e) in enumerate(zip(EX5_FIRMS, EX5_ERRORS, strict=True))], "worker_id long, period long, firm_id long, error double")
+        df = df.withColumn("productivity", F.col("period") - 1.5).withColumn("policy", (F.col("period") == 2).cast("double"))
+        df = df.withColumn("worker_fe", 0.3 * worker).withColumn("firm_fe", -0.2 * firm)
+        return wage(df, 0.4 * F.col("productivity") - 0.15 * F.col("policy") - 0.5)
     raise Withheld("INVALID_OPTION", f"no example {name!r}")
 
 

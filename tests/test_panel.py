@@ -62,7 +62,7 @@ def test_joint_controls_equal_the_dense_estimator(spark, deletion):
     assert r.plugin == pytest.approx(want[0], abs=1e-10) and r.bias == pytest.approx(want[1], abs=1e-10)
 
 
-@pytest.mark.parametrize("options", [{}, {"deletion": "observation"}, {"stayers": "both", "centering": "mean", "frequency": "frequency", "target": "target_mass"}])
+@pytest.mark.parametrize("options", [{}, {"deletion": "observation"}, {"stayers": "both", "centering": "mean", "frequency": "frequency", "target": "target_mass"}, {"controls": ("productivity", "spell"), "centering": "mean"}, {"controls": ("productivity",), "deletion": "observation", "frequency": "frequency"}])
 def test_random_probes_come_near_the_exact_correction(spark, options):
     df = sources.simulate(spark, "ex3")
     spec = PanelSpec("log_wage", "worker_id", "firm_id", **options)
@@ -306,6 +306,11 @@ def test_midranks(spark):
         assert g.midrank == pytest.approx((first + last - 1) / len(v) - 1)
 
 
+def test_null_values_have_no_midrank_but_stay(spark):
+    got = fn.with_midrank(spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0)], "i long, v double"), "v").collect()
+    assert {g.i: g.midrank for g in got} == {1: 0.5, 2: None, 3: -0.5}
+
+
 def test_simulated_panels(spark):
     shape = {"ex1": 60_000, "ex2": 1200, "ex3": 180, "ex4": 440, "ex5": 24}
     for name, n in shape.items():
@@ -315,6 +320,9 @@ def test_simulated_panels(spark):
     r = TwoWay(PanelSpec("log_wage", "worker_id", "firm_id", controls=("productivity",), factors=("period",), nuisance="fixed_offset", centering="mean")).fit(df)
     assert np.isfinite(r.bias).all() and r.facts["rows_out"] > 500
     assert sources.true_moments(df, "worker_fe", "firm_fe").first().total_variance > 0
+    assert sources.simulate(spark, "ex4").groupBy("worker_id").agg(F.countDistinct("firm_id").alias("k")).where("k = 2").count() == 110
+    fixed = TwoWay(PanelSpec("log_wage", "worker_id", "firm_id", controls=("productivity", "policy"))).fit(sources.simulate(spark, "ex5"))
+    assert fixed.plugin == pytest.approx(PLUGIN, abs=1e-10)
 
 
 def test_registry_and_entry():
