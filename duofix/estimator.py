@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, projection
+from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, numerical, projection
 from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
@@ -25,7 +26,8 @@ class FitResult:
     bias: tuple
     max_leverage: float
     by_source: DataFrame
-    mcse: tuple
+    draws: np.ndarray | None = None
+    seconds: dict | None = None
     solver: firmwise.Solver | None = None
     exact: bool = True
 
@@ -34,19 +36,53 @@ class FitResult:
         return self.rows.sparkSession
 
     def results(self) -> DataFrame:
-        """Rows plugin, bias_correction, corrected, mcse; the four targets as columns. mcse: of the target draws given the leverages; 0 for exact."""
-        rows = [("plugin", *self.plugin), ("bias_correction", *self.bias), ("corrected", *(a - b for a, b in zip(self.plugin, self.bias, strict=True))), ("mcse", *self.mcse)]
+        """Rows plugin, bias_correction, corrected, mcse_conditional (see numerical); the four targets as columns."""
+        rows = [("plugin", *self.plugin), ("bias_correction", *self.bias), ("corrected", *(a - b for a, b in zip(self.plugin, self.bias, strict=True))), ("mcse_conditional", *self.mcse)]
         return self.spark.createDataFrame([(a, *map(float, b)) for a, *b in rows], "row string, " + ", ".join(f"{t} double" for t in exact.TARGETS))
 
-    def decomposition(self) -> DataFrame:
-        """Components worker, firm, sorting (twice the covariance), total: plug-in and corrected values and shares of the total and of the outcome's variance."""
+    @cached_property
+    def _numerical(self) -> tuple:
+        return numerical.finalize(numerical.of_mean(self.draws) if self.draws is not None else np.zeros((3, 3)))
+
+    @property
+    def mcse(self) -> tuple:
+        return self._numerical[2]
+
+    def numerical(self) -> DataFrame:
+        """Covariance of the corrected targets over the target draws, given the leverages (0 for exact): target, mcse, a row of the 4 x 4 covariance, status."""
+        status, v, mcse = self._numerical
+        full = inference.expand(v)
+        return self.spark.createDataFrame([(t, float(m), *map(float, r), status) for t, m, r in zip(exact.TARGETS, mcse, full, strict=True)], "target string, mcse double, " + ", ".join(f"{t} double" for t in exact.TARGETS) + ", status string")
+
+    def moments(self) -> DataFrame:
+        """Variances of the outcome and of the residual, and the explained share: one row."""
+        return collapse.residual_moments(self.rows, self.kernels, self.firms)
+
+    def computation(self) -> DataFrame:
+        """How the result was computed: item, value."""
+        spec, s = self.spec, self.solver
+        facts = {"algorithm": "exact" if self.exact else "jla", "requested": spec.algorithm, "solver": "dense" if s.inverse is not None else "conjugate gradients", "firms": s.k, "max_leverage": self.max_leverage}
+        if not self.exact:
+            facts |= {"probes": spec.probes, "seed": spec.seed, "tolerance": spec.tolerance, "maxiter": spec.maxiter, "iterations": s.iterations, "numerical": self._numerical[0]}
+        facts |= {f"seconds_{k}": round(v, 3) for k, v in (self.seconds or {}).items()}
+        return self.spark.createDataFrame([(k, str(v)) for k, v in facts.items()], "item string, value string")
+
+    def decomposition(self, full: bool = False) -> DataFrame:
+        """Components worker, firm, sorting (twice the covariance), total: plug-in and corrected values and shares of the total and of the outcome's variance.
+
+        full: also residual and outcome by frequency mass, plug-in values only.
+        """
         var = collapse.outcome_moments(self.rows).first()["target_variance"]
         corrected = [a - b for a, b in zip(self.plugin, self.bias, strict=True)]
         out = []
         for name, k, c in (("worker", 0, 1), ("firm", 1, 1), ("sorting", 2, 2), ("total", 3, 1)):
             p, q = c * self.plugin[k], c * corrected[k]
             out.append((name, p, p / self.plugin[3], p / var, p - q, q, q / corrected[3], q / var))
-        return self.spark.createDataFrame([(a, *map(float, b)) for a, *b in out], "component string, plugin double, plugin_share double, plugin_outcome_share double, bias double, corrected double, corrected_share double, corrected_outcome_share double")
+        if full:
+            m = self.moments().first()
+            whole = m["regression_outcome_variance"]
+            out += [(name, x, None, x / whole, None, None, None, None) for name, x in (("residual", m["residual_variance"]), ("outcome", whole))]
+        return self.spark.createDataFrame([(a, *(None if x is None else float(x) for x in b)) for a, *b in out], "component string, plugin double, plugin_share double, plugin_outcome_share double, bias double, corrected double, corrected_share double, corrected_outcome_share double")
 
     @property
     def corrected(self) -> tuple:
@@ -88,10 +124,11 @@ class FitResult:
         return self.by_source
 
     def effects(self, which: str) -> DataFrame:
-        """Worker effects (per worker hash w) or firm effects (per firm f)."""
+        """Worker effects (w, alpha) or firm effects (f, psi)."""
         if which == "firm":
             return self.kernels.select("j", "psi").distinct().join(self.firms, "j").select("f", "psi")
-        return self.kernels.groupBy("w").agg(F.max("alpha").alias("alpha"))
+        found = self.kernels.groupBy(F.col("w").alias("hw")).agg(F.max("alpha").alias("alpha"))
+        return self.rows.select("w").distinct().withColumn("hw", F.xxhash64("w")).join(found, "hw").select("w", "alpha")
 
 
 class TwoWay:
@@ -99,9 +136,18 @@ class TwoWay:
         self.spec = spec.validate()
 
     def fit(self, df: DataFrame) -> FitResult:
+        started = time.monotonic()
         spec = self.spec
         rows = cut(freeze(df, spec))
+        read = time.monotonic()
         rows, facts = graph.select(rows, spec)
+        done = time.monotonic()
+        result = self._solve(rows, facts)
+        result.seconds = {"read": read - started, "sample": done - read, "fit": time.monotonic() - done}
+        return result
+
+    def _solve(self, rows: DataFrame, facts: dict) -> FitResult:
+        spec = self.spec
         jla = spec.algorithm == "jla"
         if spec.algorithm == "auto":
             firms, columns = rows.select("f").distinct().count(), sum(c[0] == "z" and c[1:].isdigit() for c in rows.columns)
@@ -132,13 +178,12 @@ class TwoWay:
         if spec.centering == "corrected":
             a, b, c = centering.increment(inference.units(rows, k, firms, spec, fit.mean), spec, solver.k)
             bias = tuple(x - y for x, y in zip(bias, (a, b, c, a + b + 2 * c), strict=True))
-        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), bias, got["h"], by, (0.0,) * 4, solver)
+        return FitResult(spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), bias, got["h"], by, solver=solver)
 
     def _random(self, rows: DataFrame, facts: dict, names: list[str] | None, gram: np.ndarray) -> FitResult:
-        firms, k, draws, by, _ = random_probes.fit(rows, self.spec, names, gram)
+        firms, k, draws, by, solver = random_probes.fit(rows, self.spec, names, gram)
         draws = np.vstack([draws, draws[0] + draws[1] + 2 * draws[2]])
         got = by.agg(F.max("max_leverage").alias("h"), F.min("least_left").alias("left")).first()
         if got["left"] <= 1e-10:
             raise Withheld("NONESTIMABLE_UNIT", f"least share left {got['left']}")
-        error = tuple(map(float, draws.std(axis=1, ddof=1) / np.sqrt(draws.shape[1])))
-        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(map(float, draws.mean(axis=1))), got["h"], by, error, exact=False)
+        return FitResult(self.spec, rows, facts, k, firms, tuple(exact.plugin(k).first()), tuple(map(float, draws.mean(axis=1))), got["h"], by, draws[:3], solver=solver, exact=False)

@@ -41,3 +41,26 @@ def with_midrank(df: DataFrame, value: str, out: str = "midrank") -> DataFrame:
     last = F.col("__last") + F.col("__before")
     ranks = ranks.select(value, ((2 * last - F.col("__n")) / F.col("__total") - 1).alias(out))
     return df.join(ranks, value, "left")
+
+
+def with_rank_bin(df: DataFrame, value: str, key: str, bins: int, out: str = "bin") -> DataFrame:
+    """Adds floor((rank - 1) * bins / n) + 1, ranks by value and then by key (a number); a row without value or key gets null.
+
+    Rows are cut at quantiles of the value and, inside a value, of the key, so neither a task nor a
+    tied value has to see all rows: a row's rank is the rows of the cuts before it plus its place in its own.
+    """
+    known = F.col(value).isNotNull() & F.col(key).isNotNull()
+    at = [i / 64 for i in range(1, 64)]
+    cuts, inner = df.where(known).select(F.percentile_approx(value, at, 1000), F.percentile_approx(key, at, 1000)).first()
+    index = lambda c, x: F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(x))]), lambda b: b <= F.col(c))) if x else F.lit(0)
+    tied = F.array(*[F.lit(float(b)) for b in sorted(set(cuts or []))]).cast("array<double>")
+    # rows at a cut's own value are parted by the key, the rest of a cut is not
+    df = df.withColumn("__value", F.when(known, index(value, cuts) * 2 + 1 - F.array_contains(tied, F.col(value).cast("double")).cast("int")))
+    df = df.withColumn("__key", F.when(F.col("__value") % 2 == 0, index(key, inner)).otherwise(0))
+    before = Window.orderBy("__value", "__key").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.where(known).groupBy("__value", "__key").agg(F.count("*").alias("__m"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0))).withColumn("__n", F.sum("__m").over(Window.partitionBy(F.lit(0))))  # 4,160 rows at most
+    inside = Window.partitionBy("__value", "__key").orderBy(value, key)
+    rank = F.row_number().over(inside) + F.col("__before")
+    df = df.join(F.broadcast(parts.drop("__m")), ["__value", "__key"], "left").withColumn("__rank", F.when(known, rank))
+    return df.withColumn(out, F.expr(f"(__rank - 1) * {int(bins)} div __n + 1")).drop("__value", "__key", "__before", "__n", "__rank")

@@ -32,3 +32,22 @@ def outcome_moments(rows: DataFrame) -> DataFrame:
     u = rows.groupBy("unit").agg(F.sum("n").alias("n")).agg((F.sum("n") ** 2 / F.sum(F.col("n") ** 2)).alias("effective_units"), (F.max("n") / F.sum("n")).alias("largest_share"))
     v = lambda x: F.expr(f"{x}2 / {x}0 - ({x}1 / {x}0) * ({x}1 / {x}0)")
     return m.select(v("n").alias("frequency_variance"), v("t").alias("target_variance")).join(F.broadcast(u))
+
+
+def parallel_blocks(rows: DataFrame) -> DataFrame:
+    """Cells that hold several deletion units: w, f, units, rows."""
+    return rows.groupBy("w", "f").agg(F.countDistinct("unit").alias("units"), F.count("*").alias("rows")).where("units > 1")
+
+
+def residual_moments(rows: DataFrame, kernels: DataFrame, firms: DataFrame) -> DataFrame:
+    """Variances of the outcome by frequency (less fixed controls) and by target mass, of the residual, and what the effects explain.
+
+    Joint controls count as explained. The residual sum comes from differences by row, not from sums of squares.
+    """
+    fitted = kernels.join(firms, "j").select("w", "f", "alpha", "psi")
+    x = rows.withColumn("hw", F.xxhash64("w")).join(fitted.withColumnRenamed("w", "hw"), ["hw", "f"])
+    left = F.col("yo") - F.col("alpha") - F.col("psi")
+    got = x.agg((F.sum(F.col("n") * left * left) / F.sum("n")).alias("residual_variance"))
+    m = outcome_moments(rows).select(F.col("frequency_variance").alias("regression_outcome_variance"), F.col("target_variance").alias("target_outcome_variance"))
+    explained = F.col("regression_outcome_variance") - F.col("residual_variance")
+    return m.join(F.broadcast(got)).withColumn("explained_variance", explained).withColumn("explained_share", explained / F.col("regression_outcome_variance"))

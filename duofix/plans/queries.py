@@ -46,13 +46,17 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
 
 
-EVENTS = PanelSpec("value", "w", "f")
+def _spec(**options) -> PanelSpec:
+    """Movers and no centering, but for what the options say."""
+    return PanelSpec("value", "w", "f", **{"stayers": "movers", "centering": "none", **options})
+
+
 r6 = lambda c: F.round(c, 6)
 
 
 def _estimate(panel: Query, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = TwoWay(PanelSpec("value", "w", "f", **options)).fit(panel(spark, sf_dir))
+        r = TwoWay(_spec(**options)).fit(panel(spark, sf_dir))
         row = [round(float(x), 6) + 0.0 for x in (*r.plugin, *r.bias, r.max_leverage)]
         names = [f"{a}_{b}" for a in ("plugin", "bias") for b in ("worker", "firm", "cov", "total")] + ["max_leverage"]
         return spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
@@ -61,7 +65,7 @@ def _estimate(panel: Query, **options) -> Query:
 
 
 def _frozen(panel: Query, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: sources.freeze(panel(s, d), PanelSpec("value", "w", "f", **options))
+    return lambda s, d: sources.freeze(panel(s, d), _spec(**options))
 
 
 def cell_collapse(spark, sf_dir):
@@ -69,7 +73,7 @@ def cell_collapse(spark, sf_dir):
 
 
 def unit_collapse(spark, sf_dir):
-    rows = sources.freeze(events(spark, sf_dir).withColumn("u", F.concat_ws("-", "w", "f", F.col("event_id") % 2)), PanelSpec("value", "w", "f", unit="u"))
+    rows = sources.freeze(events(spark, sf_dir).withColumn("u", F.concat_ws("-", "w", "f", F.col("event_id") % 2)), _spec(unit="u"))
     return collapse.units(rows).select("unit", "w", "f", F.col("n").cast("long").alias("n"), r6("y_unit").alias("y_unit"))
 
 
@@ -91,7 +95,7 @@ def mover_stayer_whole(spark, sf_dir):
 
 def sample_complete(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 10 > 0, F.col("value")))
-    return sources.freeze(e, PanelSpec("value", "w", "f", deletion="observation")).groupBy("f").agg(F.count("*").alias("rows"), r6(F.sum("y")).alias("total"))
+    return sources.freeze(e, _spec(deletion="observation")).groupBy("f").agg(F.count("*").alias("rows"), r6(F.sum("y")).alias("total"))
 
 
 def _components(panel: Query, spark, sf_dir):
@@ -108,7 +112,7 @@ def components_whole(spark, sf_dir):
 
 
 def sample_accounting(spark, sf_dir):
-    _, facts = graph.select(_frozen(orders, stayers="both")(spark, sf_dir), PanelSpec("value", "w", "f", stayers="both"))
+    _, facts = graph.select(_frozen(orders, stayers="both")(spark, sf_dir), _spec(stayers="both"))
     keep = ("rows_in", "units_in", "stayers_in", "stayers_added", "rows_out", "units_out", "workers_out", "firms_out")
     return spark.createDataFrame([(k, int(facts[k])) for k in keep], "step string, count long")
 
@@ -125,7 +129,7 @@ def firm_laplacian(spark, sf_dir):
 
 
 def _fit(spark, sf_dir, **options):
-    return TwoWay(PanelSpec("value", "w", "f", **options)).fit(events(spark, sf_dir))
+    return TwoWay(_spec(**options)).fit(events(spark, sf_dir))
 
 
 def firm_effects(spark, sf_dir):
@@ -133,9 +137,7 @@ def firm_effects(spark, sf_dir):
 
 
 def worker_effects(spark, sf_dir):
-    e = _fit(spark, sf_dir).effects("worker").withColumnRenamed("w", "hw")
-    names = events(spark, sf_dir).select(F.col("w")).distinct().withColumn("hw", F.xxhash64("w"))
-    return names.join(e, "hw").select("w", r6("alpha").alias("alpha"))
+    return _fit(spark, sf_dir).effects("worker").select("w", r6("alpha").alias("alpha"))
 
 
 def leverage_match(spark, sf_dir):
@@ -158,6 +160,29 @@ def midranks(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", F.round("midrank", 9).alias("midrank"))
 
 
+def rank_bins(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_quantity").cast("double").alias("l_quantity"))
+    return fn.with_rank_bin(li, "l_quantity", "line", 7).select("line", "bin")
+
+
+def parallel_blocks(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("u", F.concat_ws("-", "w", "f", F.col("event_id") % 2))
+    return collapse.parallel_blocks(sources.freeze(e, _spec(unit="u")))
+
+
+def residual_moments(spark, sf_dir):
+    m = _fit(spark, sf_dir, frequency="fw", target="tw").moments()
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+def _copies(design: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = sources.connected_copies(events(spark, sf_dir).select("w", "f", "value"), "w", "f", "value", design, 4)
+        return df.groupBy("f").agg(F.count("*").alias("rows"), F.countDistinct("w").alias("workers"))
+
+    return query
+
+
 def projection_coef(spark, sf_dir):
     p = projection.coefficients(_table(spark, sf_dir, "lineitem").withColumn("v", F.log1p("l_extendedprice")), "v", ["l_discount", "l_tax"], "l_quantity")
     return p.select("term", r6("coefficient").alias("coefficient"))
@@ -170,7 +195,7 @@ def component_se(spark, sf_dir):
 
 def projection_cov(spark, sf_dir):
     panel = events(spark, sf_dir).withColumn("x", F.length("f").cast("double"))
-    t = TwoWay(PanelSpec("value", "w", "f", project=("x",), centering="mean")).fit(panel).projection()
+    t = TwoWay(_spec(project=("x",), centering="mean")).fit(panel).projection()
     return t.select("term", *[r6(c).alias(c) for c in t.columns if c != "term"])
 
 
@@ -218,6 +243,11 @@ QUERIES: dict[str, Query] = {
     "decomposition": decomposition,
     "outcome_moments": outcome_moments,
     "midranks": midranks,
+    "rank_bins": rank_bins,
+    "parallel_blocks": parallel_blocks,
+    "residual_moments": residual_moments,
+    "copies_ring": _copies("ring"),
+    "copies_replicated_blocks": _copies("replicated_blocks"),
     "projection_coef": projection_coef,
     "component_se": component_se,
     "projection_cov": projection_cov,
@@ -281,6 +311,11 @@ def _kss(obs: str, whole: str = "true", shift: str = "0", bias: str = "") -> str
     )
 
 
+_COPIES = """with p as ({pairs}), k as (select min(event_type) as f from events),
+e as (select c || ':' || user_id as w, c || ':' || event_type as f from events, range(1, 5) t(c)
+  union all select 'link:' || l || ':' || r || ':' || i, case s when 0 then l else r end || ':' || f from p, k, range(1, 3) a(i), range(0, 2) b(s))
+select f, count(*) as rows, count(distinct w) as workers from e group by f"""
+
 _CONTROL = """,
 zcell as (select w, j, sum(n * z) as sz, sum(n * z * z) as szz, sum(n * z * y) as szy from o group by w, j),
 zw as (select w, sum(sz) as szw from zcell group by w),
@@ -406,6 +441,16 @@ select component, round(x.a, 6) as plugin, round(x.a / z.a, 6) as plugin_share,
 select round(sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ^ 2, 6) as frequency_variance, round(sum(t * y * y) / sum(t) - (sum(t * y) / sum(t)) ^ 2, 6) as target_variance,
   (select round(sum(n) ^ 2 / sum(n * n), 6) from u) as effective_units, (select round(max(n) / sum(n), 6) from u) as largest_share from o""",
     "midranks": """select l_orderkey, l_linenumber, round((2 * rank() over (order by l_quantity) + count(*) over (partition by l_quantity) - 2) / (count(*) over ())::double - 1, 9) as midrank from lineitem""",
+    "rank_bins": """select l_orderkey * 10 + l_linenumber as line, (row_number() over (order by l_quantity, l_orderkey * 10 + l_linenumber) - 1) * 7 // count(*) over () + 1 as bin from lineitem""",
+    "parallel_blocks": """with c as (select user_id as w, event_type as f, count(distinct event_id % 2) as units, count(*) as rows from events group by 1, 2)
+select w, f, units, rows from c where units > 1""",
+    "residual_moments": _FIT.format(obs=_WEIGHTED) + """
+select round(sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ^ 2, 6) as regression_outcome_variance, round(sum(t * y * y) / sum(t) - (sum(t * y) / sum(t)) ^ 2, 6) as target_outcome_variance,
+  round((select sum(syy - 2 * (al + psi) * sy + n * (al + psi) ^ 2) / sum(n) from fit), 6) as residual_variance,
+  round(sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ^ 2 - (select sum(syy - 2 * (al + psi) * sy + n * (al + psi) ^ 2) / sum(n) from fit), 6) as explained_variance,
+  round(1 - (select sum(syy - 2 * (al + psi) * sy + n * (al + psi) ^ 2) / sum(n) from fit) / (sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ^ 2), 6) as explained_share from obs""",
+    "copies_ring": _COPIES.format(pairs="select a as l, a % 4 + 1 as r from range(1, 5) t(a)"),
+    "copies_replicated_blocks": _COPIES.format(pairs="select a as l, b as r from range(1, 5) t(a), range(1, 5) s(b) where a < b"),
     "projection_coef": """with s as (select ln(1 + l_extendedprice) as y, l_discount::double as a, l_tax::double as b, l_quantity::double as w from lineitem),
 m as (select sum(w * y) / sum(w) as y, sum(w * a) / sum(w) as a, sum(w * b) / sum(w) as b from s),
 c as (select sum(w * (s.a - m.a) ^ 2) as aa, sum(w * (s.b - m.b) ^ 2) as bb, sum(w * (s.a - m.a) * (s.b - m.b)) as ab, sum(w * (s.a - m.a) * (s.y - m.y)) as ay, sum(w * (s.b - m.b) * (s.y - m.y)) as bys from s, m),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hex_word, normal
@@ -112,6 +114,40 @@ def simulate(spark: SparkSession, name: str) -> DataFrame:
     raise Withheld("INVALID_OPTION", f"no example {name!r}")
 
 
+def connected_copies(df: DataFrame, worker: str, firm: str, y: str, design: str, copies: int) -> DataFrame:
+    """Copies of a panel, workers and firms renamed "copy:name", joined by movers: a panel of any size for tests of scale.
+
+    design ring links each copy to the next, replicated_blocks each to each. A link is two workers with a row at the
+    first firm (by name) of either copy, outcome 0. See copies_facts for what comes out.
+    """
+    if design not in ("ring", "replicated_blocks") or copies < 2:
+        raise Withheld("INVALID_OPTION", f"{design!r} of {copies} copies")
+    named = lambda c: F.concat_ws(":", F.col("__copy").cast("string"), F.col(c).cast("string"))
+    many = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select(named(worker).alias(worker), named(firm).alias(firm), F.col(y).cast("double").alias(y))
+    left = F.col("id") + 1
+    pairs = df.sparkSession.range(copies if design == "replicated_blocks" or copies > 2 else 1)
+    right = left % copies + 1
+    if design == "replicated_blocks":
+        pairs, right = pairs.where(left < copies), F.explode(F.sequence(left + 1, F.lit(copies).cast("long")))
+    first = df.select(F.min(F.col(firm).cast("string"))).first()[0]
+    links = pairs.select(left.alias("l"), right.alias("r")).withColumn("i", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("at", F.explode(F.array("l", "r")))
+    text = lambda *c: F.concat_ws(":", *[x.cast("string") for x in c])
+    return many.unionByName(links.select(text(F.lit("link"), F.col("l"), F.col("r"), F.col("i")).alias(worker), text(F.col("at"), F.lit(first)).alias(firm), F.lit(0.0).alias(y)))
+
+
+def copies_facts(design: str, copies: int, rows: int, workers: int, firms: int, cells: int) -> dict[str, float]:
+    """Counts of connected_copies, and conductance and extreme eigenvalues of the normalised Laplacian of the graph of copies."""
+    ring = design == "ring"
+    pairs = (1 if copies == 2 else copies) if ring else copies * (copies - 1) // 2
+    half = copies // 2
+    if ring and copies > 2:
+        cut, least, most = 1 / half, 1 - math.cos(2 * math.pi / copies), 2.0 if copies % 2 == 0 else 1 + math.cos(math.pi / copies)
+    else:
+        cut, least = (copies - half) / (copies - 1), copies / (copies - 1)
+        most = least
+    return {"rows": copies * rows + 4 * pairs, "workers": copies * workers + 2 * pairs, "firms": copies * firms, "cells": copies * cells + 4 * pairs, "pairs": pairs, "conductance": cut, "lambda2": least, "lambda_max": most}
+
+
 def true_moments(df: DataFrame, worker_effect: str, firm_effect: str, mass: str | None = None) -> DataFrame:
     """Mass-weighted population variances, covariance and variance of the sum of two known effects."""
     m = F.col(mass).cast("double") if mass else F.lit(1.0)

@@ -53,13 +53,13 @@ class PanelSpec:
     controls: tuple[str, ...] = ()
     factors: tuple[str, ...] = field(default=())
     deletion: str = "match"
-    stayers: str = "movers"
-    centering: str = "none"
+    stayers: str = "both"
+    centering: str = "mean"
     nuisance: str = "joint"
     algorithm: str = "auto"
     exact_limit: int = 2000
     probes: int = 200
-    seed: int = 1
+    seed: int = 8675309
     tolerance: float = 1e-10
     maxiter: int = 10_000
     firm_cells: int = 100_000_000

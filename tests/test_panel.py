@@ -10,7 +10,15 @@ from duofix import functions as fn, sources
 from duofix.estimator import TwoWay
 from duofix.operators import graph, inference, jla
 from duofix.plans.queries import QUERIES
-from duofix.spec import PanelSpec, Withheld
+from duofix import report, spec as options_
+from duofix.operators import numerical
+from duofix.spec import Withheld
+
+
+def PanelSpec(*roles, **options):
+    """Movers and no centering, but for what the options say."""
+    return options_.PanelSpec(*roles, **{"stayers": "movers", "centering": "none", **options})
+
 
 # A small panel and known results for it.
 FIRM = [0, 0, 1, 1, 0, 2, 2, 1, 1, 2, 3, 3, 2, 3, 0, 0, 3, 1, 1, 2, 3, 3, 2, 0]
@@ -349,3 +357,50 @@ def test_components_and_movers_of_the_whole_table_equal_brute_force(spark, tmp_p
     rows = {w: sum(x[0] == w for x in li) for w in firms}
     got = {x.w: (x.units, x.firms, x.physical, x.mover) for x in QUERIES["mover_stayer_whole"](spark, str(tmp_path)).collect()}
     assert got == {w: (firms[w], firms[w], rows[w], firms[w] > 1) for w in firms}
+
+
+def test_rank_bins_with_ties_nulls_and_any_partitions(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1.0, 1.0, 1.0, 2.5, rng.random()])) for k in range(500)]
+    want = {k: i * 7 // sum(v is not None for _, v in rows) + 1 for i, (v, k) in enumerate(sorted((v, k) for k, v in rows if v is not None))}
+    for parts in (1, 6):
+        got = {r.k: r.bin for r in fn.with_rank_bin(spark.createDataFrame(rows, "k long, v double").repartition(parts), "v", "k", 7).collect()}
+        assert len(got) == 500 and got == {k: want.get(k) for k, _ in rows}
+    assert fn.with_rank_bin(spark.createDataFrame([], "k long, v double"), "v", "k", 7).count() == 0
+
+
+def test_linked_copies_have_the_stated_counts(spark):
+    df = panel(spark)[1]
+    for design, copies in (("ring", 2), ("ring", 5), ("replicated_blocks", 4)):
+        got = sources.connected_copies(df, "worker", "firm", "y", design, copies)
+        cells = df.select("worker", "firm").distinct().count()
+        want = sources.copies_facts(design, copies, 24, 6, 4, cells)
+        assert (got.count(), got.select("worker").distinct().count(), got.select("firm").distinct().count()) == (want["rows"], want["workers"], want["firms"])
+        assert got.select("worker", "firm").distinct().count() == want["cells"]
+
+
+def test_numerical_covariance_and_texts():
+    draws = np.random.default_rng(1).normal(size=(3, 50))
+    status, v, mcse = numerical.finalize(numerical.of_mean(draws))
+    total = draws[0] + draws[1] + 2 * draws[2]
+    assert status == "ok_local" and mcse == pytest.approx([x.std(ddof=1) / 50**0.5 for x in (*draws, total)])
+    assert numerical.finalize(np.diag([1.0, 1.0, -1.0]))[0] == "unstable_nonpsd"
+    assert numerical.finalize(np.ones((3, 3)) - np.diag([0, 0, 1e-14]))[0] == "ok_local_psd_adjusted"
+    assert numerical.finalize(np.full((3, 3), np.nan))[0] == "nonfinite_derivative" and numerical.finalize(np.zeros((3, 3)))[2] == (0,) * 4
+    assert [report.share_text(x) for x in (None, 1.2, 0.0001, 0.1234)] == [".", ">100%", "<0.1%", "12.3%"]
+    assert "raise probes" in report.mcse_line((1, 1, 1, 1), 200, (5, 50, 50, 50)) and "raise" not in report.mcse_line((1, 1, 1, 1), 200)
+
+
+def test_surface_of_a_default_fit(spark):
+    df = sources.simulate(spark, "ex3").withColumn("worker_id", F.concat(F.lit("w"), "worker_id"))
+    assert (options_.PanelSpec("y", "w", "f").stayers, options_.PanelSpec("y", "w", "f").centering, options_.PanelSpec("y", "w", "f").seed) == ("both", "mean", 8675309)
+    r = TwoWay(options_.PanelSpec("log_wage", "worker_id", "firm_id", algorithm="jla", probes=20)).fit(df)
+    fitted = r.effects("worker").collect()
+    assert {x.w for x in fitted} == {x.worker_id for x in df.select("worker_id").distinct().collect()}
+    effects = {x.w: x.alpha for x in fitted}, {x.f: x.psi for x in r.effects("firm").collect()}
+    left = np.array([x.y - effects[0][x.w] - effects[1][x.f] for x in r.rows.collect()])
+    got = {x.component: x for x in r.decomposition(full=True).collect()}
+    assert got["residual"].plugin == pytest.approx((left**2).mean()) and got["outcome"].plugin_outcome_share == 1 and got["residual"].bias is None
+    facts = {x["item"]: x.value for x in r.computation().collect()}
+    assert facts["algorithm"] == "jla" and facts["probes"] == "20" and {"seconds_read", "seconds_sample", "seconds_fit"} <= set(facts)
+    assert [x.status for x in r.numerical().collect()] == ["ok_local"] * 4 and len(r.mcse) == 4 and r.mcse[0] > 0
