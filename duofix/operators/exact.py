@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..spec import PanelSpec, Withheld
 from . import cut
@@ -20,16 +20,26 @@ from . import cut
 TARGETS = ("worker_variance", "firm_variance", "worker_firm_covariance", "total_variance")
 
 
-def index_firms(cells: DataFrame, limit: int) -> tuple[list, DataFrame]:
-    """(firms in order, table f -> j from 0); the last firm is the grounded one."""
+def index_firms(cells: DataFrame, limit: int, local: int = 100_000) -> tuple[int, DataFrame]:
+    """(number of firms, table f -> j from 0 in the order of f); the last firm is the grounded one.
+
+    Up to `local` firms are numbered on the driver and broadcast; beyond, ranges of firms are numbered
+    by their tasks, the driver adds up the ranges' sizes, and joins choose their own way.
+    """
     firms = cells.select("f").distinct()
     k = firms.count()
     if k > limit:
         raise Withheld("EXACT_LIMIT", f"{k} firms, at most {limit}")
-    names = sorted(r[0] for r in firms.collect())
     spark = cells.sparkSession
-    table = spark.createDataFrame(list(enumerate(names)), f"j int, f {cells.schema['f'].dataType.simpleString()}")
-    return names, F.broadcast(table)
+    if k <= local:
+        names = sorted(r[0] for r in firms.collect())
+        return k, F.broadcast(spark.createDataFrame(list(enumerate(names)), f"j int, f {cells.schema['f'].dataType.simpleString()}"))
+    ranges = cut(firms.repartitionByRange(k // local + 1, "f").select("f", F.spark_partition_id().alias("part")))  # cut, as a range drawn again could differ
+    sizes = sorted((r["part"], r["count"]) for r in ranges.groupBy("part").count().collect())
+    before = np.cumsum([0, *(n for _, n in sizes)])
+    offsets = spark.createDataFrame([(part, int(n)) for (part, _), n in zip(sizes, before, strict=False)], "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("f")) - 1
+    return k, cut(ranges.withColumn("place", place).join(F.broadcast(offsets), "part").select((F.col("place") + F.col("before")).cast("int").alias("j"), "f"))
 
 
 def by_worker(cells: DataFrame, firms: DataFrame) -> DataFrame:
@@ -83,8 +93,15 @@ def tables(batches, most: int = 200_000):
         yield pa.concat_tables(held).combine_chunks()
 
 
-def blocks(batches, most: int = 200_000):
-    return (Block(t) for t in tables(batches, most))
+def blocks(batches, most: int = 200_000, pairs: int = 4_000_000):
+    """Blocks of whole workers; at most `pairs` pairs of cells in one, and those of one worker more."""
+    for t in tables(batches, most):
+        w = t.column("w").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        part = np.cumsum(np.diff(np.append(first, len(w))) ** 2) // pairs
+        starts = first[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
+        for a, b in zip(starts, [*starts[1:], len(w)], strict=True):
+            yield Block(t.slice(int(a), int(b - a)))
 
 
 def laplacian_parts(cells: DataFrame) -> DataFrame:
@@ -212,12 +229,12 @@ def correction(units: DataFrame, k: DataFrame, firms: DataFrame, spec: PanelSpec
 
 
 def fit(rows: DataFrame, spec: PanelSpec):
-    """(cells, firm names, firm table, Fit, kernels) of a selected sample."""
+    """(cells, number of firms, firm table, Fit, kernels) of a selected sample."""
     from .collapse import cells as collapse
 
     c = cut(collapse(rows))
-    names, firms = index_firms(c, spec.exact_limit)
+    count, firms = index_firms(c, spec.exact_limit)
     mine = cut(by_worker(c, firms))
     mine = mine.sortWithinPartitions("w", "j")
-    f = solve(mine, len(names))
-    return c, names, firms, f, cut(kernels(mine, f))
+    f = solve(mine, count)
+    return c, count, firms, f, cut(kernels(mine, f))

@@ -184,7 +184,10 @@ def select(rows: DataFrame, spec: PanelSpec) -> tuple[DataFrame, dict[str, int]]
     per = units.groupBy("w").agg(F.count("*").alias("k"), F.sum("n").alias("mass"))
     movers = per.where("k > 1").select("w")
     history = cut(per.select("w", (F.col("k") > 1).alias("mover"), "mass"))
-    facts["stayers_in"] = history.where("not mover").count()
+    got = history.agg(F.sum((~F.col("mover")).cast("long")).alias("stayers"), F.count("*").alias("workers"), F.countDistinct(F.xxhash64("w")).alias("hashes")).first()
+    if got["hashes"] < got["workers"]:
+        raise Withheld("WORKER_COLLISION")
+    facts["stayers_in"] = got["stayers"]
     early = spec.deletion == "observation" and spec.stayers == "movers"
     live = cut(largest(units.join(movers, "w", "left_semi") if early else units))
     facts["units_component"] = live.count()

@@ -182,9 +182,9 @@ def deal(df: DataFrame, *order: str) -> DataFrame:
 def fit(rows: DataFrame, spec: PanelSpec, names: list[str] | None = None, gram: np.ndarray | None = None):
     """(firm table, kernels with alpha and psi, draws of the correction, table by source, solver). names: controls that are estimated jointly; gram: theirs."""
     cells = cut(collapse.cells(rows.withColumn("y", F.col("yo"))))
-    known, firms = exact.index_firms(cells, spec.firm_cells)
+    count, firms = exact.index_firms(cells, spec.firm_cells)
     mine = deal(exact.by_worker(cells, firms), "j")
-    solver = firmwise.Solver(mine, len(known), spec)
+    solver = firmwise.Solver(mine, count, spec)
     k = effects(mine, solver)
     mean = rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if spec.centering == "mean" else 0.0
     units = leverage_units(rows.withColumn("y", F.col("yo")), spec).join(firms, "f").withColumn("w", F.xxhash64("w")).select("key", "w", "j", "n", "uy", "whole")

@@ -119,12 +119,12 @@ def sample_accounting(spark, sf_dir):
 
 def _cells(spark, sf_dir):
     c = cut(collapse.cells(_frozen(events)(spark, sf_dir)))
-    names, firms = exact.index_firms(c, 2000)
-    return names, exact.by_worker(c, firms)
+    _, firms = exact.index_firms(c, 2000)
+    return exact.by_worker(c, firms)
 
 
 def firm_laplacian(spark, sf_dir):
-    _, c = _cells(spark, sf_dir)
+    c = _cells(spark, sf_dir)
     return exact.laplacian_parts(c).select("i", "j", r6("nn").alias("shared"), F.round("g", 9).alias("g"), F.round("h", 9).alias("h"))
 
 

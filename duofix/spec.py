@@ -11,6 +11,7 @@ HINTS = {
     "INVALID_FREQUENCY": "frequency weights must be positive whole numbers",
     "INVALID_TARGET": "target weights must not be negative and must have a positive sum",
     "CROSS_COORDINATE_MATCH": "each deletion id must stay with one worker and one firm",
+    "WORKER_COLLISION": "two workers have the same 64-bit hash; number the workers",
     "PHYSICAL_TOTAL_LIMIT": "the sum of frequencies exceeds 2^53",
     "NO_LEAVEOUT_COMPONENT": "no connected sample is left after pruning",
     "AMBIGUOUS_LARGEST_COMPONENT": "two components tie for the largest; restrict the sample",

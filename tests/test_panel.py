@@ -2,16 +2,15 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import dense
 from pyspark.sql import functions as F
 
-from duofix import functions as fn, sources
+from duofix import functions as fn, report, sources, spec as options_
 from duofix.estimator import TwoWay
-from duofix.operators import graph, inference, jla
+from duofix.operators import exact, graph, inference, jla, numerical
 from duofix.plans.queries import QUERIES
-from duofix import report, spec as options_
-from duofix.operators import numerical
 from duofix.spec import Withheld
 
 
@@ -404,3 +403,23 @@ def test_surface_of_a_default_fit(spark):
     facts = {x["item"]: x.value for x in r.computation().collect()}
     assert facts["algorithm"] == "jla" and facts["probes"] == "20" and {"seconds_read", "seconds_sample", "seconds_fit"} <= set(facts)
     assert [x.status for x in r.numerical().collect()] == ["ok_local"] * 4 and len(r.mcse) == 4 and r.mcse[0] > 0
+
+
+def test_firms_are_numbered_alike_on_the_driver_and_by_ranges(spark):
+    cells = spark.createDataFrame([(f"f{k * 37 % 500:03d}",) for k in range(1000)], "f string")
+    (a, few), (b, many) = exact.index_firms(cells, 1000), exact.index_firms(cells, 1000, local=60)
+    assert a == b == 500 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(k, f"f{k:03d}") for k in range(500)]
+
+
+def test_blocks_bound_the_pairs_and_lose_no_row():
+    w = np.repeat([1, 2, 3, 4, 5], [30, 3, 40, 1, 5])
+    t = pa.table({"w": w, "j": np.arange(len(w)), "n": np.ones(len(w)), "sy": np.ones(len(w)), "s": np.ones(len(w))})
+    got = list(exact.blocks(t.to_batches(), pairs=1000))
+    assert np.concatenate([b.j for b in got]).tolist() == list(range(len(w))) and len(got) > 1
+    assert all(len(b.a) <= 1000 + 40**2 for b in got) and sum(len(b.a) for b in got) == 900 + 9 + 1600 + 1 + 25
+
+
+def test_workers_of_one_hash_are_refused(spark):
+    rows = [((None, 1), "a", 1.0), ((None, 1), "b", 2.0), ((1, None), "a", 1.5), ((1, None), "b", 2.5)]  # a hash skips nulls
+    with pytest.raises(Withheld, match="WORKER_COLLISION"):
+        TwoWay(PanelSpec("y", "w", "f")).fit(spark.createDataFrame(rows, "w struct<a: int, b: int>, f string, y double"))
