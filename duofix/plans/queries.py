@@ -28,16 +28,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.col("o_custkey").alias("w"), F.col("o_orderpriority").alias("f"), F.log1p(F.col("o_totalprice")).alias("value"))
 
 
-def _parts(li: DataFrame) -> DataFrame:
-    return li.select(F.col("l_partkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(_table(spark, sf_dir, "lineitem").where("l_quantity <= 1"))
-
-
-def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(_table(spark, sf_dir, "lineitem"))
+    li = _table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_partkey").alias("w"), F.col("l_suppkey").alias("f"), F.log1p("l_extendedprice").alias("value"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +74,8 @@ def target_strata(spark, sf_dir):
     return collapse.strata(_frozen(events, frequency="fw", target="tw")(spark, sf_dir)).select("w", "f", r6("copy_mass").alias("copy_mass"), F.col("n").cast("long").alias("n"), r6("t").alias("t"))
 
 
-def _classified(panel: Query, spark, sf_dir):
-    return collapse.classify(_frozen(panel)(spark, sf_dir)).select("w", "units", "firms", F.col("physical").cast("long").alias("physical"), "mover")
-
-
 def mover_stayer(spark, sf_dir):
-    return _classified(parts, spark, sf_dir)
-
-
-def mover_stayer_whole(spark, sf_dir):
-    return _classified(all_parts, spark, sf_dir)
+    return collapse.classify(_frozen(parts)(spark, sf_dir)).select("w", "units", "firms", F.col("physical").cast("long").alias("physical"), "mover")
 
 
 def sample_complete(spark, sf_dir):
@@ -98,17 +83,9 @@ def sample_complete(spark, sf_dir):
     return sources.freeze(e, _spec(deletion="observation")).groupBy("f").agg(F.count("*").alias("rows"), r6(F.sum("y")).alias("total"))
 
 
-def _components(panel: Query, spark, sf_dir):
-    found = graph.components(panel(spark, sf_dir).select("w", "f").distinct())
-    return found.groupBy("root").agg(F.min("w").alias("least_worker"), F.countDistinct("w").alias("workers"), F.countDistinct("f").alias("firms"), F.count("*").alias("cells")).drop("root")
-
-
 def components(spark, sf_dir):
-    return _components(parts, spark, sf_dir)
-
-
-def components_whole(spark, sf_dir):
-    return _components(all_parts, spark, sf_dir)
+    found = graph.components(parts(spark, sf_dir).select("w", "f").distinct())
+    return found.groupBy("root").agg(F.min("w").alias("least_worker"), F.countDistinct("w").alias("workers"), F.countDistinct("f").alias("firms"), F.count("*").alias("cells")).drop("root")
 
 
 def sample_accounting(spark, sf_dir):
@@ -219,9 +196,7 @@ QUERIES: dict[str, Query] = {
     "unit_collapse": unit_collapse,
     "target_strata": target_strata,
     "mover_stayer": mover_stayer,
-    "mover_stayer_whole": mover_stayer_whole,
     "components": components,
-    "components_whole": components_whole,
     "sample_accounting": sample_accounting,
     "firm_laplacian": firm_laplacian,
     "firm_effects": firm_effects,
@@ -396,12 +371,15 @@ ORACLES: dict[str, str] = {
     "cell_collapse": f"select w, f, count(*) as rows, sum(n)::bigint as n, round(sum(n * y), 6) as sy, round(sum(n * y * y), 6) as syy, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f",
     "unit_collapse": "select concat_ws('-', user_id, event_type, event_id % 2) as unit, user_id as w, event_type as f, count(*) as n, round(sum(value) / sqrt(count(*)), 6) as y_unit from events group by 1, 2, 3",
     "target_strata": f"select w, f, round(t / n, 6) as copy_mass, sum(n)::bigint as n, round(sum(t), 6) as t from ({_WEIGHTED}) group by w, f, t / n",
-    "mover_stayer": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem where l_quantity <= 1 group by 1",
-    "mover_stayer_whole": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem group by 1",
-    "components": """with recursive e as (select distinct l_partkey as w, l_suppkey as f from lineitem where l_quantity <= 1),
-hop as (select distinct a.w as x, b.w as y from e a join e b using (f)),
-reach as (select w as x, w as y from (select distinct w from e) union select r.x, h.y from reach r join hop h on h.x = r.y where h.y < r.x or true),
-root as (select x as w, min(y) as least_worker from reach group by x)
+    "mover_stayer": "select l_partkey as w, count(distinct l_suppkey) as units, count(distinct l_suppkey) as firms, count(*) as physical, count(distinct l_suppkey) > 1 as mover from lineitem group by 1",
+    "components": """with recursive e as (select distinct l_partkey as w, l_suppkey as f from lineitem),
+step as (
+  select w, w as root, true as go from (select distinct w from e)
+  union all
+  select w, new, bool_or(new < old) over () from (
+    select e.w, min(s.root) as old, min(m.root) as new from step s join e on e.w = s.w
+      join (select f, min(root) as root from step join e using (w) where go group by f) m on m.f = e.f where s.go group by e.w)),
+root as (select w, min(root) as least_worker from step group by w)
 select least_worker, count(distinct w) as workers, count(distinct f) as firms, count(*) as cells from e join root using (w) group by 1""",
     "sample_accounting": """with c as (select o_custkey as w, o_orderpriority as f, count(*) as n from orders group by 1, 2), w as (select w, count(*) as k, sum(n) as n from c group by 1),
 m as (select * from c where w in (select w from w where k > 1)), s as (select * from c where w in (select w from w where k = 1 and n > 1) and f in (select f from m)), o as (select * from m union all select * from s)

@@ -350,11 +350,11 @@ def test_components_and_movers_of_the_whole_table_equal_brute_force(spark, tmp_p
             group |= more
             left -= more
         want.append((min(w for w, _ in group), len({w for w, _ in group}), len({f for _, f in group}), len(group)))
-    got = [(x.least_worker, x.workers, x.firms, x.cells) for x in QUERIES["components_whole"](spark, str(tmp_path)).collect()]
+    got = [(x.least_worker, x.workers, x.firms, x.cells) for x in QUERIES["components"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) >= 4
     firms = {w: len({f for v, f in cells if v == w}) for w, _ in cells}
     rows = {w: sum(x[0] == w for x in li) for w in firms}
-    got = {x.w: (x.units, x.firms, x.physical, x.mover) for x in QUERIES["mover_stayer_whole"](spark, str(tmp_path)).collect()}
+    got = {x.w: (x.units, x.firms, x.physical, x.mover) for x in QUERIES["mover_stayer"](spark, str(tmp_path)).collect()}
     assert got == {w: (firms[w], firms[w], rows[w], firms[w] > 1) for w in firms}
 
 
