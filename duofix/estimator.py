@@ -9,7 +9,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, numerical, projection
+from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, leading, numerical, projection
 from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
@@ -89,12 +89,26 @@ class FitResult:
         return tuple(a - b for a, b in zip(self.plugin, self.bias, strict=True))
 
     @cached_property
-    def covariance(self) -> np.ndarray:
-        """4 x 4 sampling covariance of the corrected targets (exact algorithm without controls)."""
+    def _sampling(self) -> tuple:
+        if self.spec.inference == "none":
+            raise Withheld("INVALID_OPTION", "inference='none'")
         if not self.exact or self.spec.centering == "corrected" or any(c[0] == "z" and c[1:].isdigit() for c in self.rows.columns):
             raise Withheld("INVALID_OPTION", "standard errors need the exact algorithm, no controls, and centering none or mean")
         return inference.estimate(self.rows, self.kernels, self.firms, self.spec, self.solver, self.corrected, self._mean())
 
+    @cached_property
+    def _intervals(self) -> list[tuple]:
+        v, pieces, lead = self._sampling
+        return leading.table(self.corrected, v, pieces, lead, self.spec)
+
+    @property
+    def covariance(self) -> np.ndarray:
+        """4 x 4 sampling covariance of the corrected targets (exact algorithm without controls); only where all four intervals are normal."""
+        v, pieces, _ = self._sampling
+        if pieces and any(x[7] != "normal" for x in self._intervals):
+            raise Withheld("INTERVALS_NOT_NORMAL")
+        return v
+
     def _mean(self) -> float:
         return self.rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if self.spec.centering == "mean" else 0.0
 
@@ -108,8 +122,16 @@ class FitResult:
         return self.spark.createDataFrame([(t, *map(float, x)) for t, *x in rows], "term string, coefficient double, se double, naive_se double")
 
     def inference(self) -> DataFrame:
-        """Standard errors and normal intervals of the four corrected targets; null where the estimated variance isn't positive."""
-        return self.spark.createDataFrame(inference.intervals(self.corrected, self.covariance, self.spec.level), "component string, estimate double, se double, lower double, upper double")
+        """Standard errors of the four corrected targets (null where the variance isn't positive) and the interval that the rule takes."""
+        v, pieces, _ = self._sampling
+        rows = [(x[0], x[1], x[2], x[8], x[9]) for x in self._intervals] if pieces else inference.intervals(self.corrected, v, self.spec.level)
+        return self.spark.createDataFrame(rows, "component string, estimate double, se double, lower double, upper double")
+
+    def intervals(self) -> DataFrame:
+        """Normal intervals, those of the leading direction, which of them the rule takes, and what it goes by."""
+        if self.spec.inference == "highrank":
+            raise Withheld("INVALID_OPTION", "inference='highrank' looks for no leading direction")
+        return self.spark.createDataFrame(self._intervals, leading.SCHEMA)
 
     def lincom(self, weights: tuple) -> tuple[float, float]:
         """(value, standard error) of a linear combination of the four corrected targets."""

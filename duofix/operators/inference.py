@@ -110,11 +110,17 @@ def variances(u: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return u.join(fit, "key", "left").withColumn("v", F.coalesce(v, "fitted")), pair
 
 
-def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> tuple[DataFrame, int]:
-    """(key, n, v, g1..g3 and, for each draw d, k{d}_1..3: images of the outcome and of noise under the three kernels, uncentred; columns)."""
+def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec, values: np.ndarray | None = None) -> tuple[DataFrame, int]:
+    """(key, n, v and, for each draw d, k{d}_1..3: images of the outcome (d = 0) and of noise under the three kernels; columns).
+
+    values: eigenvalues of the leading directions of the four targets. Then also x{d}_1..4, the images under the kernels less their
+    leading directions, and u must hold those (w1..w4) and their part in the ratios (q1..q4).
+    """
     draws, k = spec.inference_draws, solver.k
     centre = spec.centering == "mean"
-    u = jla.deal(u.select("key", "w", "j", "n", "s", "y", "v", "r1", "r2", "r3"), "j", "key")
+    lead = 0 if values is None else 4
+    more = [f"{x}{t}" for x in "wq" for t in range(1, lead + 1)]
+    u = jla.deal(u.select("key", "w", "j", "n", "s", "y", "v", "r1", "r2", "r3", *more), "j", "key")
     sc = u.sparkSession.sparkContext
     numbers = np.arange(draws)
     noise = lambda b: np.sqrt(b.col["v"])[:, None] * normals(b.col["key"], numbers, spec.inference_seed)
@@ -131,16 +137,21 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> tuple[Data
     c = 1 + draws
 
     def columns(b):
-        """[v, r1 v, r2 v, r3 v] for the outcome and every draw."""
+        """[v, r1 v, r2 v, r3 v, q1 v, ...] for the outcome and every draw."""
         v = np.column_stack([b.col["y"], noise(b) - np.sqrt(b.n)[:, None] * shift])
-        return np.column_stack([v, *[b.col[f"r{i}"][:, None] * v for i in (1, 2, 3)]])
+        return np.column_stack([v, *[b.col[f"r{i}"][:, None] * v for i in (1, 2, 3)], *[b.col[f"q{t}"][:, None] * v for t in range(1, lead + 1)]])
 
     def rhs(batches):
         for b in firmwise.whole_workers(batches, 20_000):
-            x = np.sqrt(b.n)[:, None] * columns(b)
+            x = columns(b)
+            scores = [b.col[f"w{t}"] @ x[:, :c] for t in range(1, lead + 1)]
+            x = np.sqrt(b.n)[:, None] * x
             yield from firmwise.emit(b.j, x - b.p[:, None] * b.total(x))
+            if lead:  # one more row: the columns' products with the directions
+                yield from firmwise.emit(np.array([k]), np.concatenate([*scores, np.zeros(4 * c)])[None, :])
 
-    psi = solver(firmwise.collect(u.mapInArrow(rhs, firmwise.SCHEMA), k, 4 * c))
+    got = firmwise.collect(u.mapInArrow(rhs, firmwise.SCHEMA), k + 1, (4 + lead) * c)
+    psi, scores = solver(got[:k]), got[k, : lead * c].reshape(lead, c)
     first = sc.broadcast(psi)
 
     def alphas(b):
@@ -157,7 +168,7 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> tuple[Data
     s1, s2, s3, m, s = got[:, :c], got[:, c : 2 * c], got[:, 2 * c : 3 * c], got[:, -2:-1], got[:, -1:]
     amean, pmean = s3.sum(0), (s * psi[:, :c]).sum(0)
     second = sc.broadcast(solver(np.column_stack([m * amean - s1, s * (psi[:, :c] - pmean), (s3 - s * amean) / 2 - (s2 - m * pmean) / 2])))
-    names = ["key", "n", "v", *[f"k{d}_{t}" for t in (1, 2, 3) for d in range(c)]]
+    names = ["key", "n", "v", *[f"k{d}_{t}" for t in (1, 2, 3) for d in range(c)], *[f"x{d}_{t}" for t in range(1, lead + 1) for d in range(c)]]
 
     def run(batches):
         for b in firmwise.whole_workers(batches, 20_000):
@@ -169,6 +180,13 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> tuple[Data
             rest = x - fitted
             for t in (1, 2, 3):
                 image[:, (t - 1) * c : t * c] -= (b.col[f"r{t}"][:, None] * rest[:, :c] + rest[:, t * c : (t + 1) * c]) / 2
+            if lead:
+                k1, k2, k3 = (image[:, i * c : (i + 1) * c] for i in range(3))
+                left = []
+                for t, kernel in enumerate((k1, k2, k3, k1 + k2 + 2 * k3)):
+                    w, q = b.col[f"w{t + 1}"][:, None], b.col[f"q{t + 1}"][:, None]
+                    left.append(kernel - values[t] * w * scores[t] + (q * rest[:, :c] + rest[:, (4 + t) * c : (5 + t) * c]) / 2)
+                image = np.column_stack([image, *left])
             yield pa.RecordBatch.from_arrays([pa.array(b.col["key"]), pa.array(b.n), pa.array(b.col["v"]), *(pa.array(np.ascontiguousarray(q)) for q in image.T)], names)
 
     out = cut(u.mapInArrow(run, "key long, n double, v double, " + ", ".join(f"{q} double" for q in names[3:])))
@@ -194,17 +212,28 @@ def expand(v: np.ndarray) -> np.ndarray:
     return t @ v @ t.T
 
 
-def estimate(rows: DataFrame, kernels: DataFrame, firms: DataFrame, spec: PanelSpec, solver: firmwise.Solver, corrected: tuple, mean: float) -> np.ndarray:
-    """4 x 4 covariance of the corrected targets. The outcomes' products with their images must give the estimates."""
+def estimate(rows: DataFrame, kernels: DataFrame, firms: DataFrame, spec: PanelSpec, solver: firmwise.Solver, corrected: tuple, mean: float) -> tuple:
+    """(4 x 4 covariance of the corrected targets, pieces of the intervals of leading directions and what was found on those; None under highrank).
+
+    The outcomes' products with their images must give the estimates.
+    """
+    from . import leading
+
     u, pair = variances(units(rows, kernels, firms, spec, mean))
+    lead = None
+    if spec.inference != "highrank":
+        at, lead = leading.directions(kernels, solver, spec)
+        u = leading.attach(u, at, lead)
     u = cut(u)
-    found, c = images(u, solver, spec)
-    found = cut(found.join(u.select("key", "y"), "key"))
+    found, c = images(u, solver, spec, lead.value if lead else None)
+    found = cut(found.join(u.select("key", "y", "product", *([f"w{t}" for t in (1, 2, 3, 4)] if lead else [])), "key"))
     point = found.agg(*[F.sum(F.col("y") * F.col(f"k0_{t}")).alias(f"p{t}") for t in (1, 2, 3)]).first()
     for p, q in zip(point, corrected, strict=False):
         if abs(p - q) > 1e-9 * max(1, abs(q)):
             raise Withheld("TARGET_IDENTITY_FAILED", f"{p} and {q}")
-    return expand(covariance(found, c, pair)[0])
+    v, trace = covariance(found, c, pair)
+    pieces = leading.scalars(found, c, lead, leading.pairs(u, lead), trace) if lead else None
+    return expand(v), pieces, lead
 
 
 def intervals(corrected: tuple, v: np.ndarray, level: float) -> list[tuple]:

@@ -166,10 +166,15 @@ def projection_coef(spark, sf_dir):
 
 
 def component_se(spark, sf_dir):
-    t = _fit(spark, sf_dir, centering="mean").inference()
+    t = _fit(spark, sf_dir, centering="mean", inference="highrank").inference()
     return t.select("component", *[r6(c).alias(c) for c in t.columns if c != "component"])
 
 
+def component_intervals(spark, sf_dir):
+    t = _fit(spark, sf_dir, centering="mean").intervals()
+    return t.select(*[r6(c).alias(c) if kind == "double" else c for c, kind in t.dtypes])
+
+
 def projection_cov(spark, sf_dir):
     panel = events(spark, sf_dir).withColumn("x", F.length("f").cast("double"))
     t = TwoWay(_spec(project=("x",), centering="mean")).fit(panel).projection()
@@ -225,6 +230,7 @@ QUERIES: dict[str, Query] = {
     "copies_replicated_blocks": _copies("replicated_blocks"),
     "projection_coef": projection_coef,
     "component_se": component_se,
+    "component_intervals": component_intervals,
     "projection_cov": projection_cov,
     "true_moments": true_moments,
     **{f"simulate_{x}": _simulated(x) for x in ("ex1", "ex2", "ex3", "ex4", "ex5")},

@@ -23,6 +23,7 @@ HINTS = {
     "RANK_DEFICIENT_PROJECTION": "the covariates of the projection are collinear with one another or the constant",
     "PROJECTION_COVARIANCE": "the estimated covariance of the projection isn't positive; use fewer covariates or more units",
     "INFERENCE_VARIANCE_INVALID": "the unit variances can't be estimated on this sample",
+    "INTERVALS_NOT_NORMAL": "an interval comes from a leading direction, so there is no joint covariance; inference='highrank' gives one",
     "TARGET_IDENTITY_FAILED": "the kernels don't reproduce the estimates; check the conditioning of the panel",
     "FIRM_VECTORS": "lower the number of probes or of controls; the driver holds one number a firm for each",
     "NOT_CONVERGED": "raise maxiter, or drop weakly connected firms",
@@ -64,6 +65,7 @@ class PanelSpec:
     tolerance: float = 1e-10
     maxiter: int = 10_000
     firm_cells: int = 100_000_000
+    inference: str = "auto"
     inference_model: str = "repeat"
     inference_draws: int = 8
     inference_seed: int = 1
@@ -73,7 +75,7 @@ class PanelSpec:
     project_weight: str = "frequency"
 
     def validate(self) -> PanelSpec:
-        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean", "corrected")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla")), ("project_effect", ("worker", "firm")), ("project_weight", ("frequency", "target"))):
+        for name, allowed in (("deletion", ("match", "observation")), ("stayers", ("movers", "both")), ("centering", ("none", "mean", "corrected")), ("nuisance", ("joint", "fixed_offset")), ("algorithm", ("auto", "exact", "jla")), ("inference", ("auto", "none", "highrank", "q1")), ("project_effect", ("worker", "firm")), ("project_weight", ("frequency", "target"))):
             if getattr(self, name) not in allowed:
                 raise Withheld("INVALID_OPTION", f"{name}={getattr(self, name)!r}: one of {', '.join(allowed)}")
         if self.inference_model in ("target_lowess", "structured_common", "structured_leverage"):

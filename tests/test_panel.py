@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duofix import functions as fn, report, sources, spec as options_
 from duofix.estimator import TwoWay
-from duofix.operators import exact, graph, inference, jla, numerical
+from duofix.operators import cut, exact, graph, inference, jla, leading, numerical
 from duofix.plans.queries import QUERIES
 from duofix.spec import Withheld
 
@@ -90,8 +90,8 @@ def test_conjugate_gradients_equal_the_dense_solver_and_partitions_do_not_matter
         assert x.plugin == pytest.approx(a.plugin, rel=1e-7) and x.bias == pytest.approx(a.bias, rel=1e-6)
 
 
-def dense_covariance(u, centre, r):
-    """The covariance of operators/inference.py from dense matrices, with the exact trace."""
+def dense_kernels(u, centre):
+    """(B of the three targets, residual maker, centring) of units, as dense matrices."""
     w, j = (np.unique(u[c], return_inverse=True)[1] for c in ("w", "j"))
     n, root = u["n"].to_numpy(), np.sqrt(u["n"].to_numpy())
     x = np.hstack([np.eye(w.max() + 1)[w], np.eye(j.max() + 1)[j][:, :-1]])
@@ -103,9 +103,14 @@ def dense_covariance(u, centre, r):
     xs = root[:, None] * x
     m = np.eye(len(n)) - xs @ a @ xs.T
     centring = np.eye(len(n)) - (np.outer(root, root) / n.sum() if centre else 0)
+    return [xs @ a @ q @ a @ xs.T for q in (d.T @ c @ d, f.T @ c @ f, (d.T @ c @ f + f.T @ c @ d) / 2)], m, centring
+
+
+def dense_covariance(u, centre, r):
+    """The covariance of operators/inference.py from dense matrices, with the exact trace."""
+    b3, m, centring = dense_kernels(u, centre)
     ks = []
-    for q in (d.T @ c @ d, f.T @ c @ f, (d.T @ c @ f + f.T @ c @ d) / 2):
-        b = xs @ a @ q @ a @ xs.T
+    for b in b3:
         ratio = np.diag(b) / np.diag(m)
         ks.append(centring @ (b - (ratio[:, None] * m + m * ratio[None, :]) / 2) @ centring)
     y, v = u["y"].to_numpy(), u["v"].to_numpy()
@@ -114,16 +119,107 @@ def dense_covariance(u, centre, r):
     return [y @ k @ y for k in ks], np.array([[4 * np.sum(v * p * q) for q in g] for p in g]), np.array(trace)
 
 
-@pytest.mark.parametrize("options", [{"centering": "mean"}, {"deletion": "observation"}, {"stayers": "both", "frequency": "frequency", "target": "target_mass", "centering": "mean"}])
-def test_standard_errors_equal_dense_kernels(spark, options):
-    spec = PanelSpec("log_wage", "worker_id", "firm_id", inference_draws=60, **options)
+OPTIONS = [{"centering": "mean"}, {"deletion": "observation"}, {"stayers": "both", "frequency": "frequency", "target": "target_mass", "centering": "mean"}]
+
+
+def inference_panel(spark, options):
+    """ex3, with stayers or more copies where the options ask for them."""
     df = sources.simulate(spark, "ex3")
     if options.get("stayers"):
         more = df.where("spell = 1").withColumn("worker_id", F.col("worker_id") + 1000).withColumn("frequency", F.lit(2))
         df = df.unionByName(more).unionByName(more.withColumn("log_wage", F.col("log_wage") + 0.1 * (F.col("worker_id") % 4)))
     if options.get("deletion"):
         df = df.unionByName(df.where("worker_id % 2 = 0").withColumn("log_wage", F.col("log_wage") + 0.1 * (F.col("worker_id") % 3)))
-    r = TwoWay(spec).fit(df)
+    return df
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_leading_directions_equal_dense_eigenvectors(spark, options):
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", inference_draws=60, **options)
+    r = TwoWay(spec).fit(inference_panel(spark, options))
+    mean = r._mean()
+    at, lead = leading.directions(r.kernels, r.solver, spec, 1e-7, 400)
+    assert lead.converged.all()
+    u = cut(leading.attach(inference.variances(inference.units(r.rows, r.kernels, r.firms, spec, mean))[0], at, lead))
+    found, c = inference.images(u, r.solver, spec, lead.value)
+    found = found.join(u.select("key", "y", "product", "w1", "w2", "w3", "w4"), "key")
+    got = leading.scalars(found, c, lead, np.zeros(4), np.eye(3))
+    t = u.toPandas().sort_values("key")
+    b3, m, centring = dense_kernels(t, "centering" in options)
+    y, v, h = (t[x].to_numpy() for x in ("y", "v", "h"))
+    for i, b in enumerate((*b3, b3[0] + b3[1] + 2 * b3[2])):
+        size = np.abs(np.linalg.eigvalsh(b))
+        w = t[f"w{i + 1}"].to_numpy()
+        assert size.max() == pytest.approx(abs(lead.value[i]), rel=1e-8) and w @ w == pytest.approx(1) and np.allclose(b @ w, lead.value[i] * w, atol=1e-6 * size.max())
+        rest = b - lead.value[i] * np.outer(w, w)
+        ratio = np.diag(rest) / (1 - h)
+        k = centring @ (rest - (ratio[:, None] * m + m * ratio[None, :]) / 2) @ centring
+        g = k @ y
+        x = got[i]
+        assert (x["score"], x["direct"]) == pytest.approx((w @ y, y @ g), abs=1e-9) and x["fitted"] == pytest.approx(np.sum(w * w * v))
+        assert (x["linear"], x["covariance"]) == pytest.approx((4 * np.sum(v * g * g), 2 * np.sum(w * v * g)), rel=1e-7, abs=1e-12)
+        trace = np.trace(k @ np.diag(v) @ k @ np.diag(v))
+        assert abs(x["trace"] / (c - 1) - trace) < 0.7 * trace
+
+
+def test_pair_terms_of_remainders_by_hand(spark):
+    """One cell of a mover and one of a stayer, three copies each."""
+    rows = [(w, 0, False, 3, 0.5, w == 1, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, *[0.01 * t for t in range(4)], *[0.2 + 0.1 * t for t in range(4)]) for w in (1, 2) for _ in range(3)]
+    names = "w j whole size sample cell_mover r1 r2 r3 d1 d2 d3 q1 q2 q3 q4 w1 w2 w3 w4".split()
+    u = spark.createDataFrame(rows, names)
+    lam = np.array([0.5, 0.25, 0.1, 0.2])
+    ratio, worker = (0.1, 0.2, 0.3, 0.9), (0.4, 0, 0, 0.4)
+    scale = 4 * 0.5**2 * (3 - 2) * (3 - 1) / (3 + 1)
+    want = [scale * ((ratio[t] - 0.01 * t) ** 2 + ((worker[t] - lam[t] * (0.2 + 0.1 * t) ** 2) * 3 / 2) ** 2) for t in range(4)]
+    assert leading.pairs(u, leading.Leading(lam, lam, lam, lam > 0, 1)) == pytest.approx(want)
+
+
+def test_interval_of_a_curved_map():
+    assert leading.critical(0, 95, 1) == pytest.approx(1.96, abs=0.02) and leading.critical(1e6, 95, 1) == pytest.approx(2.448, abs=0.02)
+    assert 1.96 < leading.critical(1.0, 95, 1) < 2.448
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        root = np.tril(r.standard_normal((2, 2)))
+        root[[0, 1], [0, 1]] = np.abs(root[[0, 1], [0, 1]]) + 0.05
+        b, theta, lam, radius = *r.standard_normal(2), 3 * r.standard_normal(), 1 + r.random()
+        a = np.linspace(-np.pi, np.pi, 1_000_001)
+        x, z = np.array([[b], [theta]]) + radius * root @ np.array([np.cos(a), np.sin(a)])
+        f = lam * x * x + z
+        assert leading.extremes(b, theta, root @ root.T, radius, lam) == pytest.approx((f.min(), f.max()), abs=1e-9)
+    assert leading.interval({"variance": 1.0, "remainder": -1.0, "covariance": 0.0, "value": 1.0}, 95, 1) == {"status": 1}
+    assert leading.interval({"variance": 1.0, "remainder": 1.0, "covariance": 1.0, "value": 1.0}, 95, 1) == {"status": 2}
+
+
+def test_the_rule_of_intervals():
+    lead = leading.Leading(np.ones(4), np.zeros(4), np.zeros(4), np.ones(4, bool), 1)
+    x = {"score": 3.0, "variance": 1.0, "remainder": 1.0, "covariance": 0.1, "value": 0.5, "theta": 1.0, "point": 5.0, "eigen_share": 0.5, "max_weight": 0.2}
+    rows = lambda v, **o: [dict(zip([c.split()[0] for c in leading.SCHEMA.split(", ")], a, strict=True)) for a in leading.table((5.0,) * 4, np.diag(v), [x] * 4, lead, PanelSpec("y", "w", "f", **o))]
+    share = 4 * 0.25 * 8 + 2 * 0.25
+    got = rows([share / 0.2, share / 0.05, -1.0, share / 0.2])
+    assert [a["regime"] for a in got] == ["q1", "normal", "q1", "normal"] and got[0]["variance_share"] == pytest.approx(0.2)
+    assert got[2]["highrank_se"] is None and got[2]["lower"] == got[2]["q1_lower"] < 5 < got[2]["q1_upper"]
+    assert [a["regime"] for a in rows([1.0] * 4, inference="q1")] == ["q1"] * 4
+    x["remainder"] = -1.0
+    got = rows([1.0, -1.0, 1.0, 1.0], inference="q1")
+    assert [a["regime"] for a in got] == ["normal", None, "normal", "normal"] and {a["q1_status"] for a in got} == {"nonpositive_variance"}
+
+
+def test_a_leading_direction_withholds_the_joint_covariance(spark):
+    r = TwoWay(PanelSpec("log_wage", "worker_id", "firm_id", centering="mean", inference="q1")).fit(sources.simulate(spark, "ex4"))
+    t = {x.component: x for x in r.intervals().collect()}
+    assert t["firm_variance"].regime == "q1" and t["firm_variance"].lower < t["firm_variance"].estimate < t["firm_variance"].upper
+    with pytest.raises(Withheld, match="INTERVALS_NOT_NORMAL"):
+        r.lincom((1, 0, 0, 0))
+    r.spec = replace(r.spec, inference="none")
+    del r._sampling
+    with pytest.raises(Withheld, match="INVALID_OPTION"):
+        r.inference()
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_standard_errors_equal_dense_kernels(spark, options):
+    spec = PanelSpec("log_wage", "worker_id", "firm_id", inference_draws=60, inference="highrank", **options)
+    r = TwoWay(spec).fit(inference_panel(spark, options))
     mean = r.rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] if "centering" in options else 0.0
     u, pair = inference.variances(inference.units(r.rows, r.kernels, r.firms, spec, mean))
     u = u.toPandas().sort_values("key")
