@@ -5,9 +5,9 @@ Edges are deletion units between workers and firms. Node and unit keys are hashe
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -50,51 +50,89 @@ def largest(units: DataFrame) -> DataFrame:
     return found.where(F.col("root") == rank[0]["root"]).drop("root")
 
 
-def weak_points(edges: list[tuple[int, int, int]]) -> tuple[set[int], set[int]]:
-    """(bridges among edge numbers, cut vertices) of a connected multigraph of edges (number, a, b), by depth-first search without recursion."""
-    near = defaultdict(list)
-    for k, a, b in edges:
-        near[a].append((b, k))
-        near[b].append((a, k))
-    seen, low, bridges, cuts = {}, {}, set(), set()
-    for start in near:
-        if start in seen:
+def _search(a: np.ndarray, b: np.ndarray, nodes: int) -> tuple[list[int], np.ndarray]:
+    """(positions of bridges, whether a node is a cut vertex) of the multigraph of edges a - b between nodes 0 to nodes - 1.
+
+    A depth-first search without recursion, on flat arrays of 4 bytes a number: about 24 bytes an edge and 28 a node.
+    """
+    flat = lambda x: memoryview(np.ascontiguousarray(x, np.int32))
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    near, edge = flat(np.concatenate([b, a])[order]), flat(order % max(len(a), 1))
+    del order
+    end = np.cumsum(np.bincount(a, minlength=nodes) + np.bincount(b, minlength=nodes))
+    at, end = flat(np.concatenate([[0], end[:-1]])), flat(end)
+    seen, low, by, up = (flat(np.full(nodes, -1)) for _ in range(4))
+    cuts, bridges, clock = np.zeros(nodes, bool), [], 0
+    for start in range(nodes):
+        if seen[start] >= 0:
             continue
-        seen[start] = low[start] = len(seen)
-        stack, below = [(start, None, iter(near[start]))], 0
-        while stack:
-            x, by, todo = stack[-1]
-            for y, k in todo:
-                if k == by:
+        seen[start] = low[start] = clock
+        clock += 1
+        x, below = start, 0
+        while True:
+            i = at[x]
+            if i < end[x]:
+                at[x] = i + 1
+                k = edge[i]
+                if k == by[x]:
                     continue
-                if y in seen:
-                    low[x] = min(low[x], seen[y])
-                else:
-                    seen[y] = low[y] = len(seen)
-                    stack.append((y, k, iter(near[y])))
-                    break
-            else:
-                stack.pop()
-                if not stack:
-                    break
-                up = stack[-1][0]
-                low[up] = min(low[up], low[x])
-                if low[x] > seen[up]:
-                    bridges.add(by)
-                if up == start:
-                    below += 1
-                elif low[x] >= seen[up]:
-                    cuts.add(up)
+                y = near[i]
+                if seen[y] < 0:
+                    seen[y] = low[y] = clock
+                    clock += 1
+                    by[y], up[y] = k, x
+                    x = y
+                elif seen[y] < low[x]:
+                    low[x] = seen[y]
+                continue
+            if x == start:
+                break
+            above, least = up[x], low[x]
+            if least < low[above]:
+                low[above] = least
+            if least > seen[above]:
+                bridges.append(by[x])
+            if above == start:
+                below += 1
+            elif least >= seen[above]:
+                cuts[above] = True
+            x = above
         if below > 1:
-            cuts.add(start)
+            cuts[start] = True
     return bridges, cuts
 
 
+def weak_points(edges: list[tuple[int, int, int]]) -> tuple[set[int], set[int]]:
+    """(bridges among edge numbers, cut vertices) of a multigraph of edges (number, a, b)."""
+    numbers, a, b = np.array(edges, np.int64).reshape(-1, 3).T
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    bridges, cuts = _search(at[: len(a)], at[len(a) :], len(nodes))
+    return set(numbers[bridges].tolist()), set(nodes[cuts].tolist())
+
+
 def _weak(t: pa.Table) -> pa.Table:
-    a, b, u = (t.column(c).to_pylist() for c in ("a", "b", "u"))
-    bridges, cuts = weak_points(list(zip(range(len(a)), a, b, strict=True)))
-    cuts &= set(a)
-    return pa.table({"kind": pa.array(["bridge"] * len(bridges) + ["cut"] * len(cuts), pa.string()), "key": pa.array([u[k] for k in sorted(bridges)] + sorted(cuts), pa.int64())})
+    """Of cells (a, b, units: how many, u: one of them); a cell of several units is no bridge."""
+    workers, a = np.unique(t.column("a").to_numpy(), return_inverse=True)
+    firms, b = np.unique(t.column("b").to_numpy(), return_inverse=True)
+    a, b = a.astype(np.int32), b.astype(np.int32) + np.int32(len(workers))
+    bridges, cuts = _search(a, b, len(workers) + len(firms))
+    bridges = np.sort(np.array(bridges, np.int64))
+    bridges = t.column("u").to_numpy()[bridges[t.column("units").to_numpy()[bridges] == 1]]
+    cuts = workers[cuts[: len(workers)]]
+    return pa.table({"kind": pa.array(["bridge"] * len(bridges) + ["cut"] * len(cuts), pa.string()), "key": pa.array(np.concatenate([bridges, cuts]), pa.int64())})
+
+
+def without_twins(cells: DataFrame) -> DataFrame:
+    """cells (a, b, ...), one row for each a and b, less those that change no answer of the search: at most two workers of the same firms are kept, none of one firm.
+
+    Of two workers with the same firms, two at least, neither is a cut vertex and no cell is a bridge, as each goes round the other;
+    a third reaches only what these two do. A worker with one firm and several units there is a leaf. Sets of firms are told by
+    their size and 128 bits of hashes, so no worker's firms are gathered.
+    """
+    bits = [F.bit_xor(F.xxhash64(F.lit(k), "b")).alias(f"bits{k}") for k in (1, 2)]
+    kinds = cells.groupBy("a").agg(F.count("*").alias("k"), *bits).where("k > 1")
+    kept = kinds.groupBy("k", "bits1", "bits2").agg(F.min("a").alias("a"), F.max("a").alias("a2"))
+    return cells.join(kept.select(F.explode(F.array_distinct(F.array("a", "a2"))).alias("a")), "a", "left_semi")
 
 
 def spread_weak(cells: DataFrame) -> DataFrame:
@@ -160,18 +198,18 @@ def spread_weak(cells: DataFrame) -> DataFrame:
 def weak(units: DataFrame, local_cells: int = 5_000_000) -> DataFrame:
     """(kind, key): bridging units (hash of unit) and workers that are cut vertices (hash of worker).
 
-    Workers with one unit can't be cut vertices and their unit is a bridge by definition, so they are told without the search,
-    and parallel units beyond two of a cell are left out of it: neither changes another answer. Up to local_cells cells that are left
-    are searched in one task, more by spread_weak.
+    Workers with one unit can't be cut vertices and their unit is a bridge by definition, so they are told without the search;
+    parallel units of a cell and workers of the same firms beyond two (see without_twins) are left out of it: neither changes another
+    answer. So few firms leave few cells, however many workers. Up to local_cells cells that are left are searched in one task, more by spread_weak.
     """
     h = units.select(F.xxhash64("unit").alias("u"), F.xxhash64(F.lit("w"), "w").alias("a"), F.xxhash64(F.lit("f"), "f").alias("b"))
     single = h.groupBy("a").agg(F.count("*").alias("k"), F.min("u").alias("u")).where("k = 1")
-    core = cut(h.join(single.select("a"), "a", "left_anti").groupBy("a", "b").agg(F.count_distinct("u").alias("units"), F.min("u").alias("u"), F.max("u").alias("u2")))
+    core = cut(h.join(single.select("a"), "a", "left_anti").groupBy("a", "b").agg(F.count_distinct("u").alias("units"), F.min("u").alias("u")))
+    core = cut(without_twins(core))
     if core.count() > local_cells:
         found = spread_weak(core)
     else:
-        both = core.select("a", "b", F.explode(F.array_distinct(F.array("u", "u2"))).alias("u"))
-        found = both.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: _weak(t.select(["a", "b", "u"])), "kind string, key long")
+        found = core.groupBy(F.lit(0).alias("g")).applyInArrow(lambda t: _weak(t.select(["a", "b", "units", "u"])), "kind string, key long")
     return found.unionByName(single.select(F.lit("bridge").alias("kind"), F.col("u").alias("key")))
 
 

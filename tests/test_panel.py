@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -379,6 +380,47 @@ def test_the_spread_search_equals_brute_force(spark):
     assert len(got) == len(bridges) + len(cuts)
 
 
+def weak_units(r, groups):
+    """Units (unit, w, f) of many small graphs, with workers of the same firms and parallel units among them."""
+    edges = []
+    for g in range(groups):
+        cells = [(w, f) for w in range(r.randint(1, 9)) for f in r.sample(range(4), r.randint(1, 3))]
+        edges += [(len(edges) + i, 100 * g + w, 100 * g + 50 + f) for i, (w, f) in enumerate(cells + r.choices(cells, k=r.randint(0, 3)))]
+    return edges
+
+
+@pytest.mark.parametrize("local_cells", [5_000_000, 0])
+def test_weak_points_of_workers_of_the_same_firms_equal_brute_force(spark, local_cells):
+    edges = weak_units(random.Random(11), 120)
+    bridges, cuts = set(), set()
+    for g in range(120):
+        found = brute_weak([x for x in edges if x[1] // 100 == g])
+        bridges, cuts = bridges | found[0], cuts | {x for x in found[1] if x % 100 < 50}
+    df = spark.createDataFrame(edges, "unit long, w long, f long")
+    found = graph.weak(df, local_cells).collect()
+    hashed = df.select("unit", F.xxhash64("unit").alias("hu"), "w", F.xxhash64(F.lit("w"), "w").alias("hw")).collect()
+    unit, worker = {x.hu: x.unit for x in hashed}, {x.hw: x.w for x in hashed}
+    assert sorted(unit[x.key] for x in found if x.kind == "bridge") == sorted(bridges)
+    assert sorted(worker[x.key] for x in found if x.kind == "cut") == sorted(cuts)
+
+
+def test_few_firms_leave_few_cells_to_search(spark, monkeypatch):
+    monkeypatch.setattr(graph, "spread_weak", lambda cells: pytest.fail(f"{cells.count()} cells are left"))
+    units = spark.range(4000).selectExpr("id as unit", "id div 4 as w", "(id + id div 4) % 5 as f")  # 1000 workers, five sets of four firms
+    assert graph.weak(units, 40).isEmpty()
+
+
+def test_the_search_in_one_task_takes_few_bytes_a_cell():
+    r = np.random.default_rng(3)
+    a, b = np.repeat(np.arange(10_000), 2), r.integers(0, 400, 20_000)
+    t = pa.table({"a": a, "b": b, "u": np.arange(20_000), "units": np.ones(20_000, np.int64)})
+    tracemalloc.start()
+    graph._weak(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(a)
+
+
 def test_typed_refusals(spark):
     df = panel(spark)[1]
     cases = [
