@@ -74,26 +74,37 @@ class Block:
         return np.add.reduceat(x, self.first)[self.who]
 
 
-def tables(batches, most: int = 200_000):
-    """Tables of whole workers from a stream sorted by worker, some at a time."""
+def tables(batches, most: int):
+    """Tables of whole workers from a stream sorted by worker: at most `most` rows in one, or a worker with more."""
+
+    def parts(t: pa.Table, last: bool):
+        """Ends of the parts of t, up to its last worker or with it."""
+        w = t.column("w").to_numpy()
+        ends = np.flatnonzero(w[1:] != w[:-1]) + 1
+        ends, at = np.append(ends, len(w)) if last else ends, 0
+        while len(ends) and at < ends[-1]:
+            k = max(np.searchsorted(ends, at + most, side="right") - 1, np.searchsorted(ends, at, side="right"))
+            yield at, (at := int(ends[k]))
+
     held: list[pa.Table] = []
-    rows = 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-        if rows >= most:
-            t = pa.concat_tables(held).combine_chunks()
-            w = t.column("w").to_numpy()
-            end = int(np.flatnonzero(w == w[-1])[0])
-            if end:
-                yield t.slice(0, end)
-            held, rows = [t.slice(end)], t.num_rows - end
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= most and held[0]["w"][0] != held[-1]["w"][-1]:
+            t, end = pa.concat_tables(held).combine_chunks(), 0
+            held.clear()
+            for at, end in parts(t, False):
+                yield t.slice(at, end - at)
+            held.append(t.slice(end))
+            del t
     if held:
-        yield pa.concat_tables(held).combine_chunks()
+        t = pa.concat_tables(held).combine_chunks()
+        for at, end in parts(t, True):
+            yield t.slice(at, end - at)
 
 
-def blocks(batches, most: int = 200_000, pairs: int = 4_000_000):
+def blocks(batches, most: int = 50_000, pairs: int = 2_000_000):
     """Blocks of whole workers; at most `pairs` pairs of cells in one, and those of one worker more."""
     for t in tables(batches, most):
         w = t.column("w").to_numpy()

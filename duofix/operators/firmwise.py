@@ -14,25 +14,43 @@ from ..spec import PanelSpec, Withheld
 from . import exact
 
 WIDE = 32
+NUMBERS = 2**18  # of an array of a block: 2 MB, so that a task holds some 30 MB however many rows and columns there are
 COLUMNS = [f"c{i}" for i in range(WIDE)]
 SCHEMA = "j int, part int, " + ", ".join(f"{c} double" for c in COLUMNS)
 
 
-def emit(j: np.ndarray, x: np.ndarray):
-    """Batches of SCHEMA: rows of x added up by j."""
+def added(j: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each j once, rows of x added up by j)."""
     order = np.argsort(j, kind="stable")
     js = j[order]
     first = np.flatnonzero(np.concatenate([[True], js[1:] != js[:-1]]))
-    total = np.add.reduceat(x[order], first, axis=0)
-    key = pa.array(js[first].astype(np.int32))
-    for part in range(0, x.shape[1], WIDE):
-        cols = [pa.array(total[:, part + i] if part + i < x.shape[1] else np.zeros(len(first))) for i in range(WIDE)]
-        yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(first), part // WIDE, np.int32)), *cols], ["j", "part", *COLUMNS])
+    return js[first], np.add.reduceat(x[order], first, axis=0)
 
 
-def collect(df: DataFrame, rows: int, width: int) -> np.ndarray:
-    """The rows x width matrix of a table of SCHEMA."""
-    t = df.groupBy("j", "part").agg(*[F.sum(c).alias(c) for c in COLUMNS]).toArrow()
+def summed(parts):
+    """Batches of SCHEMA from pairs (j, x): rows of x added up by j, over all pairs of a task unless the sums get too many."""
+
+    def send(j, x):
+        key = pa.array(j.astype(np.int32))
+        for part in range(0, x.shape[1], WIDE):
+            cols = [pa.array(x[:, part + i] if part + i < x.shape[1] else np.zeros(len(j))) for i in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(j), part // WIDE, np.int32)), *cols], ["j", "part", *COLUMNS])
+
+    held = []
+    merge = lambda: added(*map(np.concatenate, zip(*held, strict=True)))
+    for j, x in parts:
+        held.append(added(np.asarray(j), x))
+        if len(held) > 100 or sum(y.size for _, y in held) > 2 * NUMBERS:
+            held = [merge()]
+            if held[0][1].size > NUMBERS:
+                yield from send(*held.pop())
+    if held:
+        yield from send(*merge())
+
+
+def collect(df: DataFrame, pairs, rows: int, width: int) -> np.ndarray:
+    """The rows x width matrix of sums by j of what `pairs` makes of the batches of df: pairs (j, x)."""
+    t = df.mapInArrow(lambda batches: summed(pairs(batches)), SCHEMA).groupBy("j", "part").agg(*[F.sum(c).alias(c) for c in COLUMNS]).toArrow()
     out = np.zeros((rows, -(-width // WIDE) * WIDE))
     j, part = t["j"].to_numpy(), t["part"].to_numpy().astype(np.int64)
     values = np.column_stack([t[c].to_numpy() for c in COLUMNS])
@@ -62,8 +80,14 @@ class Workers:
         return v - self.total(self.p[:, None] * v)
 
 
-def whole_workers(batches, most: int = 50_000):
-    for t in exact.tables(batches, most):
+def rows_for(columns: int) -> int:
+    """Rows of a block whose widest array has so many columns."""
+    return max(1, min(20_000, NUMBERS // max(1, columns)))
+
+
+def whole_workers(batches, columns: int):
+    """Whole workers, some at a time; columns: of the widest array that is made of them."""
+    for t in exact.tables(batches, rows_for(columns)):
         yield Workers(t)
 
 
@@ -84,21 +108,21 @@ class Solver:
         if self.inverse is None:
 
             def diagonal(batches):
-                for b in whole_workers(batches):
-                    yield from emit(b.j, (b.n * (1 - b.p))[:, None])
+                for b in whole_workers(batches, 1):
+                    yield b.j, (b.n * (1 - b.p))[:, None]
 
-            self.diagonal = collect(cells.mapInArrow(diagonal, SCHEMA), k, 1)
+            self.diagonal = collect(cells, diagonal, k, 1)
             if k > 1 and self.diagonal.min() <= 0:
                 raise Withheld("NO_LEAVEOUT_COMPONENT", "a firm without movers")
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        shared = self.cells.sparkSession.sparkContext.broadcast(x)
+        shared, width = self.cells.sparkSession.sparkContext.broadcast(x), x.shape[1]
 
         def run(batches):
-            for b in whole_workers(batches):
-                yield from emit(b.j, b.n[:, None] * b.away(shared.value))
+            for b in whole_workers(batches, width):
+                yield b.j, b.n[:, None] * b.away(shared.value)
 
-        out = collect(self.cells.mapInArrow(run, SCHEMA), self.k, x.shape[1])
+        out = collect(self.cells, run, self.k, width)
         shared.destroy()
         return out
 

@@ -128,11 +128,11 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec, values: np.nd
     if centre:
 
         def total(batches):
-            for b in firmwise.whole_workers(batches, 20_000):
+            for b in firmwise.whole_workers(batches, draws + 1):
                 x = np.sqrt(b.n)[:, None] * np.column_stack([noise(b), np.sqrt(b.n)])
-                yield from firmwise.emit(np.zeros(1, np.int64), x.sum(0)[None, :])
+                yield np.zeros(1, np.int64), x.sum(0)[None, :]
 
-        x = firmwise.collect(u.mapInArrow(total, firmwise.SCHEMA), 1, draws + 1)[0]
+        x = firmwise.collect(u, total, 1, draws + 1)[0]
         shift = x[:-1] / x[-1]
     c = 1 + draws
 
@@ -142,15 +142,15 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec, values: np.nd
         return np.column_stack([v, *[b.col[f"r{i}"][:, None] * v for i in (1, 2, 3)], *[b.col[f"q{t}"][:, None] * v for t in range(1, lead + 1)]])
 
     def rhs(batches):
-        for b in firmwise.whole_workers(batches, 20_000):
+        for b in firmwise.whole_workers(batches, (4 + lead) * c):
             x = columns(b)
             scores = [b.col[f"w{t}"] @ x[:, :c] for t in range(1, lead + 1)]
             x = np.sqrt(b.n)[:, None] * x
-            yield from firmwise.emit(b.j, x - b.p[:, None] * b.total(x))
+            yield b.j, x - b.p[:, None] * b.total(x)
             if lead:  # one more row: the columns' products with the directions
-                yield from firmwise.emit(np.array([k]), np.concatenate([*scores, np.zeros(4 * c)])[None, :])
+                yield np.array([k]), np.concatenate([*scores, np.zeros(4 * c)])[None, :]
 
-    got = firmwise.collect(u.mapInArrow(rhs, firmwise.SCHEMA), k + 1, (4 + lead) * c)
+    got = firmwise.collect(u, rhs, k + 1, (4 + lead) * c)
     psi, scores = solver(got[:k]), got[k, : lead * c].reshape(lead, c)
     first = sc.broadcast(psi)
 
@@ -159,19 +159,19 @@ def images(u: DataFrame, solver: firmwise.Solver, spec: PanelSpec, values: np.nd
         return x, b.total(np.sqrt(b.n)[:, None] * x) / b.nw[:, None] - b.total(b.p[:, None] * first.value[b.j])
 
     def sums(batches):
-        for b in firmwise.whole_workers(batches, 20_000):
+        for b in firmwise.whole_workers(batches, (4 + lead) * c):
             a, s, sw = alphas(b)[1][:, :c], b.col["s"], b.total(b.col["s"])
             sp = b.total(s[:, None] * first.value[b.j, :c])
-            yield from firmwise.emit(b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * sp, s[:, None] * a, b.p * sw, s]))
+            yield b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * sp, s[:, None] * a, b.p * sw, s])
 
-    got = firmwise.collect(u.mapInArrow(sums, firmwise.SCHEMA), k, 3 * c + 2)
+    got = firmwise.collect(u, sums, k, 3 * c + 2)
     s1, s2, s3, m, s = got[:, :c], got[:, c : 2 * c], got[:, 2 * c : 3 * c], got[:, -2:-1], got[:, -1:]
     amean, pmean = s3.sum(0), (s * psi[:, :c]).sum(0)
     second = sc.broadcast(solver(np.column_stack([m * amean - s1, s * (psi[:, :c] - pmean), (s3 - s * amean) / 2 - (s2 - m * pmean) / 2])))
     names = ["key", "n", "v", *[f"k{d}_{t}" for t in (1, 2, 3) for d in range(c)], *[f"x{d}_{t}" for t in range(1, lead + 1) for d in range(c)]]
 
     def run(batches):
-        for b in firmwise.whole_workers(batches, 20_000):
+        for b in firmwise.whole_workers(batches, (4 + lead) * c):
             x, a = alphas(b)
             root, s, sw = np.sqrt(b.n)[:, None], b.col["s"], b.total(b.col["s"])[:, None]
             fitted = root * (a + first.value[b.j])

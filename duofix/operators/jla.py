@@ -59,15 +59,15 @@ def effects(cells: DataFrame, solver: firmwise.Solver) -> DataFrame:
     """cells (w, j, n, sy, s) with alpha and psi."""
 
     def rhs(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, 1):
             y = b.col["sy"][:, None]
-            yield from firmwise.emit(b.j, y - b.p[:, None] * b.total(y))
+            yield b.j, y - b.p[:, None] * b.total(y)
 
-    shared = cells.sparkSession.sparkContext.broadcast(solver(firmwise.collect(cells.mapInArrow(rhs, firmwise.SCHEMA), solver.k, 1)))
+    shared = cells.sparkSession.sparkContext.broadcast(solver(firmwise.collect(cells, rhs, solver.k, 1)))
     names = ["w", "j", "n", "sy", "s", "alpha", "psi"]
 
     def run(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, 1):
             psi = shared.value[b.j, 0]
             alpha = b.total(b.col["sy"]) / b.nw - b.total(b.p * psi)
             yield pa.RecordBatch.from_arrays([pa.array(b.col[c]) for c in names[:5]] + [pa.array(alpha), pa.array(psi)], names)
@@ -83,14 +83,14 @@ def moments(units: DataFrame, solver: firmwise.Solver, spec: PanelSpec) -> DataF
         probes = np.arange(start, min(start + group, spec.probes))
 
         def rhs(batches, probes=probes):
-            for b in firmwise.whole_workers(batches, 10_000):
+            for b in firmwise.whole_workers(batches, len(probes)):
                 s = signs(b.col["key"], b.n, probes, spec.seed, 1)
-                yield from firmwise.emit(b.j, s - b.p[:, None] * b.total(s))
+                yield b.j, s - b.p[:, None] * b.total(s)
 
-        psi = units.sparkSession.sparkContext.broadcast(solver(firmwise.collect(units.mapInArrow(rhs, firmwise.SCHEMA), solver.k, len(probes))))
+        psi = units.sparkSession.sparkContext.broadcast(solver(firmwise.collect(units, rhs, solver.k, len(probes))))
 
         def run(batches, probes=probes, psi=psi):
-            for b in firmwise.whole_workers(batches, 10_000):
+            for b in firmwise.whole_workers(batches, len(probes)):
                 s = signs(b.col["key"], b.n, probes, spec.seed, 1)
                 root = np.sqrt(b.n)[:, None]
                 p = root * (b.total(s) / b.nw[:, None] + b.away(psi.value))
@@ -136,15 +136,15 @@ def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec, joint: tu
         def raw(b, probes=probes):
             return np.sqrt(b.col["mass"] / total)[:, None] * signs(b.col["key"], b.n, probes, spec.seed, 2)
 
-        def rhs(batches, raw=raw):
-            for b in firmwise.whole_workers(batches, 10_000):
+        def rhs(batches, raw=raw, c=c):
+            for b in firmwise.whole_workers(batches, 2 * c + 2):
                 a, s = raw(b), (b.col["t"] / total)[:, None]
-                yield from firmwise.emit(b.j, np.column_stack([b.p[:, None] * b.total(a), a, b.p[:, None] * b.total(s), s]))
+                yield b.j, np.column_stack([b.p[:, None] * b.total(a), a, b.p[:, None] * b.total(s), s])
                 if kc:
                     z = many(b, "a").T
-                    yield from firmwise.emit(k + np.arange(kc), np.column_stack([z @ a, np.zeros((kc, c)), z @ s, np.zeros((kc, 1))]))
+                    yield k + np.arange(kc), np.column_stack([z @ a, np.zeros((kc, c)), z @ s, np.zeros((kc, 1))])
 
-        got = firmwise.collect(strata.mapInArrow(rhs, firmwise.SCHEMA), k + kc, 2 * c + 2)
+        got = firmwise.collect(strata, rhs, k + kc, 2 * c + 2)
         loads, got = got[k:], got[:k]
         every = got[:, c : 2 * c].sum(0)
         right = np.column_stack([got[:, -2:-1] * every - got[:, :c], got[:, c : 2 * c] - got[:, -1:] * every])
@@ -154,7 +154,7 @@ def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec, joint: tu
         psi = sc.broadcast((solver(right), every, q))
 
         def run(batches, raw=raw, psi=psi, c=c):
-            for b in firmwise.whole_workers(batches, 10_000):
+            for b in firmwise.whole_workers(batches, 3 * c):
                 x, every, q = psi.value
                 a = b.total(raw(b) - (b.col["t"] / total)[:, None] * every)
                 g = b.away(x)
@@ -163,9 +163,9 @@ def draws(strata: DataFrame, solver: firmwise.Solver, spec: PanelSpec, joint: tu
                 u = b.col["weight"] @ (s * s)
                 if kc:
                     u -= (s * (many(b, "cz") @ np.column_stack([q, q[:, :c] + q[:, c:]]))).sum(0)
-                yield from firmwise.emit(np.zeros(1, np.int64), u[None, :])
+                yield np.zeros(1, np.int64), u[None, :]
 
-        x = firmwise.collect(strata.mapInArrow(run, firmwise.SCHEMA), 1, 3 * c)[0]
+        x = firmwise.collect(strata, run, 1, 3 * c)[0]
         if kc:
             q3 = np.column_stack([q, q[:, :c] + q[:, c:]])
             x = x + np.einsum("ic,ij,jc->c", q3, joint[2], q3)

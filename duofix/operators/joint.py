@@ -28,11 +28,11 @@ def geometry(rows: DataFrame, firms: DataFrame, names: list[str], solver: firmwi
     sc = rows.sparkSession.sparkContext
 
     def rhs(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, kc):
             z = np.column_stack([b.col[x] for x in names])
-            yield from firmwise.emit(b.j, z - b.p[:, None] * b.total(z))
+            yield b.j, z - b.p[:, None] * b.total(z)
 
-    psi = solver(firmwise.collect(c.mapInArrow(rhs, firmwise.SCHEMA), k, kc))
+    psi = solver(firmwise.collect(c, rhs, k, kc))
     shared = sc.broadcast(psi)
 
     def alphas(b, psi):
@@ -40,15 +40,15 @@ def geometry(rows: DataFrame, firms: DataFrame, names: list[str], solver: firmwi
         return b.total(z) / b.nw[:, None] - b.total(b.p[:, None] * psi[b.j])
 
     def sums(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, 3 * kc + 2):
             psi = shared.value
             a, s, sw = alphas(b, psi), b.col["s"], b.total(b.col["s"])
             sp = b.total(s[:, None] * psi[b.j])
-            yield from firmwise.emit(b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * sp, s[:, None] * a, b.p * sw, s]))
+            yield b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * sp, s[:, None] * a, b.p * sw, s])
             square = np.einsum("i,ik,il->kl", s, a, a)  # over the copies' masses, as a is one number a worker
-            yield from firmwise.emit(k + np.arange(kc), np.column_stack([square, np.zeros((kc, 2 * kc + 2))]))
+            yield k + np.arange(kc), np.column_stack([square, np.zeros((kc, 2 * kc + 2))])
 
-    got = firmwise.collect(c.mapInArrow(sums, firmwise.SCHEMA), k + kc, 3 * kc + 2)
+    got = firmwise.collect(c, sums, k + kc, 3 * kc + 2)
     square, got = got[k:, :kc], got[:k]
     s1, s2, s3, m, s = got[:, :kc], got[:, kc : 2 * kc], got[:, 2 * kc : 3 * kc], got[:, -2:-1], got[:, -1:]
     amean, pmean = s3.sum(0), (s * psi).sum(0)
@@ -59,7 +59,7 @@ def geometry(rows: DataFrame, firms: DataFrame, names: list[str], solver: firmwi
     out = ", ".join(["w long", "j int", *[f"p{i} double" for i in range(kc)], *[f"v{i} double" for i in range(3 * kc)]])
 
     def cells(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, 3 * kc):
             psi, v = shared.value, more.value
             a, s, sw = alphas(b, psi), b.col["s"], b.total(b.col["s"])[:, None]
             at = np.column_stack([sw * (a - amean), np.zeros_like(a), (b.total(s[:, None] * psi[b.j]) - sw * pmean) / 2])
@@ -106,12 +106,13 @@ def correction(rows: DataFrame, kernels: DataFrame, firms: DataFrame, cells: Dat
 
     def run(batches):
         inv, _ = shared.value
+        most = firmwise.rows_for(3 * (kc + 1) ** 2)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for kind in (True, False):
                 t = table.filter(pa.compute.equal(table["whole"], kind))
-                for at in range(0, t.num_rows, 4096):
-                    yield from part(t.slice(at, 4096), kind, inv)
+                for at in range(0, t.num_rows, most):
+                    yield from part(t.slice(at, most), kind, inv)
 
     def part(t, kind, inv):
         get = lambda c: t.column(c).to_numpy()

@@ -26,16 +26,16 @@ def predictions(rows: DataFrame, firms: DataFrame, names: list[str], solver: fir
     stack = lambda b: np.column_stack([b.col[x] for x in names])
 
     def rhs(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, len(names)):
             z = stack(b)
-            yield from firmwise.emit(b.j, z - b.p[:, None] * b.total(z))
+            yield b.j, z - b.p[:, None] * b.total(z)
 
-    psi = solver(firmwise.collect(c.mapInArrow(rhs, firmwise.SCHEMA), solver.k, len(names)))
+    psi = solver(firmwise.collect(c, rhs, solver.k, len(names)))
     shared = rows.sparkSession.sparkContext.broadcast(psi)
     out = [*[f"p{i}" for i in range(len(names))], *[f"a{i}" for i in range(len(names))]]
 
     def run(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, len(names)):
             firm = shared.value[b.j]
             a = b.total(stack(b)) / b.nw[:, None] - b.total(b.p[:, None] * firm)
             cols = [b.col["w"], b.j.astype(np.int32), *(a + firm).T, *a.T]
@@ -103,9 +103,10 @@ def weights(found: DataFrame, sums: DataFrame, effects: DataFrame, cells: DataFr
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q)) for q in cols], ["w", "j", *out])
 
     def run(batches):
+        most = firmwise.rows_for((kc + 1) ** 2)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield part(pa.Table.from_batches([batch.slice(at, 4096)]))
+            for at in range(0, batch.num_rows, most):
+                yield part(pa.Table.from_batches([batch.slice(at, most)]))
 
     done = cut(x.mapInArrow(run, "w long, j int, " + ", ".join(f"{q} double" for q in out)))
     got = done.agg(F.min("left").alias("left"), *[F.sum(f"zz{i}").alias(f"zz{i}") for i in range(kc * kc)]).first()

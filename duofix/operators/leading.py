@@ -73,7 +73,7 @@ def directions(kernels: DataFrame, solver: firmwise.Solver, spec: PanelSpec, tol
     psi[-1] = 0
 
     def start(batches):
-        for b in firmwise.whole_workers(batches, 20_000):
+        for b in firmwise.whole_workers(batches, wide):
             a = inference.normals(b.col["w"], np.arange(wide), spec.inference_seed)
             yield pa.RecordBatch.from_arrays([pa.array(b.col[c]) for c in ("w", "j", "n", "s")] + [pa.array(np.ascontiguousarray(x)) for x in a.T], ["w", "j", "n", "s", *A])
 
@@ -85,14 +85,14 @@ def directions(kernels: DataFrame, solver: firmwise.Solver, spec: PanelSpec, tol
         firm = sc.broadcast(psi)
 
         def sums(batches, firm=firm):
-            for b in firmwise.whole_workers(batches, 20_000):
+            for b in firmwise.whole_workers(batches, 3 * wide + 2):
                 a, p, s, sw = effects(b), firm.value[b.j], b.col["s"], b.total(b.col["s"])
                 f = a + p
-                yield from firmwise.emit(b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * b.total(s[:, None] * p), s[:, None] * a, b.p * sw, s]))
+                yield b.j, np.column_stack([(b.p * sw)[:, None] * a, b.p[:, None] * b.total(s[:, None] * p), s[:, None] * a, b.p * sw, s])
                 both = np.column_stack([f.T @ (b.n[:, None] * f), a.T @ (s[:, None] * a), np.zeros((wide, wide + 2))])
-                yield from firmwise.emit(k + np.arange(wide), both)
+                yield k + np.arange(wide), both
 
-        got = firmwise.collect(state.mapInArrow(sums, firmwise.SCHEMA), k + wide, 3 * wide + 2)
+        got = firmwise.collect(state, sums, k + wide, 3 * wide + 2)
         gram, square = got[k:, :wide], got[k:, wide : 2 * wide]
         s1, s2, s3, m, s = got[:k, :wide], got[:k, wide : 2 * wide], got[:k, 2 * wide : 3 * wide], got[:k, -2:-1], got[:k, -1:]
         amean, pmean = s3.sum(0), (s * psi).sum(0)
@@ -119,7 +119,7 @@ def directions(kernels: DataFrame, solver: firmwise.Solver, spec: PanelSpec, tol
 
         def apply(batches, shared=shared):
             turn, steps, inv, px, new, am, pm = shared.value
-            for b in firmwise.whole_workers(batches, 20_000):
+            for b in firmwise.whole_workers(batches, wide):
                 old, s, sw = effects(b), b.col["s"], b.total(b.col["s"])[:, None]
                 a = old @ turn
                 at = ON_WORKER * sw * (a - am) + ON_BOTH * (b.total(s[:, None] * px[b.j]) - sw * pm) / 2
@@ -133,7 +133,7 @@ def directions(kernels: DataFrame, solver: firmwise.Solver, spec: PanelSpec, tol
 
     def leading(batches):
         turn, psi = first.value
-        for b in firmwise.whole_workers(batches, 20_000):
+        for b in firmwise.whole_workers(batches, wide):
             d = (effects(b) + psi[b.j]) @ turn
             yield pa.RecordBatch.from_arrays([pa.array(b.col["w"]), pa.array(b.col["j"]), *(pa.array(np.ascontiguousarray(x)) for x in d.T)], ["w", "j", "d1", "d2", "d3", "d4"])
 

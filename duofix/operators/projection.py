@@ -46,22 +46,22 @@ def regress(rows: DataFrame, kernels: DataFrame, firms: DataFrame, units: DataFr
     loads = lambda b: np.column_stack([b.col[f"l{i}"] for i in range(kc)]) @ inv
 
     def rhs(batches):
-        for b in firmwise.whole_workers(batches):
-            yield from firmwise.emit(b.j, -b.p[:, None] * b.total(loads(b)) if worker else loads(b))
+        for b in firmwise.whole_workers(batches, kc):
+            yield b.j, -b.p[:, None] * b.total(loads(b)) if worker else loads(b)
 
-    right = firmwise.collect(u.mapInArrow(rhs, firmwise.SCHEMA), solver.k, kc)
+    right = firmwise.collect(u, rhs, solver.k, kc)
     if solver.inverse is None and not worker:  # loads on firms are made to sum to nothing, as the last firm is grounded
         right[-1] -= right.sum(0)
     shared = rows.sparkSession.sparkContext.broadcast(solver(right))
 
     def run(batches):
-        for b in firmwise.whole_workers(batches):
+        for b in firmwise.whole_workers(batches, kc):
             c = b.away(shared.value) + (b.total(loads(b)) / b.nw[:, None] if worker else 0)
             c = np.sqrt(b.n)[:, None] * c
             both = np.stack([c.T @ (q[:, None] * c) for q in (b.col["product"], b.col["e"] ** 2)])
-            yield from firmwise.emit(np.zeros(1, np.int64), both.reshape(1, -1))
+            yield np.zeros(1, np.int64), both.reshape(1, -1)
 
-    robust, naive = firmwise.collect(u.mapInArrow(run, firmwise.SCHEMA), 1, 2 * kc * kc)[0].reshape(2, kc, kc)
+    robust, naive = firmwise.collect(u, run, 1, 2 * kc * kc)[0].reshape(2, kc, kc)
     robust = (robust + robust.T) / 2
     low, size = np.linalg.eigvalsh(robust)[0], np.abs(robust).max()
     if low < -1e-8 * size:

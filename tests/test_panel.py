@@ -1,6 +1,7 @@
 import random
 import tracemalloc
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duofix import functions as fn, report, sources, spec as options_
 from duofix.estimator import TwoWay
-from duofix.operators import cut, exact, graph, inference, jla, leading, numerical
+from duofix.operators import cut, exact, firmwise, graph, inference, jla, leading, numerical
 from duofix.plans.queries import QUERIES
 from duofix.spec import Withheld
 
@@ -557,6 +558,68 @@ def test_blocks_bound_the_pairs_and_lose_no_row():
     assert all(len(b.a) <= 1000 + 40**2 for b in got) and sum(len(b.a) for b in got) == 900 + 9 + 1600 + 1 + 25
 
 
+def test_tables_hold_whole_workers_and_no_more_rows_than_asked():
+    w = np.repeat(np.arange(9), [1, 2, 700, 30, 40, 50, 1, 99, 100])
+    t = pa.table({"w": w, "x": np.arange(len(w))})
+    for chunk in (7, 64, 5000):
+        got = [x.to_pydict() for x in exact.tables(t.to_batches(max_chunksize=chunk), 100)]
+        assert [x for y in got for x in y["x"]] == list(range(len(w))) and [len(set(y["w"])) for y in got if len(y["w"]) > 100] == [1]
+        assert sum(len(set(y["w"])) for y in got) == 9
+
+
+def test_sums_of_a_task_are_added_up_before_they_are_sent():
+    r = np.random.default_rng(5)
+    for firms, columns in ((5, 40), (9000, 70)):
+        parts = [(r.integers(0, firms, 3000), r.integers(-9, 9, (3000, columns)).astype(float)) for _ in range(12)]
+        want, got = np.zeros((firms, -(-columns // 32) * 32)), np.zeros((firms, -(-columns // 32) * 32))
+        for j, x in parts:
+            np.add.at(want[:, :columns], j, x)
+        batches = list(firmwise.summed(iter(parts)))
+        for b in batches:
+            part = b["part"].to_numpy()[0] * 32
+            got[b["j"].to_numpy(), part : part + 32] += np.column_stack([b[c].to_numpy() for c in firmwise.COLUMNS])
+        assert (got == want).all() and (firms > 5 or len(batches) == 2)
+
+
+class Task:
+    """A task of whole workers with five cells each, in place of a table."""
+
+    def __init__(self, rows):
+        r, w = np.random.default_rng(1), np.arange(rows) // 5
+        self.t = pa.table({"w": w, "j": (np.arange(rows) % 5).astype(np.int32), "key": np.arange(rows), "n": np.ones(rows), "whole": np.ones(rows, bool), **{c: r.random(rows) for c in ("uy", "sy", "s", "y", "v", "r1", "r2", "r3")}})
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run(iter(self.t.to_batches(max_chunksize=10_000)))
+
+
+class NoSolver:
+    k = 5
+
+    def __call__(self, rhs):
+        return np.zeros(rhs.shape)
+
+
+@pytest.mark.parametrize("step", ["kernels", "moments", "images"])
+def test_a_task_needs_no_more_memory_for_more_rows_or_columns(monkeypatch, step):
+    for module in (jla, inference):
+        monkeypatch.setattr(module, "cut", lambda df: df)
+    monkeypatch.setattr(jla, "deal", lambda df, *order: df)
+    monkeypatch.setattr(firmwise, "collect", lambda *a: np.zeros(a[-2:]))
+    fit, spec = exact.Fit(*(np.zeros((5, 5)) for _ in range(4)), *(np.zeros(5) for _ in range(3)), 0.0, 1.0), PanelSpec("y", "w", "f", probes=200, inference_draws=40)
+    run = {"kernels": lambda t: exact.kernels(t, fit), "moments": lambda t: jla.moments(t, NoSolver(), spec), "images": lambda t: inference.images(t, NoSolver(), spec)[0]}[step]
+    task, rows = Task(200_000 if step == "kernels" else 40_000), 0
+    tracemalloc.start()
+    for batch in run(task):
+        rows += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == task.t.num_rows and peak < 45e6
+
+
 def test_workers_of_one_hash_are_refused(spark):
     rows = [((None, 1), "a", 1.0), ((None, 1), "b", 2.0), ((1, None), "a", 1.5), ((1, None), "b", 2.5)]  # a hash skips nulls
     with pytest.raises(Withheld, match="WORKER_COLLISION"):
