@@ -9,7 +9,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, leading, numerical, projection
+from .operators import centering, collapse, controls, cut, exact, firmwise, graph, inference, leading, numerical, projection, small_table
 from .operators import jla as random_probes, joint as joint_controls
 from .sources import freeze
 from .spec import PanelSpec, Withheld
@@ -38,7 +38,7 @@ class FitResult:
     def results(self) -> DataFrame:
         """Rows plugin, bias_correction, corrected, mcse_conditional (see numerical); the four targets as columns."""
         rows = [("plugin", *self.plugin), ("bias_correction", *self.bias), ("corrected", *(a - b for a, b in zip(self.plugin, self.bias, strict=True))), ("mcse_conditional", *self.mcse)]
-        return self.spark.createDataFrame([(a, *map(float, b)) for a, *b in rows], "row string, " + ", ".join(f"{t} double" for t in exact.TARGETS))
+        return small_table(self.spark, [(a, *map(float, b)) for a, *b in rows], "row string, " + ", ".join(f"{t} double" for t in exact.TARGETS))
 
     @cached_property
     def _numerical(self) -> tuple:
@@ -52,7 +52,7 @@ class FitResult:
         """Covariance of the corrected targets over the target draws, given the leverages (0 for exact): target, mcse, a row of the 4 x 4 covariance, status."""
         status, v, mcse = self._numerical
         full = inference.expand(v)
-        return self.spark.createDataFrame([(t, float(m), *map(float, r), status) for t, m, r in zip(exact.TARGETS, mcse, full, strict=True)], "target string, mcse double, " + ", ".join(f"{t} double" for t in exact.TARGETS) + ", status string")
+        return small_table(self.spark, [(t, float(m), *map(float, r), status) for t, m, r in zip(exact.TARGETS, mcse, full, strict=True)], "target string, mcse double, " + ", ".join(f"{t} double" for t in exact.TARGETS) + ", status string")
 
     def moments(self) -> DataFrame:
         """Variances of the outcome and of the residual, and the explained share: one row."""
@@ -65,7 +65,7 @@ class FitResult:
         if not self.exact:
             facts |= {"probes": spec.probes, "seed": spec.seed, "tolerance": spec.tolerance, "maxiter": spec.maxiter, "iterations": s.iterations, "numerical": self._numerical[0]}
         facts |= {f"seconds_{k}": round(v, 3) for k, v in (self.seconds or {}).items()}
-        return self.spark.createDataFrame([(k, str(v)) for k, v in facts.items()], "item string, value string")
+        return small_table(self.spark, [(k, str(v)) for k, v in facts.items()], "item string, value string")
 
     def decomposition(self, full: bool = False) -> DataFrame:
         """Components worker, firm, sorting (twice the covariance), total: plug-in and corrected values and shares of the total and of the outcome's variance.
@@ -82,7 +82,7 @@ class FitResult:
             m = self.moments().first()
             whole = m["regression_outcome_variance"]
             out += [(name, x, None, x / whole, None, None, None, None) for name, x in (("residual", m["residual_variance"]), ("outcome", whole))]
-        return self.spark.createDataFrame([(a, *(None if x is None else float(x) for x in b)) for a, *b in out], "component string, plugin double, plugin_share double, plugin_outcome_share double, bias double, corrected double, corrected_share double, corrected_outcome_share double")
+        return small_table(self.spark, [(a, *(None if x is None else float(x) for x in b)) for a, *b in out], "component string, plugin double, plugin_share double, plugin_outcome_share double, bias double, corrected double, corrected_share double, corrected_outcome_share double")
 
     @property
     def corrected(self) -> tuple:
@@ -119,19 +119,19 @@ class FitResult:
         units = inference.units(self.rows, self.kernels, self.firms, self.spec, self._mean())
         b, robust, naive = projection.regress(self.rows, self.kernels, self.firms, units, self.spec, self.solver)
         rows = zip(("constant", *self.spec.project), b, np.sqrt(np.diag(robust)), np.sqrt(np.diag(naive)), strict=True)
-        return self.spark.createDataFrame([(t, *map(float, x)) for t, *x in rows], "term string, coefficient double, se double, naive_se double")
+        return small_table(self.spark, [(t, *map(float, x)) for t, *x in rows], "term string, coefficient double, se double, naive_se double")
 
     def inference(self) -> DataFrame:
         """Standard errors of the four corrected targets (null where the variance isn't positive) and the interval that the rule takes."""
         v, pieces, _ = self._sampling
         rows = [(x[0], x[1], x[2], x[8], x[9]) for x in self._intervals] if pieces else inference.intervals(self.corrected, v, self.spec.level)
-        return self.spark.createDataFrame(rows, "component string, estimate double, se double, lower double, upper double")
+        return small_table(self.spark, rows, "component string, estimate double, se double, lower double, upper double")
 
     def intervals(self) -> DataFrame:
         """Normal intervals, those of the leading direction, which of them the rule takes, and what it goes by."""
         if self.spec.inference == "highrank":
             raise Withheld("INVALID_OPTION", "inference='highrank' looks for no leading direction")
-        return self.spark.createDataFrame(self._intervals, leading.SCHEMA)
+        return small_table(self.spark, self._intervals, leading.SCHEMA)
 
     def lincom(self, weights: tuple) -> tuple[float, float]:
         """(value, standard error) of a linear combination of the four corrected targets."""
@@ -140,7 +140,7 @@ class FitResult:
 
     def sample(self) -> DataFrame:
         """Counts of the selection, step by step."""
-        return self.spark.createDataFrame([(k, int(v)) for k, v in self.facts.items()], "step string, count long")
+        return small_table(self.spark, [(k, int(v)) for k, v in self.facts.items()], "step string, count long")
 
     def diagnostics(self) -> DataFrame:
         return self.by_source

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..spec import PanelSpec, Withheld
-from . import cut
+from . import cut, small_table
 
 TARGETS = ("worker_variance", "firm_variance", "worker_firm_covariance", "total_variance")
 
@@ -23,21 +23,19 @@ TARGETS = ("worker_variance", "firm_variance", "worker_firm_covariance", "total_
 def index_firms(cells: DataFrame, limit: int, local: int = 100_000) -> tuple[int, DataFrame]:
     """(number of firms, table f -> j from 0 in the order of f); the last firm is the grounded one.
 
-    Up to `local` firms are numbered on the driver and broadcast; beyond, ranges of firms are numbered
+    Up to `local` firms are numbered by one task and broadcast; beyond, ranges of firms are numbered
     by their tasks, the driver adds up the ranges' sizes, and joins choose their own way.
     """
     firms = cells.select("f").distinct()
     k = firms.count()
     if k > limit:
         raise Withheld("EXACT_LIMIT", f"{k} firms, at most {limit}")
-    spark = cells.sparkSession
     if k <= local:
-        names = sorted(r[0] for r in firms.collect())
-        return k, F.broadcast(spark.createDataFrame(list(enumerate(names)), f"j int, f {cells.schema['f'].dataType.simpleString()}"))
+        return k, F.broadcast(cut(firms.select((F.row_number().over(Window.orderBy("f")) - 1).alias("j"), "f")))
     ranges = cut(firms.repartitionByRange(k // local + 1, "f").select("f", F.spark_partition_id().alias("part")))  # cut, as a range drawn again could differ
     sizes = sorted((r["part"], r["count"]) for r in ranges.groupBy("part").count().collect())
     before = np.cumsum([0, *(n for _, n in sizes)])
-    offsets = spark.createDataFrame([(part, int(n)) for (part, _), n in zip(sizes, before, strict=False)], "part int, before long")
+    offsets = small_table(cells.sparkSession, [(part, int(n)) for (part, _), n in zip(sizes, before, strict=False)], "part int, before long")
     place = F.row_number().over(Window.partitionBy("part").orderBy("f")) - 1
     return k, cut(ranges.withColumn("place", place).join(F.broadcast(offsets), "part").select((F.col("place") + F.col("before")).cast("int").alias("j"), "f"))
 

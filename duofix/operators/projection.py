@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..spec import PanelSpec, Withheld
-from . import cut, firmwise, jla
+from . import cut, firmwise, jla, small_table
 
 
 def coefficients(df: DataFrame, effect: str, covariates: list[str], weight: str | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def coefficients(df: DataFrame, effect: str, covariates: list[str], weight: str
     got = df.agg(*[F.sum(w * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(w * x[i] * F.col(effect)).alias(f"r{i}") for i in range(k)]).first()
     gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
     b = np.linalg.solve(gram, np.array([got[f"r{i}"] for i in range(k)], float))
-    return spark.createDataFrame([(t, float(v)) for t, v in zip(["constant", *covariates], b, strict=True)], "term string, coefficient double")
+    return small_table(spark, [(t, float(v)) for t, v in zip(["constant", *covariates], b, strict=True)], "term string, coefficient double")
 
 
 def regress(rows: DataFrame, kernels: DataFrame, firms: DataFrame, units: DataFrame, spec: PanelSpec, solver: firmwise.Solver) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as fn, sources
 from ..estimator import TwoWay
-from ..operators import collapse, cut, exact, graph, projection
+from ..operators import collapse, cut, exact, graph, projection, small_table
 from ..spec import PanelSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def _estimate(panel: Query, **options) -> Query:
         r = TwoWay(_spec(**options)).fit(panel(spark, sf_dir))
         row = [round(float(x), 6) + 0.0 for x in (*r.plugin, *r.bias, r.max_leverage)]
         names = [f"{a}_{b}" for a in ("plugin", "bias") for b in ("worker", "firm", "cov", "total")] + ["max_leverage"]
-        return spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+        return small_table(spark, [tuple(row)], ", ".join(f"{n} double" for n in names))
 
     return query
 
@@ -91,7 +91,7 @@ def components(spark, sf_dir):
 def sample_accounting(spark, sf_dir):
     _, facts = graph.select(_frozen(orders, stayers="both")(spark, sf_dir), _spec(stayers="both"))
     keep = ("rows_in", "units_in", "stayers_in", "stayers_added", "rows_out", "units_out", "workers_out", "firms_out")
-    return spark.createDataFrame([(k, int(facts[k])) for k in keep], "step string, count long")
+    return small_table(spark, [(k, int(facts[k])) for k in keep], "step string, count long")
 
 
 def _cells(spark, sf_dir):

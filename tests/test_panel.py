@@ -550,6 +550,14 @@ def test_firms_are_numbered_alike_on_the_driver_and_by_ranges(spark):
     assert a == b == 500 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(k, f"f{k:03d}") for k in range(500)]
 
 
+def test_small_tables_start_no_python_workers_of_their_own(spark):
+    r = TwoWay(PanelSpec("y", "worker", "firm", centering="mean", inference="highrank")).fit(panel(spark)[1].where("y is not null"))
+    cells = r.rows.select("f")
+    for df in (r.results(), r.sample(), r.computation(), r.numerical(), r.decomposition(full=True), *(exact.index_firms(cells, 100, local=k)[1] for k in (100, 2))):
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+    assert r.decomposition(full=True).where("component = 'outcome'").first()["bias"] is None and r.sample().schema["count"].dataType.simpleString() == "bigint"
+
+
 def test_blocks_bound_the_pairs_and_lose_no_row():
     w = np.repeat([1, 2, 3, 4, 5], [30, 3, 40, 1, 5])
     t = pa.table({"w": w, "j": np.arange(len(w)), "n": np.ones(len(w)), "sy": np.ones(len(w)), "s": np.ones(len(w))})
